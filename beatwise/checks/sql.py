@@ -24,8 +24,9 @@ def buckets(vf: str, runs: str) -> str:
 
 
 def hav(a1, o1, a2, o2) -> str:
-    return (f"12742.0 * asin(sqrt(least(1.0, power(sin(radians({a2} - {a1}) / 2), 2) + cos(radians({a1})) * "
-            f"cos(radians({a2})) * power(sin(radians({o2} - {o1}) / 2), 2))))")
+    a = (f"(power(sin(radians({a2} - {a1}) / 2), 2) + cos(radians({a1})) * "
+         f"cos(radians({a2})) * power(sin(radians({o2} - {o1}) / 2), 2))")
+    return f"12742.0 * asin(CASE WHEN {a} > 1 THEN 1 ELSE sqrt({a}) END)"
 
 
 OUTLETS = f"""

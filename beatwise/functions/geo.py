@@ -17,7 +17,7 @@ def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colu
     sin_lat = F.sin((lat2 - lat1) * F.lit(RAD) / 2)
     sin_lng = F.sin((lng2 - lng1) * F.lit(RAD) / 2)
     a = sin_lat * sin_lat + F.cos(lat1 * F.lit(RAD)) * F.cos(lat2 * F.lit(RAD)) * sin_lng * sin_lng
-    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return F.lit(2 * EARTH_KM) * F.atan2(F.sqrt(a), F.sqrt(F.greatest(F.lit(0.0), 1 - a)))
 
 
 def octile_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:

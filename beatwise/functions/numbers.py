@@ -19,13 +19,13 @@ def six(x: Column) -> Column:
 def float_prefix(text: Column) -> Column:
     """The number a text starts with (``33.5N`` gives 33.5), null when there is none."""
     head = F.regexp_extract(text, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
-    return F.nullif(head, F.lit("")).try_cast("double")
+    return head.try_cast("double")
 
 
 def int_prefix(text: Column) -> Column:
     """The whole number a text starts with, null when there is none."""
     head = F.regexp_extract(text, r"^\s*([+-]?\d+)", 1)
-    return F.nullif(head, F.lit("")).try_cast("bigint")
+    return head.try_cast("bigint")
 
 
 def nearest_rank(q: float, n: Column) -> Column:

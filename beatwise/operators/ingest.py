@@ -12,7 +12,8 @@ from beatwise.params import HEADER_SYNONYMS
 
 
 def present(c: Column) -> Column:
-    return F.nullif(F.trim(c), F.lit(""))
+    """The trimmed text, null when blank; one regular expression, so it is evaluated once wherever it is used."""
+    return F.regexp_substr(c, F.lit(r"(?s)\S(?:.*\S)?"))
 
 
 def first_present(columns: list[str], wanted: list[str]) -> Column:
@@ -23,12 +24,11 @@ def first_present(columns: list[str], wanted: list[str]) -> Column:
 def coordinate_fallback(columns: list[str], kind: str) -> Column:
     """The first column that is named like a coordinate and holds one: it parses, is not 0 and is in range."""
     looks, wrong, limit = (r"lat", r"long|lng", 90) if kind == "lat" else (r"long|lng|lon", r"lat", 180)
-    options = []
-    for c in columns:
-        if re.search(looks, c) and not re.search(wrong, c):
-            number = float_prefix(F.col(c))
-            options.append(F.when(number.isNotNull() & (number != 0) & (F.abs(number) <= limit), F.col(c)))
-    return F.coalesce(*options) if options else F.lit(None).cast("string")
+    named = [F.col(c) for c in columns if re.search(looks, c) and not re.search(wrong, c)]
+    if not named:
+        return F.lit(None).cast("string")
+    usable = lambda v: (float_prefix(v) != 0) & (F.abs(float_prefix(v)) <= limit)
+    return F.get(F.filter(F.array(*named), usable), 0)
 
 
 def map_columns(df: DataFrame, keep: tuple[str, ...] = ("row",)) -> DataFrame:
@@ -83,7 +83,8 @@ def complete(mapped: DataFrame, policy: int = 2) -> DataFrame:
 
 
 def reject_counts(validated: DataFrame, keys: list[str]) -> DataFrame:
-    return validated.filter("reject_reason is not null").groupBy(*keys, "reject_reason").agg(F.count(F.lit(1)).alias("rows"))
+    # coalesce keeps the optimizer from propagating a not-null constraint through every parsing rule.
+    return validated.filter(F.coalesce("reject_reason", F.lit("")) != "").groupBy(*keys, "reject_reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def file_report(completed: DataFrame, keys: list[str], reasons: int = 5, working_days: int = 5,
@@ -101,7 +102,7 @@ def file_report(completed: DataFrame, keys: list[str], reasons: int = 5, working
     base = base.withColumn("monthly_visits", monthly).withColumn(
         "recommended_reps", F.ceil(monthly / F.lit(working_days * 4 * max_daily)).cast("bigint"))
     first = Window.partitionBy(*keys).orderBy("row")
-    top = (completed.filter(~ok).withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= reasons)
+    top = (completed.filter(F.coalesce("reject_reason", F.lit("")) != "").withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= reasons)
            .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_r", "reject_reason"))).alias("_l"))
            .select(*keys, F.array_join(F.transform("_l", lambda x: x["reject_reason"]), "; ").alias("first_reasons")))
     return base.join(top, keys, "left")
