@@ -48,6 +48,7 @@ def centre(outlets: DataFrame, keys: list[str]) -> DataFrame:
 
 def market_shape(near: DataFrame, keys: list[str]) -> DataFrame:
     """Centre, 90% radius, median 2nd-neighbour distance and character of a market (from second_neighbours)."""
+    near = cut(near)
     mid = centre(near, keys)
     away = near.join(mid, keys).withColumn("_d", haversine_km(F.col("centre_lat"), F.col("centre_lng"), F.col("latitude"), F.col("longitude")))
     n = F.col("n")
@@ -155,10 +156,11 @@ def blueprint(outlets: DataFrame, keys: list[str], wd: Workday = Workday(), save
         F.count(F.lit(1)).alias("listed"), F.count_if("excluded").alias("excluded"),
         F.count_if(~F.col("excluded") & F.col("offset")).alias("held"))
     active = outlets.filter("not excluded and not offset")
-    near = cut(second_neighbours(active, keys))
+    near = second_neighbours(active, keys)
     dup = active.groupBy(*keys, text.spot_key(F.col("name"), F.col("latitude"), F.col("longitude")).alias("_k")).agg(
         F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(F.sum(F.col("_n") - 1).alias("duplicates"))
     mix = frequency_mix(active, keys).drop("outlets", "monthly_visits")
+    near = cut(near)
     out = (status.join(market_shape(near, keys), keys).join(mix, keys).join(workload_model(near, keys, wd), keys)
            .join(dup, keys).withColumn("country", guess_country(F.col("centre_lat"), F.col("centre_lng"))))
     out = out.withColumn("week", week_of_country(F.col("country"))).withColumn("week_label", week_label(F.col("week")))
