@@ -48,16 +48,19 @@ def centre(outlets: DataFrame, keys: list[str]) -> DataFrame:
 
 def market_shape(near: DataFrame, keys: list[str]) -> DataFrame:
     """Centre, 90% radius, median 2nd-neighbour distance and character of a market (from second_neighbours)."""
-    near = cut(near)
-    mid = centre(near, keys)
-    away = near.join(mid, keys).withColumn("_d", haversine_km(F.col("centre_lat"), F.col("centre_lng"), F.col("latitude"), F.col("longitude")))
     n = F.col("n")
+    long = near.select(*keys, F.inline(F.array(*[F.struct(F.lit(m).alias("_m"), F.col(m).alias("_x"))
+                                                 for m in ("latitude", "longitude", "nn2", "nn3")])))
+    stats = cut(order_statistics(long, [*keys, "_m"], "_x", {**median_ranks("x"), "p75": nearest_rank(0.75, n)}))
+    pick = lambda m, what: F.max(F.when(F.col("_m") == m, what))
+    mid = stats.groupBy(*keys).agg(
+        pick("latitude", median_of("x")).alias("centre_lat"), pick("longitude", median_of("x")).alias("centre_lng"),
+        pick("nn2", median_of("x")).alias("neighbour_km"), pick("nn3", F.col("p75")).alias("nn3_p75"))
+    away = near.join(mid, keys).withColumn("_d", haversine_km(F.col("centre_lat"), F.col("centre_lng"), F.col("latitude"), F.col("longitude")))
     radius = order_statistics(away, keys, "_d", {"radius_km": nearest_rank(0.9, n)}).select(*keys, "radius_km", "n")
-    nn = order_statistics(near, keys, "nn2", median_ranks("nn")).select(*keys, median_of("nn").alias("neighbour_km"))
-    hop = order_statistics(near, keys, "nn3", {"nn3_p75": nearest_rank(0.75, n)}).select(*keys, "nn3_p75")
     d = F.col("neighbour_km")
     kind = (F.when(d < 0.12, "dense city").when(d < 0.3, "city").when(d < 0.8, "city and towns").otherwise("towns and villages"))
-    return (mid.join(radius, keys).join(nn, keys).join(hop, keys).withColumn("character", kind)
+    return (mid.join(radius, keys).withColumn("character", kind)
             .withColumnRenamed("n", "outlets"))
 
 
