@@ -32,9 +32,9 @@ def _chain(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
 
 def hull_of(x: str, y: str) -> Column:
     """Grouped aggregate: the hull ring of a group's points."""
-    def ring(xs: pd.Series, ys: pd.Series) -> object:
+    def ring(xs: pd.Series, ys: pd.Series) -> list:
         return [{"x": a, "y": b} for a, b in _chain(list(zip(xs, ys)))]
-    return F.pandas_udf(ring, RING, F.PandasUDFType.GROUPED_AGG)(F.col(x), F.col(y))
+    return F.pandas_udf(ring, RING)(F.col(x), F.col(y))
 
 
 def _partial(keys: list[str]):
