@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from beatwise.operators.prefix import running_total
+from beatwise.session import cut
 
 c = F.col
 
@@ -71,15 +72,14 @@ def transfer_recommendations(forecast: DataFrame, high: float = 25.0, low: float
     outlet goes to the receiver whose stretch holds it whole, so no receiver passes the cap and no
     giver meets every receiver.
     """
-    w = forecast.withColumn("work", c("predicted") / 4)
+    w = cut(forecast.withColumn("work", c("predicted") / 4))
     load = w.groupBy(*keys, "rep_id").agg(F.sum("work").alias("load"))
     give = w.join(load.filter(c("load") > high), [*keys, "rep_id"]).withColumn("score", F.coalesce("growth", F.lit(0.0)) + c("work"))
     by_rep = Window.partitionBy(*keys, "rep_id").orderBy(F.desc("score"), "outlet_id")
     give = give.withColumn("_r", F.row_number().over(by_rep)).filter(c("_r") <= F.ceil((c("load") - target) / 3))
-    line = Window.partitionBy(*keys).orderBy(F.desc("score"), "outlet_id").rowsBetween(Window.unboundedPreceding, 0)
-    give = give.withColumn("_end", F.sum("work").over(line)).withColumn("_start", c("_end") - c("work"))
-    stand = Window.partitionBy(*keys).orderBy("load", "rep_id").rowsBetween(Window.unboundedPreceding, 0)
-    take = load.filter(c("load") < low).withColumn("_end", F.sum(F.lit(cap) - c("load")).over(stand)).withColumn("_start", c("_end") - (F.lit(cap) - c("load")))
+    give = running_total(give, keys, -F.floor(c("score") * 4), [F.desc("score"), "outlet_id"], "work", "_end").withColumn("_start", c("_end") - c("work"))
+    take = running_total(load.filter(c("load") < low), keys, F.floor("load"), ["load", "rep_id"], F.lit(cap) - c("load"), "_end").withColumn(
+        "_start", c("_end") - (F.lit(cap) - c("load")))
     both = give.select(*keys, "outlet_id", c("rep_id").alias("from_rep_id"), "work", "confidence", "_start", "_end", F.lit(None).cast("struct<rep:bigint,stop:double>").alias("_t"), F.lit(1).alias("_o")).unionByName(
         take.select(*keys, F.lit(None).cast("bigint").alias("outlet_id"), F.lit(None).cast("bigint").alias("from_rep_id"), F.lit(0.0).alias("work"), F.lit(0.0).alias("confidence"),
                     "_start", "_end", F.struct(c("rep_id").alias("rep"), c("_end").alias("stop")).alias("_t"), F.lit(0).alias("_o")))

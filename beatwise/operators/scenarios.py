@@ -4,15 +4,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from beatwise.operators.prefix import running_total, with_previous
+
 
 def previous_scenario(scenarios: DataFrame, kpis: list[str]) -> DataFrame:
     """Each scored scenario with the latest earlier scored one of the same upload and KPI deltas."""
-    w = Window.partitionBy("upload").orderBy("created_at", "scenario_id")
     scored = scenarios.filter("score is not null")
-    out = scored.withColumn("previous_id", F.lag("scenario_id").over(w))
+    day = F.datediff(F.to_date("created_at"), F.lit("1970-01-01").cast("date"))
+    numbered = running_total(scored, ["upload"], day, ["created_at", "scenario_id"], F.lit(1), "_seq")
+    before = with_previous(numbered, ["upload"], "_seq", {"previous_id": "scenario_id", **{f"_was_{k}": k for k in kpis}})
     for k in kpis:
-        out = out.withColumn(f"{k}_delta", F.col(k) - F.lag(k).over(w))
-    return out
+        before = before.withColumn(f"{k}_delta", F.col(k) - F.col(f"_was_{k}")).drop(f"_was_{k}")
+    return before.drop("_seq")
 
 
 def keep_last(scenarios: DataFrame, n: int = 10, keys: list[str] = ["upload"]) -> DataFrame:

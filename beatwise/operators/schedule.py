@@ -138,7 +138,10 @@ def role_schedules(cells: DataFrame, roles: DataFrame, week: list[int], weeks_in
 def apply_role_template(reps: DataFrame, template: DataFrame, selected: DataFrame | None = None) -> DataFrame:
     """Every rep (or the selected ones) with every role of the template, a handful of rows."""
     chosen = reps if selected is None else reps.join(selected.select("rep_id").distinct(), "rep_id", "left_semi")
-    roles = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.asDict().items()]) for r in template.limit(50).collect()])
+    rows = template.limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("a role template is a short list; this one has over 1000 roles")
+    roles = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.asDict().items()]) for r in rows])
     return chosen.select("rep_id", F.inline(roles))
 
 

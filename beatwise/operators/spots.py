@@ -92,6 +92,7 @@ def duplicate_clusters(outlets: DataFrame, keys: list[str], radius_m: float = 10
     at least ``alike``); outlets left alone that have another outlet within the radius form one more.
     Names are compared once per distinct name of a cluster, not once per outlet.
     """
+    from beatwise.operators.scorecard import route_diameters
     base = cut(outlets.select(*keys, "outlet_id", "name", "vf", "latitude", "longitude", text.normalise_name(c("name")).alias("name_key")))
     at = base.groupBy(*keys, "latitude", "longitude").agg(F.min("outlet_id").alias("spot"))
     links = cut(duplicate_links(outlets, keys, radius_m, name_radius_m))
@@ -123,9 +124,8 @@ def duplicate_clusters(outlets: DataFrame, keys: list[str], radius_m: float = 10
         rest.join(several, [*keys, "cluster"], "left_semi").withColumn("kind", F.lit("spot")).withColumn("group_id", c("cluster"))))
     both = cut(both.select(*keys, "outlet_id", "group_id", "kind", "name", "vf", "latitude", "longitude"))
     gk = [*keys, "group_id", "kind"]
-    pos = both.select(*gk, "latitude", "longitude").distinct()
-    span = (pos.withColumnRenamed("latitude", "la").withColumnRenamed("longitude", "lo").join(pos, gk)
-            .groupBy(*gk).agg((F.max(haversine_km(c("la"), c("lo"), c("latitude"), c("longitude"))) * 1000).alias("_span")))
+    # The farthest two of a group lie on its hull, so only hull points are paired.
+    span = route_diameters(both, gk).select(*gk, (c("diameter_km") * 1000).alias("_span"))
     script = text.script_of(c("name"))
     info = both.groupBy(*gk).agg(
         (F.max((script == "ar").cast("int")) + F.max((script == "la").cast("int")) == 2).alias("_mixed"),

@@ -1,13 +1,10 @@
-"""Session helpers: cutting lineage in iterative jobs and size-checked broadcasts."""
+"""Session helper: cutting lineage in iterative jobs."""
 from __future__ import annotations
 
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,8 +34,3 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when the frame is counted to be below ``rows``; else leave the join to Spark."""
-    n = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    return F.broadcast(df) if n <= rows else df
