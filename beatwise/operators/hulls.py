@@ -38,14 +38,15 @@ def hull_of(x: str, y: str) -> Column:
 
 
 def _partial(keys: list[str]):
-    """Hull points of each group within one Arrow batch: the map-side combine of a hull."""
+    """Hull points of each group within one Arrow batch: the map-side combine of a hull. Groups with a
+    handful of points in the batch pass as they are."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            kept = [batch.loc[[i for i, p in zip(g.index, zip(g["x"], g["y"])) if p in ring]]
-                    for _, g in batch.groupby(keys, sort=False)
-                    for ring in [set(_chain(list(zip(g["x"], g["y"]))))]]
-            if kept:
-                yield pd.concat(kept)
+            many = batch.groupby(keys, sort=False)["x"].transform("size") > 32
+            yield batch[~many]
+            for _, g in batch[many].groupby(keys, sort=False):
+                ring = set(_chain(list(zip(g["x"], g["y"]))))
+                yield g[[p in ring for p in zip(g["x"], g["y"])]]
     return run
 
 
