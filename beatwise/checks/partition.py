@@ -102,3 +102,32 @@ def _feedback(spark, sf):
 
 
 QUERIES["territory_feedback"] = _feedback
+
+# ------------------------------------------------------------------ single rounds
+GRAPH = f"""kg AS (SELECT a.market_id, a.outlet_id, CAST(a.rep_id % 25 AS INTEGER) AS g, CAST(b.rep_id % 25 AS INTEGER) AS h, a.vf AS w, {HAB} AS km FROM act a JOIN act b ON a.market_id = b.market_id AND a.outlet_id <> b.outlet_id
+  QUALIFY row_number() OVER (PARTITION BY a.outlet_id ORDER BY {HAB}, b.outlet_id) <= 8),
+gl AS (SELECT market_id, CAST(rep_id % 25 AS INTEGER) AS g, sum(vf) AS load FROM act GROUP BY ALL), gm AS (SELECT market_id, sum(load) / count(*) AS mean FROM gl GROUP BY 1)"""
+
+
+def _one_to_one(score: str) -> str:
+    """Pairs of groups that are the best of both, from candidates d (market_id, outlet_id, g, h)."""
+    return f"""pr AS (SELECT market_id, g, h, {score} AS s, outlet_id AS o FROM d QUALIFY row_number() OVER (PARTITION BY market_id, g, h ORDER BY {score}, outlet_id) = 1),
+en AS (SELECT *, unnest([g, h]) AS e FROM pr), be AS (SELECT * FROM en QUALIFY row_number() OVER (PARTITION BY market_id, e ORDER BY s, o, g, h) = 1),
+ch AS (SELECT market_id, g, h FROM be GROUP BY ALL HAVING count(*) = 2)"""
+
+
+QUERIES["repair_loads_round"] = lambda spark, sf: pt.repair_loads(_skewed(spark, sf), pt.neighbour_graph(units(spark, sf), M), M, 0.05, 0.05, rounds=1).select("market_id", "outlet_id", "group")
+SQL["repair_loads_round"] = f"""WITH {OUTLETS}, {ACT}, {GRAPH}, tc AS (SELECT market_id, outlet_id, g, h, w, min(km) AS km FROM kg WHERE g <> h AND km <= 4 GROUP BY ALL),
+d AS (SELECT tc.*, x.load AS gload, y.load AS hload, mean, mean * 0.95::DOUBLE AS lo, mean * 1.05::DOUBLE AS hi FROM tc JOIN gl x USING (market_id, g) JOIN gl y ON y.market_id = tc.market_id AND y.g = tc.h JOIN gm ON gm.market_id = tc.market_id
+  WHERE ((x.load > hi AND y.load < mean) OR (y.load < lo AND x.load > mean)) AND x.load - w >= lo AND y.load + w <= hi), {_one_to_one('km')},
+mv AS (SELECT d.*, sum(w) OVER (PARTITION BY d.market_id, d.g, d.h ORDER BY km, outlet_id) AS cu FROM d JOIN ch USING (market_id, g, h)),
+go AS (SELECT outlet_id, h FROM mv WHERE cu <= greatest(w, least(gload - mean, mean - hload)) AND gload - cu >= lo AND hload + cu <= hi)
+SELECT market_id, outlet_id, coalesce(h, CAST(rep_id % 25 AS INTEGER)) AS "group" FROM act LEFT JOIN go USING (outlet_id)"""
+
+QUERIES["cohesion_round"] = lambda spark, sf: pt.cohesion_moves(_skewed(spark, sf), pt.neighbour_graph(units(spark, sf), M), M, 0.3, 0.3, rounds=1).select("market_id", "outlet_id", "group")
+SQL["cohesion_round"] = f"""WITH {OUTLETS}, {ACT}, {GRAPH}, tc AS (SELECT market_id, outlet_id, g, h, w, min(km) AS km FROM kg GROUP BY ALL), fr AS (SELECT outlet_id, max(km) AS far FROM kg GROUP BY 1),
+ow AS (SELECT outlet_id, km AS own FROM tc WHERE g = h), c AS (SELECT tc.*, coalesce(own, far) AS own_km FROM tc JOIN fr USING (outlet_id) LEFT JOIN ow USING (outlet_id) WHERE g <> h),
+d AS (SELECT c.* FROM c JOIN gl x USING (market_id, g) JOIN gl y ON y.market_id = c.market_id AND y.g = c.h JOIN gm ON gm.market_id = c.market_id
+  WHERE km < 0.8::DOUBLE * own_km AND x.load - w >= mean * 0.7::DOUBLE AND y.load + w <= mean * 1.3::DOUBLE), {_one_to_one('(km - own_km)')},
+go AS (SELECT outlet_id, h FROM d JOIN ch USING (market_id, g, h) QUALIFY row_number() OVER (PARTITION BY market_id, g, h ORDER BY km - own_km, outlet_id) = 1)
+SELECT market_id, outlet_id, coalesce(h, CAST(rep_id % 25 AS INTEGER)) AS "group" FROM act LEFT JOIN go USING (outlet_id)"""
