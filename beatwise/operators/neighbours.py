@@ -180,6 +180,22 @@ def min_labels(nodes: DataFrame, edges: DataFrame, keys: list[str], rounds: int
     return labels
 
 
+def box_bounds(a: str, b: str) -> tuple[Column, Column]:
+    """Bounds of the distance between points of two boxes (columns min_lat_<a>, max_lat_<a>, ...): no pair is
+    nearer than the first, none farther than the second. Rounded outward by a thousandth."""
+    c = lambda x, e: F.col(f"{x}_{e}")
+    gap_lat = F.greatest(F.lit(0.0), c("min_lat", a) - c("max_lat", b), c("min_lat", b) - c("max_lat", a))
+    gap_lng = F.greatest(F.lit(0.0), c("min_lng", a) - c("max_lng", b), c("min_lng", b) - c("max_lng", a))
+    all_lat = F.greatest(c("max_lat", a), c("max_lat", b)) - F.least(c("min_lat", a), c("min_lat", b))
+    all_lng = F.greatest(c("max_lng", a), c("max_lng", b)) - F.least(c("min_lng", a), c("min_lng", b))
+    sides = [F.abs(c(x, e)) for x in ("min_lat", "max_lat") for e in (a, b)]
+    far_cos, near_cos = F.cos(F.radians(F.greatest(*sides))), F.cos(F.radians(F.least(*sides)))
+    equator = F.least(c("min_lat", a), c("min_lat", b)) * F.greatest(c("max_lat", a), c("max_lat", b)) < 0
+    least = F.hypot(gap_lat, gap_lng * far_cos) * KM_PER_DEGREE * 0.999
+    most = F.hypot(all_lat, all_lng * F.when(equator, 1.0).otherwise(near_cos)) * KM_PER_DEGREE * 1.001
+    return least, most
+
+
 def components(outlets: DataFrame, keys: list[str], km: float, id_col: str = "outlet_id") -> DataFrame:
     """Single-linkage components at ``km``: keys, id, ``component`` (its lowest id).
 
@@ -200,16 +216,7 @@ def components(outlets: DataFrame, keys: list[str], km: float, id_col: str = "ou
     pairs = (_spread(cells, ahead).select(*keys, "_cy", "_cx", *named("_a"))
              .join(cells.select(*keys, "_cy", "_cx", *named("_b")), [*keys, "_cy", "_cx"]))
     c = F.col
-    gap_lat = F.greatest(F.lit(0.0), c("min_lat_a") - c("max_lat_b"), c("min_lat_b") - c("max_lat_a"))
-    gap_lng = F.greatest(F.lit(0.0), c("min_lng_a") - c("max_lng_b"), c("min_lng_b") - c("max_lng_a"))
-    all_lat = F.greatest("max_lat_a", "max_lat_b") - F.least("min_lat_a", "min_lat_b")
-    all_lng = F.greatest("max_lng_a", "max_lng_b") - F.least("min_lng_a", "min_lng_b")
-    far_cos = F.cos(F.radians(F.greatest(F.abs("min_lat_a"), F.abs("max_lat_a"), F.abs("min_lat_b"), F.abs("max_lat_b"))))
-    near_cos = F.cos(F.radians(F.least(F.abs("min_lat_a"), F.abs("max_lat_a"), F.abs("min_lat_b"), F.abs("max_lat_b"))))
-    least_km = F.hypot(gap_lat, gap_lng * far_cos) * KM_PER_DEGREE * 0.999
-    most_km = F.hypot(all_lat, all_lng * F.greatest(near_cos, F.lit(0.0))) * KM_PER_DEGREE * 1.001
-    straddles = (c("min_lat_a") < 0) | (c("min_lat_b") < 0)
-    most_km = F.when(straddles, F.hypot(all_lat, all_lng) * KM_PER_DEGREE * 1.001).otherwise(most_km)
+    least_km, most_km = box_bounds("a", "b")
     pairs = cut(pairs.filter(least_km <= km).withColumn("_sure", most_km <= km)
                 .select(*keys, c("node_a").alias("src"), c("node_b").alias("dst"), "_sure",
                         *[c(f"{x}_{s}") for s in ("a", "b") for x in ("min_lat", "max_lat", "min_lng", "max_lng")]))

@@ -1,33 +1,58 @@
 """Outliers, duplicates, misfits and strays: outlets judged by what lies around them."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beatwise.functions import text
 from beatwise.functions.geo import box_gap_km, haversine_km
 from beatwise.functions.numbers import half_up
-from beatwise.operators.neighbours import LADDER, components, min_labels, nearest, reach_degrees, within_km
+from beatwise.operators.neighbours import KM_PER_DEGREE, LADDER, box_bounds, components, min_labels, nearest, reach_degrees, within_km
 from beatwise.session import cut
 
 c = F.col  # resolved when called, inside operators only
 
 
-def group_gap_km(points: DataFrame, keys: list[str], group: str, up_to: float) -> DataFrame:
-    """Gap (closest pair) of every two groups of a key at most ``up_to`` km apart: a, b, gap_km.
+def group_gap_km(points: DataFrame, keys: list[str], group: str, up_to: float, levels: tuple[int, ...] = (4, 32)) -> DataFrame:
+    """Gap (closest pair) of every two groups of a key at most ``up_to`` km apart: a, b, gap_km, box_gap_km.
 
-    Boxes rule pairs of groups out before any outlet is measured, and only outlets within reach of
-    the other group's box meet, through a grid.
+    A group is first its boxes per grid cell. Of two groups only box pairs that can still hold the
+    closest pair go on: their least distance is no more than the least of all greatest ones. That is
+    done on two grids, a quarter and a 32nd of ``up_to`` wide, before outlets are measured.
     """
-    box = points.groupBy(*keys, group).agg(F.min("latitude").alias("min_lat"), F.max("latitude").alias("max_lat"),
-                                           F.min("longitude").alias("min_lng"), F.max("longitude").alias("max_lng"))
     pts = points.select(*keys, c(group).alias("g"), "latitude", "longitude").distinct()
-    # A group's outlets as spots of one id each; pairs of different groups within reach.
-    pairs = within_km(pts, pts, keys, up_to).filter("g_a < g_b")
-    out = pairs.groupBy(*keys, c("g_a").alias("a"), c("g_b").alias("b")).agg(F.min("km").alias("gap_km"))
-    a = box.select(*keys, c(group).alias("a"), *[c(x).alias(f"a_{x}") for x in box.columns[-4:]])
-    b = box.select(*keys, c(group).alias("b"), *[c(x).alias(f"b_{x}") for x in box.columns[-4:]])
-    return out.join(a, [*keys, "a"]).join(b, [*keys, "b"]).select(*keys, "a", "b", "gap_km", box_gap_km("a_", "b_").alias("box_gap_km"))
+    lat = pts.agg(F.max(F.abs("latitude")).alias("m")).first()["m"] or 0.0
+    wide = max(0.02, math.cos(math.radians(min(89.0, lat + up_to / KM_PER_DEGREE))))
+    step = lambda n: up_to / KM_PER_DEGREE / n
+    edges = [F.min("latitude").alias("min_lat"), F.max("latitude").alias("max_lat"), F.min("longitude").alias("min_lng"), F.max("longitude").alias("max_lng")]
+    names = ["min_lat", "max_lat", "min_lng", "max_lng"]
+    grid = lambda df, n, tag: df.withColumn(f"y{tag}", F.floor(c("latitude") / step(n)).cast("bigint")).withColumn(f"x{tag}", F.floor(c("longitude") / step(n)).cast("bigint"))
+    at = cut(grid(grid(pts, levels[0], 1), levels[1], 2))
+    named = lambda end: [c("g").alias(end), *[c(x).alias(f"{x}_{end}") for x in names]]
+
+    def closest(pairs: DataFrame) -> DataFrame:
+        low, high = box_bounds("a", "b")
+        both = pairs.withColumn("_low", low).withColumn("_high", high).filter(c("_low") <= up_to)
+        best = both.groupBy(*keys, "a", "b").agg(F.min("_high").alias("_best"))
+        return both.join(best, [*keys, "a", "b"]).filter(c("_low") <= c("_best")).drop("_low", "_high", "_best", *[f"{x}_{e}" for x in names for e in ("a", "b")])
+
+    n, m = levels[0] + 1, math.ceil(levels[0] / wide) + 1
+    coarse = at.groupBy(*keys, "g", "y1", "x1").agg(*edges)
+    reach = F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y in range(-n, n + 1) for x in range(-m, m + 1)])
+    a = coarse.withColumn("_o", F.explode(reach)).select(*keys, *named("a"), c("y1").alias("ya"), c("x1").alias("xa"), (c("y1") + c("_o.dy")).alias("yb"), (c("x1") + c("_o.dx")).alias("xb"))
+    b = coarse.select(*keys, *named("b"), c("y1").alias("yb"), c("x1").alias("xb"))
+    pairs = cut(closest(a.join(b, [*keys, "yb", "xb"]).filter("a < b")))
+    fine = at.groupBy(*keys, "g", "y1", "x1", "y2", "x2").agg(*edges)
+    end = lambda e, *more: fine.select(*keys, *named(e), c("y1").alias(f"y{e}"), c("x1").alias(f"x{e}"), c("y2").alias(f"y2{e}"), c("x2").alias(f"x2{e}"))
+    pairs = cut(closest(pairs.join(end("a"), [*keys, "a", "ya", "xa"]).join(end("b"), [*keys, "b", "yb", "xb"])))
+    side = lambda e: at.select(*keys, c("g").alias(e), c("y2").alias(f"y2{e}"), c("x2").alias(f"x2{e}"), c("latitude").alias(f"la_{e}"), c("longitude").alias(f"lo_{e}"))
+    met = pairs.select(*keys, "a", "b", "y2a", "x2a", "y2b", "x2b").join(side("a"), [*keys, "a", "y2a", "x2a"]).join(side("b"), [*keys, "b", "y2b", "x2b"])
+    out = met.groupBy(*keys, "a", "b").agg(F.min(haversine_km(c("la_a"), c("lo_a"), c("la_b"), c("lo_b"))).alias("gap_km")).filter(c("gap_km") <= up_to)
+    box = points.groupBy(*keys, group).agg(*edges)
+    whole = lambda e: box.select(*keys, c(group).alias(e), *[c(x).alias(f"{e}_{x}") for x in names])
+    return out.join(whole("a"), [*keys, "a"]).join(whole("b"), [*keys, "b"]).select(*keys, "a", "b", "gap_km", box_gap_km("a_", "b_").alias("box_gap_km"))
 
 
 def geo_outliers(outlets: DataFrame, keys: list[str], link_km: float = 5.0, anchor_km: float = 30.0) -> DataFrame:
@@ -74,7 +99,6 @@ def duplicate_links(outlets: DataFrame, keys: list[str], radius_m: float = 10.0,
     """Spots that may hold one shop twice: links between positions within the radius, or between
     positions that hold the same normalised name within the wider one (src, dst position ids)."""
     named = cut(outlets.select(*keys, "outlet_id", "latitude", "longitude", text.normalise_name(c("name")).alias("name_key")))
-    spot = Window.partitionBy(*keys, "latitude", "longitude")
     at = cut(named.groupBy(*keys, "latitude", "longitude").agg(F.min("outlet_id").alias("spot")))
     near = within_km(at, at, keys, radius_m / 1000).filter("spot_a < spot_b").select(*keys, c("spot_a").alias("src"), c("spot_b").alias("dst"))
     names = named.filter(F.length("name_key") >= 2).join(at, [*keys, "latitude", "longitude"]).select(
@@ -95,7 +119,12 @@ def duplicate_clusters(outlets: DataFrame, keys: list[str], radius_m: float = 10
     from beatwise.operators.scorecard import route_diameters
     base = cut(outlets.select(*keys, "outlet_id", "name", "vf", "latitude", "longitude", text.normalise_name(c("name")).alias("name_key")))
     at = base.groupBy(*keys, "latitude", "longitude").agg(F.min("outlet_id").alias("spot"))
-    links = cut(duplicate_links(outlets, keys, radius_m, name_radius_m))
+    # Only what hangs together matters here, so links are one per outlet and component, never pairs.
+    tied = base.join(at, [*keys, "latitude", "longitude"]).select(*keys, "name_key", "spot", "latitude", "longitude").distinct()
+    star = lambda comp: comp.select(*keys, c("component").alias("src"), c("spot").alias("dst"))
+    near_links = components(at, keys, radius_m / 1000, "spot")
+    name_links = components(tied.filter(F.length("name_key") >= 2), [*keys, "name_key"], name_radius_m / 1000, "spot")
+    links = cut(star(near_links).union(star(name_links)).filter("src <> dst").distinct())
     labels = min_labels(at.select(*keys, c("spot").alias("node")), links, keys).select(*keys, c("node").alias("spot"), c("label").alias("cluster"))
     member = cut(base.join(at, [*keys, "latitude", "longitude"]).join(labels, [*keys, "spot"]))
     size = member.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
@@ -113,11 +142,8 @@ def duplicate_clusters(outlets: DataFrame, keys: list[str], radius_m: float = 10
     counts = named.groupBy(*keys, "group_id").agg(F.count(F.lit(1)).alias("_n"))
     named = cut(named.join(counts, [*keys, "group_id"]))
     alone = named.filter("_n = 1")
-    # Leftovers: another member of the cluster within the radius (on the same spot or near it).
-    spots_of = named.groupBy(*keys, "cluster", "latitude", "longitude").agg(F.count(F.lit(1)).alias("_there"))
-    near = within_km(alone.select(*keys, "cluster", "outlet_id", "latitude", "longitude"),
-                     spots_of, [*keys, "cluster"], radius_m / 1000)
-    near = near.groupBy(*keys, c("outlet_id_a").alias("outlet_id")).agg(F.sum("_there_b").alias("_near")).filter("_near > 1")
+    # Leftovers: those whose nearest other member of the cluster is within the radius.
+    near = nearest(alone, named, [*keys, "cluster"], 1).filter(c("km") <= radius_m / 1000)
     rest = alone.join(near.select(*keys, "outlet_id"), [*keys, "outlet_id"], "left_semi")
     several = rest.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select(*keys, "cluster")
     both = (named.filter("_n > 1").withColumn("kind", F.lit("name")).unionByName(

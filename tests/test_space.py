@@ -162,3 +162,21 @@ def test_hot_spot_stays_linear(spark):
     near = nb.nearest(df, df, ["market_id"], 2)
     assert near.count() == 2 * 4001 and near.filter("outlet_id < 4000 and km > 0").count() == 0
     assert {r.component for r in nb.components(df, ["market_id"], 0.05).collect()} == {0}
+
+
+def test_group_gaps(spark):
+    rows = cloud(11, 150, 1)
+    got = {(r.a, r.b): r.gap_km for r in spots.group_gap_km(frame(spark, rows), ["market_id"], "rep_id", 5.0).collect()}
+    want = {}
+    for x in rows:
+        for y in rows:
+            if x[2] < y[2]:
+                d = km(x[3:], y[3:])
+                want[x[2], y[2]] = min(d, want.get((x[2], y[2]), 1e9))
+    want = {k: v for k, v in want.items() if v <= 5.0}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    apart = [(0, i, i % 3, 33.5 + 0.03 * (i % 3) + 0.0007 * (i % 11), 35.5 + 0.0009 * (i % 7)) for i in range(90)]
+    got = {(r.a, r.b): r.gap_km for r in spots.group_gap_km(frame(spark, apart), ["market_id"], "rep_id", 5.0).collect()}
+    for a, b in ((0, 1), (1, 2), (0, 2)):
+        d = min(km(x[3:], y[3:]) for x in apart for y in apart if x[2] == a and y[2] == b)
+        assert got.get((a, b)) == (pytest.approx(d, abs=1e-6) if d <= 5 else None)
