@@ -86,7 +86,7 @@ _pieces = lambda spark, sf: units(spark, sf).groupBy(*REP, c("day_group").alias(
 QUERIES["apportion_days"] = lambda spark, sf: pt.apportion_days(_pieces(spark, sf), REP, F.lit(13))
 SQL["apportion_days"] = f"""WITH {OUTLETS}, {ACT}, p AS (SELECT market_id, rep_id, day_group AS piece, CAST(sum(vf * (day_group * 3 + 1)) AS DOUBLE) AS load FROM act GROUP BY ALL),
 q AS (SELECT *, load / (sum(load) OVER (PARTITION BY rep_id) / 13) AS q FROM p), d AS (SELECT *, greatest(1, floor(q)) AS d FROM q),
-l AS (SELECT *, 13 - sum(d) OVER (PARTITION BY rep_id) AS lft, row_number() OVER (PARTITION BY rep_id ORDER BY q - d DESC, piece) AS r FROM d)
+l AS (SELECT *, 13 - sum(d) OVER (PARTITION BY rep_id) AS lft, row_number() OVER (PARTITION BY rep_id ORDER BY q - d DESC, piece) AS r FROM d),
 b AS (SELECT *, coalesce(sum(d - 1) OVER (PARTITION BY rep_id ORDER BY CASE WHEN d > 1 THEN load / (d - 1) END DESC NULLS LAST, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM l)
 SELECT market_id, rep_id, piece, load, CAST(CASE WHEN lft >= 0 THEN d + CASE WHEN r <= lft THEN 1 ELSE 0 END ELSE d - greatest(0, least(d - 1, -lft - bef)) END AS INTEGER) AS days FROM b"""
 QUERIES["anchor_days"] = lambda spark, sf: pt.anchor_days(units(spark, sf), REP, 5).groupBy(*REP, "day_group").agg(F.count(F.lit(1)).alias("outlets"))
