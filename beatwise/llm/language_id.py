@@ -217,3 +217,16 @@ def predict(docs: DataFrame, model: Field, held_out) -> DataFrame:
                  pa.array([g[2] for g in got], pa.int64())], names=PREDICTED.names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text").mapInArrow(run, PREDICTED)
+
+
+def keep(docs: DataFrame, model: Field, least: float) -> DataFrame:
+    """The rows of ``docs`` (text and any columns) whose text has a language with a mean posterior of at least
+    ``least``; null texts and those without a letter go."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, int] = {}
+        table: list[np.ndarray] = []
+        for batch, texts in text_chunks(batches):
+            got = predict_texts(texts, model, cache, table)
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score, _ in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
