@@ -25,31 +25,31 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def _at(array: Column, i: Column) -> Column:
-    return F.get(array, i)
+def _pairs(array: Column, step: int, both) -> Column:
+    """``both`` of every value and the one ``step`` places on."""
+    return F.transform(F.slice(array, F.lit(1), F.greatest(F.size(array) - step, F.lit(0))), lambda v, i: both(v, F.get(array, i + step)))
 
 
-def _grams(array: Column, n: int) -> Column:
-    """Hash of the n values from every position on."""
-    last = F.size(array) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-                                         lambda i: F.xxhash64(*[_at(array, i + j) for j in range(n)]))).otherwise(F.array().cast("array<bigint>"))
+def _exploded(df: DataFrame, array: Column | str, name: str, *keep: str) -> DataFrame:
+    """One row per value. Not an inner explode: its inferred filter would be pushed below and repeat the whole chain of
+    array expressions."""
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
 
 
-def _winnowed(grams: Column) -> Column:
-    """Positions of the chosen hashes: of each window the smallest, the last of equal ones. Callers have a full window."""
-    width = SPAN - GRAM + 1
-    best = F.transform(F.sequence(F.lit(0), F.size(grams) - width),
-                       lambda i: F.greatest(*[F.struct((-F.shiftright(_at(grams, i + j), 1)).alias("h"), (i + j).alias("at")) for j in range(width)]))
-    return F.array_distinct(F.transform(best, lambda b: b["at"]))
+def _with_grams(df: DataFrame) -> DataFrame:
+    """Adds ``grams``, the hash of the GRAM words from every position on: of 2, of 4, then two overlapping fours."""
+    df = df.withColumn("h1", F.transform("words", lambda w: F.xxhash64(w)))
+    for name, of, step in (("h2", "h1", 1), ("h4", "h2", 2), ("grams", "h4", GRAM - 4)):
+        df = df.withColumn(name, _pairs(F.col(of), step, F.xxhash64))
+    return df.drop("h1", "h2", "h4")
 
 
-def fingerprints(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys, ``words``, ``at`` and ``print`` of each fingerprint of rows with at least SPAN ``words``."""
-    return (df.filter(F.size("words") >= SPAN)
-            .withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn("grams", _grams(F.col("hashes"), GRAM))
-            .select(*keys, "words", "grams", F.explode(_winnowed(F.col("grams"))).alias("at"))
-            .select(*keys, "words", "at", _at(F.col("grams"), F.col("at")).alias("print")))
+def _with_prints(df: DataFrame) -> DataFrame:
+    """Adds ``prints``: the distinct smallest hashes of all windows of SPAN - GRAM + 1 = 7 grams. Empty below SPAN words."""
+    df = _with_grams(df)
+    for name, of, step in (("m2", "grams", 1), ("m4", "m2", 2), ("m7", "m4", SPAN - GRAM - 3)):
+        df = df.withColumn(name, _pairs(F.col(of), step, F.least))
+    return df.withColumn("prints", F.array_distinct("m7")).drop("m2", "m4", "m7", "grams")
 
 
 def _meet(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -58,42 +58,52 @@ def _meet(docs: DataFrame, items: DataFrame) -> DataFrame:
     if items.count() <= BROADCAST_ROWS:
         return docs.join(F.broadcast(items), "print")
     salted = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return docs.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int")).join(salted, ["print", "salt"]).drop("salt")
+    return docs.withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(SALTS)).cast("int")).join(salted, ["print", "salt"]).drop("salt")
 
 
-def spans(docs: DataFrame, items: DataFrame) -> DataFrame:
+def _hit_documents(documents: DataFrame, hits: DataFrame) -> DataFrame:
+    """Words of the documents with ``hits`` (doc_id, mark, print), and their hit prints."""
+    found = hits.groupBy(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).agg(F.collect_set("print").alias("hit_prints"))
+    texts = documents.select("doc_id", _mark(), "text").dropDuplicates(["doc_id", "mark"])
+    both = texts.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("mark").eqNullSafe(F.col("_m")))
+    return both.select("doc_id", "mark", words(F.col("text")).alias("words"), "hit_prints")
+
+
+def spans(documents: DataFrame, prepared: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct doc_id, mark, item_id, start, length of every window of an item that occurs in a document.
 
-    ``docs`` has doc_id, mark and words, ``items`` item_id and words.
+    ``documents`` has doc_id and text, ``prepared`` doc_id, mark and prints, ``items`` item_id and words.
     """
     width = SPAN - GRAM
-    long = fingerprints(items, ["item_id"]).select(
-        "item_id", "print", F.col("at").alias("item_at"), F.slice("words", F.greatest(F.col("at") - width, F.lit(0)) + 1, SPAN + width).alias("item_words"),
-        F.least(F.col("at"), F.lit(width)).alias("item_before"))
-    met = _meet(fingerprints(docs, ["doc_id", "mark"]), long)
-    around = met.select("doc_id", "mark", "item_id", "at", "item_words", "item_before",
-                        F.slice("words", F.greatest(F.col("at") - width, F.lit(0)) + 1, SPAN + width).alias("doc_words"),
-                        F.least(F.col("at"), F.lit(width)).alias("doc_before"))
+    known = cut(_exploded(_with_prints(items), "prints", "print").distinct())
+    hits = _meet(_exploded(prepared, "prints", "print", "doc_id", "mark"), known)
+    # All places of the hit fingerprints in hit documents and items, each with the words around it.
+    around = lambda i: F.struct(i.alias("at"), F.get(F.col("grams"), i).alias("print"), F.least(i, F.lit(width)).alias("before"),
+                                F.slice("words", F.greatest(i - width, F.lit(0)) + 1, SPAN + width).alias("words"))
+    index = F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i")))
+    places = F.transform(F.filter(index, lambda p: F.array_contains("hit_prints", p["g"])), lambda p: around(p["i"]))
+    docs = _exploded(_with_grams(_hit_documents(documents, hits)), places, "d", "doc_id", "mark")
+    docs = docs.select("doc_id", "mark", F.col("d.print").alias("print"), "d")
+    own = _with_prints(items).withColumnRenamed("prints", "hit_prints")
+    sides = _exploded(_with_grams(own), places, "e", "item_id").select("item_id", F.col("e.print").alias("print"), "e").distinct()
     # A window that starts b words before the fingerprint lies in both texts or it is no candidate.
-    shifts = F.explode(F.sequence(F.lit(0), F.lit(width))).alias("b")
-    found = (around.select("*", shifts).filter("b <= item_before and b <= doc_before")
-             .withColumns({"x": F.slice("doc_words", F.col("doc_before") - F.col("b") + 1, SPAN), "y": F.slice("item_words", F.col("item_before") - F.col("b") + 1, SPAN)})
-             .filter((F.size("x") == SPAN) & (F.col("x") == F.col("y")))
-             .select("doc_id", "mark", "item_id", (F.col("at") - F.col("b")).alias("start"), F.lit(SPAN).alias("length")))
+    shifts = F.explode(F.sequence(F.lit(0), F.least("d.before", "e.before"))).alias("b")
+    window = lambda side: F.slice(F.col(f"{side}.words"), F.col(f"{side}.before") - F.col("b") + 1, SPAN)
+    found = (_meet(docs, sides).select("doc_id", "mark", "item_id", "d", "e", shifts).filter((F.size(window("d")) == SPAN) & (window("d") == window("e")))
+             .select("doc_id", "mark", "item_id", (F.col("d.at") - F.col("b")).alias("start"), F.lit(SPAN).alias("length")))
     # Items of fewer words are one window each: at most SPAN - 1 lengths, each a gram of its own.
     short = items.filter(F.size("words").between(1, SPAN - 1)).select("item_id", "words").distinct()
     for n in sorted(r[0] for r in short.select(F.size("words")).distinct().collect()):
         few = short.filter(F.size("words") == n).select("item_id", F.col("words").alias("item_words"), F.xxhash64("words").alias("print"))
-        gram = F.explode(F.sequence(F.lit(0), F.size("words") - n))
-        every = (docs.filter(F.size("words") >= n).select("doc_id", "mark", "words", gram.alias("at"))
-                 .withColumn("print", F.xxhash64(F.slice("words", F.col("at") + 1, n))))
-        found = found.union(_meet(every, few).filter(F.slice("words", F.col("at") + 1, n) == F.col("item_words"))
-                            .select("doc_id", "mark", "item_id", F.col("at").alias("start"), F.lit(n).alias("length")))
+        texts = documents.select("doc_id", _mark(), words(F.col("text")).alias("words")).filter(F.size("words") >= n)
+        gram = F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.struct(i.alias("at"), F.slice("words", i + 1, n).alias("doc_words")))
+        every = _exploded(texts, gram, "g", "doc_id", "mark").select("doc_id", "mark", "g.*").withColumn("print", F.xxhash64("doc_words"))
+        found = found.union(_meet(every, few).filter("doc_words = item_words").select("doc_id", "mark", "item_id", F.col("at").alias("start"), F.lit(n).alias("length")))
     return found.distinct()
 
 
-def _with_words(documents: DataFrame, *more: str) -> DataFrame:
-    return documents.select("doc_id", *more, F.struct(F.xxhash64("text"), F.xxhash64("text", F.lit(1))).alias("mark"), words(F.col("text")).alias("words"))
+def _mark() -> Column:
+    return F.struct(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b")).alias("mark")
 
 
 def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -103,9 +113,10 @@ def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     document is contaminated if at least one word in 20 is hit. Null and empty texts have no words and no hits; rows
     that repeat get the same result each; an item without id hits words but is not listed; other columns are ignored.
     """
-    docs = _with_words(documents)
+    docs = documents.select("doc_id", _mark(), words(F.col("text")).alias("words"))
+    docs = cut(_with_prints(docs).select("doc_id", "mark", F.size("words").cast("long").alias("n_words"), "prints"))
     items = benchmark.select("item_id", words(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    found = cut(spans(docs, items))
+    found = cut(spans(documents.select("doc_id", "text"), docs, items))
     key = ["doc_id", "mark"]
     starts = found.groupBy(*key, "start").agg(F.max("length").alias("length"))
     hit = (starts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("runs"))
@@ -116,7 +127,7 @@ def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
              .agg(F.sort_array(F.collect_set("item")).alias("items")))
     both = hit.withColumnRenamed("doc_id", "d").withColumnRenamed("mark", "m").alias("h").join(
         named.select(F.col("doc_id").alias("d2"), F.col("mark").alias("m2"), "items"), F.col("d").eqNullSafe(F.col("d2")) & F.col("m").eqNullSafe(F.col("m2")))
-    sized = docs.select(*key, F.size("words").cast("long").alias("n_words"))
+    sized = docs.select(*key, "n_words")
     out = sized.join(both, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("mark").eqNullSafe(F.col("m")), "left")
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     items_of = F.coalesce("items", F.array().cast("array<string>"))

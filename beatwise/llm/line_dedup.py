@@ -54,14 +54,17 @@ def _doubled(half: Column, step: int) -> Column:
 
 def _groups(table: DataFrame, levels: int, lengths: str, backward: bool) -> DataFrame:
     """place, n, id of the run that starts or ends at each line."""
-    ids = F.array(*[F.col(f"l{k}") for k in range(levels)])
-    rows = table.select("doc_id", "mark", ids.alias("ids"), F.posexplode(lengths).alias("at", "n")).filter("n is not null")
-    start = (F.col("at") + 1 - F.col("n")) if backward else F.col("at")
-    level = F.length(F.bin("n")) - 1
-    half = F.get(F.col("ids"), level)
-    a, b = F.get(half, start), F.get(half, start + F.col("n") - F.pow(F.lit(2), level).cast("int"))
-    return rows.select(F.struct("doc_id", "mark", start.cast("int").alias("at")).alias("place"), "n",
-                       F.struct("n", a["x"].alias("x"), b["x"].alias("y"), F.xxhash64(a["y"], b["y"]).alias("z")).alias("id"))
+    def run(n: Column, i: Column) -> Column:
+        start = (i + 1 - n) if backward else i
+        level = F.length(F.bin(n)) - 1
+        half = F.get(F.array(*[F.col(f"l{k}") for k in range(levels)]), level)
+        a, b = F.get(half, start), F.get(half, start + n - F.element_at(powers, level + 1))
+        return F.when(n.isNotNull(), F.struct(start.alias("at"), n.alias("n"), a["x"].alias("x"), b["x"].alias("y"), F.xxhash64(a["y"], b["y"]).alias("z")))
+
+    powers = F.array(*[F.lit(1 << k) for k in range(levels)])
+    # Not an inner explode: its inferred filter would be pushed below and repeat the whole chain of array expressions.
+    rows = table.select("doc_id", "mark", F.explode_outer(F.transform(lengths, run)).alias("r")).filter("r is not null")
+    return rows.select(F.struct("doc_id", "mark", "r.at").alias("place"), "r.n", F.struct("r.n", "r.x", "r.y", "r.z").alias("id"))
 
 
 def later_copies(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -104,11 +107,11 @@ def dedup(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = gone.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"),
                        F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1)))).alias("_gone"))
     names = [n for n in documents.columns if n not in ("line_count", "lines_deleted")]
-    both = documents.select(*names, _mark().alias("_own")).join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_mark")), "left")
-    lines = F.split("text", "\n", -1)
-    n = F.coalesce(F.size(lines), F.lit(0))
+    both = documents.select(*names, _mark().alias("_own"), F.split("text", "\n", -1).alias("_lines"))
+    both = both.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_mark")), "left")
+    n = F.coalesce(F.size("_lines"), F.lit(0))
     kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
     return both.select(*[text.alias("text") if c == "text" else F.col(c) for c in names],
                        F.when(F.col("text").isNull(), F.lit(0)).otherwise(n).cast("long").alias("line_count"),
                        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("lines_deleted"))
