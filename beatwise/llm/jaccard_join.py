@@ -30,7 +30,9 @@ SHINGLE, SHARE = 4, 85
 #: the same links, so the bound on the list decides speed alone.
 FREQUENT, FREQUENT_LIST, ORDER_ROUNDS = 16, 200_000, 2
 #: Documents that one task compares, and pivots of a region that has more.
-REGION_DOCS, PIVOTS = 256, 6
+REGION_DOCS, PIVOTS = 256, 32
+#: Mean cells of a document up to which a region is split.
+COPIES = 1.25
 #: Words whose hashes a worker keeps.
 CACHE_WORDS = 500_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -172,8 +174,11 @@ def _join_regions(regions: DataFrame, docs: DataFrame, size: int, share: int) ->
         ties = ties.union(ids.join(first, ["region", "known"]).select("region", F.col("node").alias("src"), "dst"))
         label = min_labels(ids.select("region", "node"), ties, ["region"]).select("region", F.col("node").alias("doc_id"), F.col("label").alias("known"))
         apart = F.transform("distances", lambda d: d <= F.array_min("distances") + 2 * reach)
-        cells = far.select("region", "doc_id", "distances").distinct().select("region", "doc_id", F.posexplode(apart).alias("cell", "inside")).filter("inside")
-        cells = cells.join(chosen.select("region", F.col("pivot").alias("doc_id")), ["region", "doc_id"], "left_anti")
+        left = far.select("region", "doc_id", "distances").distinct().join(chosen.select("region", F.col("pivot").alias("doc_id")), ["region", "doc_id"], "left_anti")
+        left = cut(left.select("region", "doc_id", F.filter(F.transform(apart, lambda x, i: F.when(x, i)), lambda i: i.isNotNull()).alias("cells")))
+        # Where the windows would copy most documents into several cells, the region goes on whole, less its pivots.
+        copies = left.groupBy("region").agg((F.avg(F.size("cells")) <= COPIES).alias("split"))
+        cells = left.join(copies, "region").select("region", "doc_id", F.explode(F.when(F.col("split"), F.col("cells")).otherwise(F.array(F.lit(-1)))).alias("cell"))
         regions = cut(cells.join(label, ["region", "doc_id"]).select(F.concat_ws(".", "region", "cell").alias("region"), "doc_id", "known"))
     return found if found is not None else docs.sparkSession.createDataFrame([], "doc_id long, other long")
 
