@@ -143,7 +143,7 @@ def kth_neighbour_km(outlets: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 # ------------------------------------------------------------------ components
 
-def min_labels(nodes: DataFrame, edges: DataFrame, keys: list[str], rounds: int = 60) -> DataFrame:
+def min_labels(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """Connected components: every node gets the id of one node of its component, as ``label``.
 
     ``nodes`` has keys + node, ``edges`` keys + src + dst (any direction). Every round hooks each
@@ -154,9 +154,7 @@ def min_labels(nodes: DataFrame, edges: DataFrame, keys: list[str], rounds: int
     moves = []
     live = cut(edges.select(*keys, "src", "dst").union(edges.select(*keys, c("dst"), c("src")))
                .filter("src <> dst").distinct())
-    for _ in range(rounds):
-        if live.isEmpty():
-            break
+    while not live.isEmpty():
         hooks = live.groupBy(*keys, "src").agg(F.min("dst").alias("_m")).select(
             *keys, c("src").alias("node"), F.least("src", "_m").alias("parent"))
         step = hooks.select(*keys, c("node").alias("parent"), c("parent").alias("_next"))

@@ -425,7 +425,8 @@ def overflow_memberships(points: DataFrame, homes: DataFrame, keys: list[str], r
     total = p.groupBy(*keys).agg((F.sum(F.lit(0.0) + c("vf")) / repeats / F.count_distinct("day_group")).alias("mean"))
     placed = None
     loads = load.select(*keys, "day_group", "load")
-    for _ in range(60):
+    # Every round places at least one outlet of each day that has open ones, so it ends.
+    while True:
         open_ = cand if placed is None else cand.join(placed.select(*keys, "outlet_id"), [*keys, "outlet_id"], "left_anti")
         if open_.isEmpty():
             break
