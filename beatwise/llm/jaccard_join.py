@@ -5,8 +5,9 @@ region; the nearest pivot gives the Voronoi cell, and a document whose distance
 twice the reach is replicated into that pivot's cell too, so no link crosses a border. Cells are joined recursively.
 
 Unrelated texts are at distance 1 from every pivot, where no inequality prunes. So the first regions are laid by
-shingles: two sets that link share one of the first few shingles in any common order, and documents that share none of
-those, directly or by way of others, are in different regions.
+shingles: two sets that link share one of the first few shingles in any common order, and all documents with one
+leading shingle are a region. The first pivot of a region is its document with the smallest id. Regions that this pivot
+does not tie into one component go on, those with the same documents once.
 """
 from __future__ import annotations
 
@@ -31,6 +32,8 @@ SHINGLE, SHARE = 4, 85
 FREQUENT, FREQUENT_LIST, ORDER_ROUNDS = 16, 200_000, 2
 #: Documents that one task compares, and pivots of a region that has more.
 REGION_DOCS, PIVOTS = 256, 32
+#: Rows, and bytes of shingles, that are dealt to one call.
+CALL_ROWS, CALL_BYTES = 1024, 16 << 20
 #: Mean cells of a document up to which a region is split.
 COPIES = 1.25
 #: Words whose hashes a worker keeps.
@@ -130,17 +133,46 @@ def _region_links(frame: pd.DataFrame, share: int) -> list[tuple[int, int]]:
     return out
 
 
-def _join_regions(regions: DataFrame, docs: DataFrame, size: int, share: int) -> DataFrame:
+def _calls(rows: int, shingles: int) -> int:
+    return max(1, -(-rows // CALL_ROWS), -(-8 * shingles // CALL_BYTES))
+
+
+def _pivot_links(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """doc_id, other: the distinct pairs (doc_id, n, pivot) that link. A pivot's set is sent once for many documents."""
+    size = pairs.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).first()
+    calls = _calls(size["rows"], 2 * (size["n"] or 0))
+    many = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / REGION_DOCS).alias("chunks"))
+    dealt = pairs.join(many, "pivot").select("doc_id", "pivot", F.pmod(F.xxhash64("pivot", F.pmod(F.xxhash64("doc_id"), F.col("chunks"))), F.lit(calls)).alias("call"))
+    rows = dealt.join(sets, "doc_id").select("call", "pivot", "doc_id", "shingles")
+    pivots = dealt.select("call", "pivot").distinct().join(sets.withColumnRenamed("doc_id", "pivot"), "pivot")
+    pivots = pivots.select("call", "pivot", F.lit(None).cast("long").alias("doc_id"), "shingles")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame["doc_id"].isna().to_numpy()
+        pivot_sets = {p: np.frombuffer(s, "uint64") for p, s in zip(frame["pivot"][own], frame["shingles"][own])}
+        out = []
+        for doc, pivot, s in zip(frame["doc_id"][~own], frame["pivot"][~own], frame["shingles"][~own]):
+            s, p = np.frombuffer(s, "uint64"), pivot_sets[pivot]
+            if links(len(s), len(p), distance(s, p)[1], share):
+                out.append((int(doc), int(pivot)))
+        return pd.DataFrame(out, columns=["doc_id", "other"])
+
+    return rows.union(pivots).groupBy("call").applyInPandas(compare, "doc_id long, other long")
+
+
+def _join_regions(regions: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """doc_id, other: enough links within regions (region, doc_id, known; rows of equal ``known`` are linked already)."""
     reach = 1 - share / 100 + 1e-9
     found = None
-    texts = docs.select("doc_id", "text").join(regions.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = cut(sets_of(texts, size))
     while not regions.isEmpty():
-        sized = regions.groupBy("region").agg(F.count(F.lit(1)).alias("docs"), F.count_distinct("known").alias("parts"))
-        at = cut(regions.join(sized.filter("parts > 1"), "region").join(sets, "doc_id"))
-        small = at.filter(F.col("docs") <= REGION_DOCS).groupBy("region").applyInPandas(
-            lambda f: pd.DataFrame(_region_links(f.sort_values("doc_id"), share), columns=["doc_id", "other"]), "doc_id long, other long")
+        sized = regions.groupBy("region").agg(F.count(F.lit(1)).alias("docs"), F.min("known").alias("a"), F.max("known").alias("b"))
+        at = cut(regions.join(sized.filter("a < b").drop("a", "b"), "region").join(sets, "doc_id"))
+        few = at.filter(F.col("docs") <= REGION_DOCS)
+        work = few.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("shingles")).alias("bytes")).first()
+        calls = _calls(work["rows"], (work["bytes"] or 0) // 8)
+        small = few.groupBy(F.pmod(F.xxhash64("region"), F.lit(calls)).alias("call")).applyInPandas(
+            lambda f: pd.DataFrame([x for _, g in f.sort_values("doc_id").groupby("region") for x in _region_links(g, share)], columns=["doc_id", "other"]),
+            "doc_id long, other long")
         large = at.filter(F.col("docs") > REGION_DOCS)
         # Pivots: of each region the lowest hashes, found by partial aggregation.
         h = F.struct(F.xxhash64("doc_id", "region").alias("h"), "doc_id")
@@ -180,7 +212,7 @@ def _join_regions(regions: DataFrame, docs: DataFrame, size: int, share: int) ->
         copies = left.groupBy("region").agg((F.avg(F.size("cells")) <= COPIES).alias("split"))
         cells = left.join(copies, "region").select("region", "doc_id", F.explode(F.when(F.col("split"), F.col("cells")).otherwise(F.array(F.lit(-1)))).alias("cell"))
         regions = cut(cells.join(label, ["region", "doc_id"]).select(F.concat_ws(".", "region", "cell").alias("region"), "doc_id", "known"))
-    return found if found is not None else docs.sparkSession.createDataFrame([], "doc_id long, other long")
+    return found if found is not None else sets.sparkSession.createDataFrame([], "doc_id long, other long")
 
 
 def classes(documents: DataFrame, size: int = SHINGLE, share: int = SHARE) -> DataFrame:
@@ -195,7 +227,7 @@ def classes(documents: DataFrame, size: int = SHINGLE, share: int = SHARE) -> Da
     for round_ in range(ORDER_ROUNDS + 1):
         heads = cut(leading(docs, frequent, size, share))
         same = cut(heads.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
-        firsts = heads.join(same, ["sig", "doc_id"], "left_semi").dropDuplicates(["sig"]).select("doc_id", F.explode("leading").alias("shingle"))
+        firsts = heads.join(same, ["sig", "doc_id"], "left_semi").dropDuplicates(["sig"]).select("doc_id", "n", F.explode("leading").alias("shingle"))
         if round_ == ORDER_ROUNDS:
             break
         many = firsts.groupBy("shingle").count().filter(F.col("count") > FREQUENT).orderBy(F.desc("count"), "shingle").limit(FREQUENT_LIST)
@@ -203,19 +235,31 @@ def classes(documents: DataFrame, size: int = SHINGLE, share: int = SHARE) -> Da
         if not len(more):
             break
         frequent = np.union1d(frequent, more)
-    heart = firsts.groupBy("shingle").agg(F.min("doc_id").alias("dst"), F.count(F.lit(1)).alias("docs")).filter("docs > 1").drop("docs")
-    ties = cut(firsts.join(heart, "shingle").filter("doc_id <> dst").select(F.lit(0).alias("all"), F.col("doc_id").alias("src"), "dst").distinct())
-    ends = ties.select("all", F.col("src").alias("node")).union(ties.select("all", F.col("dst").alias("node"))).distinct()
-    region = min_labels(ends, ties, ["all"])
-    regions = cut(region.select(F.col("label").cast("string").alias("region"), F.col("node").alias("doc_id"), F.col("node").alias("known")))
+    # Regions of one document are done. Those with the same documents are one: two order-free hashes of them tell.
+    of = [F.bit_xor(F.xxhash64("doc_id", F.lit(seed))).alias(f"of{seed}") for seed in (1, 2)]
+    heart = firsts.groupBy("shingle").agg(F.min(F.struct("doc_id", "n")).alias("p"), F.count(F.lit(1)).alias("docs"), *of).filter("docs > 1")
+    heart = heart.groupBy("docs", "of1", "of2", "p").agg(F.min("shingle").alias("shingle")).select("shingle", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("m"))
+    members = cut(firsts.join(heart, "shingle").filter("doc_id <> pivot"))
+    pairs = cut(members.filter(100 * F.least("n", "m") >= share * F.greatest("n", "m")).select("doc_id", "n", "pivot").distinct())
     one = docs.join(same.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    found = cut(_join_regions(regions, one, size, share)).select(F.lit(0).alias("all"), F.col("doc_id").alias("src"), F.col("other").alias("dst"))
+    near = members.select("doc_id").union(members.select("pivot")).distinct()
+    sets = cut(sets_of(one.join(near, "doc_id", "left_semi"), size))
+    edge = lambda found: found.select(F.lit(0).alias("all"), F.col("doc_id").alias("src"), F.col("other").alias("dst"))
+    tied = cut(edge(_pivot_links(pairs, sets, share)))
+    ends = tied.select("all", F.col("src").alias("node")).union(tied.select("all", F.col("dst").alias("node"))).distinct()
+    known = min_labels(ends, tied, ["all"]).select(F.col("node").alias("doc_id"), "label")
+    rest = members.join(known, "doc_id", "left").select("shingle", "doc_id", F.coalesce("label", "doc_id").alias("known"))
+    rest = cut(rest)
+    left = rest.groupBy("shingle").agg(F.min("known").alias("a"), F.max("known").alias("b"), F.count(F.lit(1)).alias("docs"), *of).filter("a < b")
+    left = left.groupBy("docs", "of1", "of2").agg(F.min("shingle").alias("shingle"))
+    regions = cut(rest.join(left.select("shingle"), "shingle").select(F.col("shingle").cast("string").alias("region"), "doc_id", "known"))
+    found = tied.union(edge(cut(_join_regions(regions, sets, share))))
     # Rows of one doc_id with different texts are one document of the graph.
     twice = heads.filter("n > 0").groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).filter("a <> b")
     reps = same.withColumnRenamed("doc_id", "rep")
-    tied = heads.join(twice.select("doc_id"), "doc_id", "left_semi").join(reps, "sig").select(F.lit(0).alias("all"), F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
-    found = found.union(tied)
-    nodes = same.select(F.lit(0).alias("all"), F.col("doc_id").alias("node")).union(tied.select("all", F.col("src").alias("node"))).distinct()
+    again = heads.join(twice.select("doc_id"), "doc_id", "left_semi").join(reps, "sig").select(F.lit(0).alias("all"), F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
+    found = found.union(again)
+    nodes = same.select(F.lit(0).alias("all"), F.col("doc_id").alias("node")).union(again.select("all", F.col("src").alias("node"))).distinct()
     label = min_labels(nodes, found, ["all"])
     best = label.groupBy("label").agg(F.min("node").alias("component_id"))
     of_sig = label.join(best, "label").select(F.col("node").alias("rep"), "component_id").join(reps, "rep").select("sig", "component_id")
