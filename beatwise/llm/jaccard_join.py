@@ -48,23 +48,27 @@ JOINED = T.StructType([T.StructField("region", T.StringType()), T.StructField("d
                        T.StructField("distances", T.ArrayType(T.DoubleType()))])
 
 
-def shingle_set(text: str | None, size: int, cache: dict[bytes, int]) -> np.ndarray:
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+def shingle_set(text: str | None, size: int, cache: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
         return np.empty(0, "uint64")
     if len(cache) > CACHE_WORDS:
         cache.clear()
-    for w in set(words):
-        if w not in cache:
-            cache[w] = xxhash.xxh3_64_intdigest(w)
     ids = np.fromiter(map(cache.__getitem__, words), "uint64", len(words))
     width = min(size, len(ids))
     mixed = np.full(len(ids) - width + 1, width, "uint64")
     for j in range(width):
         mixed = (mixed ^ ids[j:len(ids) - width + 1 + j]) * ODD
         mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
+    mixed.sort()
+    return mixed[np.concatenate([[True], mixed[1:] != mixed[:-1]])]
 
 
 def links(n: int, m: int, common: int, share: int) -> bool:
@@ -74,7 +78,7 @@ def links(n: int, m: int, common: int, share: int) -> bool:
 def leading(docs: DataFrame, frequent: np.ndarray, size: int, share: int) -> DataFrame:
     """doc_id, n, signature of the set, and its first n - ceil(share n) + 1 shingles: frequent ones last, then by hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
+        cache = WordHashes()
         for batch, texts in text_chunks(batches):
             sizes, sigs, firsts = [], [], []
             for text in texts:
@@ -93,7 +97,7 @@ def leading(docs: DataFrame, frequent: np.ndarray, size: int, share: int) -> Dat
 
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
+        cache = WordHashes()
         for batch, texts in text_chunks(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, size, cache).tobytes() for t in texts], pa.binary())], names=SETS.names)
 
