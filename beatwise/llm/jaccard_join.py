@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -228,35 +228,41 @@ def classes(documents: DataFrame, size: int = SHINGLE, share: int = SHARE) -> Da
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent = np.empty(0, "uint64")
-    for round_ in range(ORDER_ROUNDS + 1):
-        heads = cut(leading(docs, frequent, size, share))
-        same = cut(heads.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
-        firsts = heads.join(same, ["sig", "doc_id"], "left_semi").dropDuplicates(["sig"]).select("doc_id", "n", F.explode("leading").alias("shingle"))
-        if round_ == ORDER_ROUNDS:
-            break
-        many = firsts.groupBy("shingle").count().filter(F.col("count") > FREQUENT).orderBy(F.desc("count"), "shingle").limit(FREQUENT_LIST)
-        more = np.array([r["shingle"] for r in many.select("shingle").collect()], "int64").view("uint64")
+    heads = cut(leading(docs, frequent, size, share).select("doc_id", "n", "sig"))
+    same = cut(heads.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
+    one = docs.join(same.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    for _ in range(ORDER_ROUNDS):
+        many = leading(one, frequent, size, share).select(F.explode("leading").alias("shingle")).groupBy("shingle").count()
+        many = many.filter(F.col("count") > FREQUENT).orderBy(F.desc("count"), "shingle").limit(FREQUENT_LIST)
+        more = many.select("shingle").toPandas()["shingle"].to_numpy("int64").view("uint64")
         if not len(more):
             break
         frequent = np.union1d(frequent, more)
+    firsts = cut(leading(one, frequent, size, share).select("doc_id", "n", "leading")).select("doc_id", "n", F.explode("leading").alias("shingle"))
     # Regions of one document are done. Those with the same documents are one: two order-free hashes of them tell.
     of = [F.bit_xor(F.xxhash64("doc_id", F.lit(seed))).alias(f"of{seed}") for seed in (1, 2)]
-    heart = firsts.groupBy("shingle").agg(F.min(F.struct("doc_id", "n")).alias("p"), F.count(F.lit(1)).alias("docs"), *of).filter("docs > 1")
+    shared = cut(firsts.join(firsts.groupBy("shingle").count().filter("count > 1").select("shingle"), "shingle", "left_semi"))
+    heart = shared.groupBy("shingle").agg(F.min(F.struct("doc_id", "n")).alias("p"), F.count(F.lit(1)).alias("docs"), *of)
     heart = heart.groupBy("docs", "of1", "of2", "p").agg(F.min("shingle").alias("shingle")).select("shingle", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("m"))
-    members = cut(firsts.join(heart, "shingle").filter("doc_id <> pivot"))
+    members = cut(shared.join(heart, "shingle").filter("doc_id <> pivot"))
     pairs = cut(members.filter(100 * F.least("n", "m") >= share * F.greatest("n", "m")).select("doc_id", "n", "pivot").distinct())
-    one = docs.join(same.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     near = members.select("doc_id").union(members.select("pivot")).distinct()
     sets = cut(sets_of(one.join(near, "doc_id", "left_semi"), size))
     edge = lambda found: found.select(F.lit(0).alias("all"), F.col("doc_id").alias("src"), F.col("other").alias("dst"))
     tied = cut(edge(_pivot_links(pairs, sets, share)))
     ends = tied.select("all", F.col("src").alias("node")).union(tied.select("all", F.col("dst").alias("node"))).distinct()
     known = min_labels(ends, tied, ["all"]).select(F.col("node").alias("doc_id"), "label")
-    rest = members.join(known, "doc_id", "left").select("shingle", "doc_id", F.coalesce("label", "doc_id").alias("known"))
+    rest = members.join(known, "doc_id", "left").select("shingle", "doc_id", "n", F.coalesce("label", "doc_id").alias("known"))
     rest = cut(rest)
     left = rest.groupBy("shingle").agg(F.min("known").alias("a"), F.max("known").alias("b"), F.count(F.lit(1)).alias("docs"), *of).filter("a < b")
     left = left.groupBy("docs", "of1", "of2").agg(F.min("shingle").alias("shingle"))
-    regions = cut(rest.join(left.select("shingle"), "shingle").select(F.col("shingle").cast("string").alias("region"), "doc_id", "known"))
+    open_ = rest.join(left.select("shingle", "docs"), "shingle")
+    # In a small region a document stays only if one next to it in size could link.
+    by_size = Window.partitionBy("shingle").orderBy("n", "doc_id")
+    few = open_.filter(F.col("docs") <= REGION_DOCS).withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
+    few = few.filter((100 * F.col("less") >= share * F.col("n")) | (100 * F.col("n") >= share * F.col("more"))).drop("less", "more")
+    open_ = few.unionByName(open_.filter(F.col("docs") > REGION_DOCS))
+    regions = cut(open_.select(F.col("shingle").cast("string").alias("region"), "doc_id", "known"))
     found = tied.union(edge(cut(_join_regions(regions, sets, share))))
     # Rows of one doc_id with different texts are one document of the graph.
     twice = heads.filter("n > 0").groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).filter("a <> b")
