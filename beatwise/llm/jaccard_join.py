@@ -230,7 +230,10 @@ def classes(documents: DataFrame, size: int = SHINGLE, share: int = SHARE) -> Da
     frequent = np.empty(0, "uint64")
     heads = cut(leading(docs, frequent, size, share).select("doc_id", "n", "sig"))
     same = cut(heads.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
-    one = docs.join(same.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    one = docs.join(same.select("doc_id"), "doc_id", "left_semi")
+    # Texts are dealt out only where a doc_id has several rows.
+    if not heads.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        one = one.dropDuplicates(["doc_id"])
     for _ in range(ORDER_ROUNDS):
         many = leading(one, frequent, size, share).select(F.explode("leading").alias("shingle")).groupBy("shingle").count()
         many = many.filter(F.col("count") > FREQUENT).orderBy(F.desc("count"), "shingle").limit(FREQUENT_LIST)
