@@ -121,7 +121,9 @@ def _region_links(frame: pd.DataFrame, share: int) -> list[tuple[int, int]]:
     for p in range(len(ids)):
         open_ = (known != known[p]) & (100 * np.minimum(sizes, sizes[p]) >= share * np.maximum(sizes, sizes[p]))
         if low.shape[1]:
-            open_ &= (np.abs(low - low[p]) <= reach).all(axis=1) | np.isnan(low).any(axis=1)
+            # A distance that either of the two lacks leaves the pair open.
+            apart = np.abs(low - low[p])
+            open_ &= ((apart <= reach) | np.isnan(apart)).all(axis=1)
         open_[:p] = False
         column = np.full(len(ids), np.nan)
         column[p] = 0.0

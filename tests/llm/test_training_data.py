@@ -1,7 +1,10 @@
 """Training-data operators against brute force, with nulls, empty and repeated rows, and extra columns."""
+import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -96,6 +99,29 @@ def test_jaccard_join_splits_large_regions(spark, monkeypatch):
     assert got == component_by_definition(rows)
 
 
+def test_region_links_over_unmeasured_pairs():
+    sets = [[*range(87), *range(200, 213)], range(100), [*range(93), *range(100, 107)]]
+    frame = pd.DataFrame({"doc_id": [1, 2, 3], "known": [0, 0, 3], "shingles": [np.array(s, "uint64").tobytes() for s in sets]})
+    assert jaccard_join._region_links(frame, 85) == [(2, 3)]
+
+
+def test_jaccard_join_links_chains(spark):
+    rng, rows = random.Random(4), []
+    for chain in range(300):
+        n = rng.randint(40, 200)
+        most = max(1, int(0.02 * n))
+
+        def edited(of, mark):
+            return [f"{mark}{chain}e{i}" if i in where else x for where in [rng.sample(range(n), most)] for i, x in enumerate(of)]
+
+        h = words(chain, n).split()
+        p0, p1 = edited(h, "a"), edited(h, "b")
+        rows += [" ".join(t) for t in (h, p0, p1, edited(p1, "c"))]
+    rows = dict(enumerate(rows))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.classes(documents(spark, rows.items())).collect()}
+    assert got == component_by_definition(rows)
+
+
 def test_jaccard_join_empty(spark):
     assert jaccard_join.classes(documents(spark, [])).count() == 0
     assert jaccard_join.keep_one(documents(spark, [(1, "a b"), (2, "A b"), (3, None)])).count() == 2
