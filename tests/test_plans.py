@@ -149,3 +149,13 @@ def test_pins_keep_visit_count(spark):
         assert done.filter((F.col("outlet_id") == o.outlet_id) & (F.col("day_of_week") == o.day_of_week % 5 + 1)).count() >= 1
     cells = done.groupBy("rep_id", "week", "day_of_week").agg(F.max("seq").alias("m"), F.count("*").alias("n"))
     assert cells.filter("m <> n").count() == 0
+
+
+def test_single_rounds_reach_over_the_whole_route(spark):
+    line = lambda at: spark.createDataFrame([(0, i, p, 33.5, 35.5 + 0.001 * x) for p, (i, x) in enumerate(at, 1)],
+                                            "market_id int, outlet_id long, seq int, latitude double, longitude double")
+    row = [(i, float(i)) for i in range(100)]
+    turned = line(row[:39] + row[39:90][::-1] + row[90:])
+    assert [r.outlet_id for r in rt.two_opt_round(turned, M).orderBy("seq").collect()] == list(range(100))
+    strayed = line(row[:10] + row[11:80] + [row[10]] + row[80:])
+    assert [r.outlet_id for r in rt.or_opt_round(strayed, M).orderBy("seq").collect()] == list(range(100))
