@@ -5,9 +5,10 @@ keys, and the low two bits of each are packed into a few longs. Sets with a comm
 equal bit pairs, less what chance makes equal, estimates their similarity, and what may reach the bound is confirmed on
 the full sets. Two sets at a similarity of 0.8 miss each other in all 50 bands once in 4e8.
 
-A band key may be common to very many sets. First every set is compared with one centre of its keys, then with a centre
-of each; what is linked is one component, and keys whose sets are one component are done. The sets of keys that are left
-are compared by their packed bits in blocks of bounded size, each pair of blocks in one call.
+A band key may be common to very many sets. First every set is compared with one centre of its keys; what is linked is
+one component, and keys whose sets are one component are done. The sets of keys that are left are dealt to blocks of
+bounded size; a call takes two blocks, compares packed bits, and confirms on the full sets what is not yet one component.
+Some of the keys go first, since they leave little to the others.
 """
 from __future__ import annotations
 
@@ -35,8 +36,10 @@ BITS, CHANCE = 2, 0.25
 LONGS = -(-MINIMA * BITS // 64)
 #: Standard errors by which an estimate may fall short of the bound.
 ERRORS = 6
-#: Shingles that are hashed at a time, and sets in a block.
-HASHED, BLOCK = 400_000, 512
+#: Shingles that are hashed at a time; sets, and shingles, in a block.
+HASHED, BLOCK, BLOCK_SHINGLES = 400_000, 2048, 4_000_000
+#: One in so many open keys goes first.
+FIRST_KEYS = 8
 EVEN = 0x5555555555555555
 
 _random = np.random.Generator(np.random.PCG64(13))
@@ -47,7 +50,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType(), False), T.StructField("sig", T.BinaryType()),
                        T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
-SETS = T.StructType([T.StructField("sig", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+SETS = T.StructType([T.StructField("sig", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
@@ -115,7 +118,7 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
         cache = WordHashes()
         for _, texts in text_chunks(batches, "text"):
             sets = [s for s in (shingle_set(t, size, cache) for t in texts) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.view("int64") for s in sets], pa.list_(pa.int64()))],
+            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
                                              names=SETS.names)
 
     return docs.select("text").mapInArrow(run, SETS)
@@ -150,33 +153,58 @@ def _may_link(pairs: DataFrame, reps: DataFrame, share: int) -> DataFrame:
     return met.filter(estimate(_equal_pairs("bits", "other_bits")) >= bound).select("sig", "other")
 
 
-def _block_pairs(open_: DataFrame, reps: DataFrame, share: int) -> DataFrame:
-    """Pairs (sig, other) of different components with a common key (band, sig, label) that may link. A key's sets are
-    dealt to blocks; a call compares the packed bits of two blocks."""
-    sizes = open_.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    rows = open_.join(sizes, "band").join(reps.select("sig", "n", "bits"), "sig").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")))
+def links(a: bytes, b: bytes, share: int) -> bool:
+    x, y = np.frombuffer(a, "uint64"), np.frombuffer(b, "uint64")
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= share * (len(x) + len(y) - common)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Those of the pairs (sig, other) that link by their full sets."""
+    both = pairs.join(sets, "sig").join(sets.select(F.col("sig").alias("other"), F.col("shingles").alias("others")), "other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("shingles"), batch.column("others")
+            yield batch.select(["sig", "other"]).filter(pa.array([links(x.as_py(), y.as_py(), share) for x, y in zip(a, b)], pa.bool_()))
+
+    return both.select("sig", "other", "shingles", "others").mapInArrow(run, "sig binary, other binary")
+
+
+def _block_links(open_: DataFrame, reps: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Links (sig, other) that tie together what is linked among the sets of each key (band, sig, label). The sets of a
+    key are dealt to blocks; a call holds two blocks and returns a link only where it joins two components."""
+    rows = open_.select("band", "sig", "label").join(reps.select("sig", "n", "bits"), "sig")
+    sizes = rows.groupBy("band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    rows = rows.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")))
     pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("block")).alias("i"), F.greatest(b, F.col("block")).alias("j")))
-    rows = rows.select("band", "sig", "label", "n", "bits", "block", F.explode(pair).alias("p")).select("band", "p.i", "p.j", "sig", "label", "n", "bits", "block")
+    rows = rows.select("band", "sig", "label", "n", "bits", "block", F.explode(pair).alias("p")).select("band", "p.i", "p.j", "sig", "label", "n", "bits", "block").join(sets, "sig")
     least = least_equal(share)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.reset_index(drop=True)
-        if frame["i"].iat[0] == frame["j"].iat[0]:
-            left = right = frame
-        else:
-            left, right = frame[frame["block"] == frame["i"]], frame[frame["block"] == frame["j"]]
+        frame = frame.sort_values("sig", ignore_index=True)
+        whole = frame["i"].iat[0] == frame["j"].iat[0]
+        bits = np.array(frame["bits"].tolist(), "int64").view("uint64")
+        n, names, sets_ = frame["n"].to_numpy(), frame["sig"].tolist(), frame["shingles"].tolist()
+        part = pd.factorize(frame["label"])[0]
+        left = np.arange(len(frame)) if whole else np.flatnonzero(frame["block"] == frame["i"])
+        right = left if whole else np.flatnonzero(frame["block"] == frame["j"])
         out = []
-        if len(left) and len(right):
-            bits = np.array(right["bits"].tolist(), "int64").view("uint64")
-            n, labels, names = right["n"].to_numpy(), right["label"].to_numpy(), right["sig"].to_numpy()
-            for sig, label, m, own in zip(left["sig"], left["label"], left["n"], left["bits"]):
-                x = bits ^ np.asarray(own, "int64").view("uint64")
-                equal = MINIMA - np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(EVEN)).sum(1, dtype="int64")
-                fit = np.flatnonzero((equal >= least) & (100 * np.minimum(n, m) >= share * np.maximum(n, m)))
-                out += [(sig, names[q]) for q in fit if names[q] > sig and labels[q] != label]
+        for p in left:
+            other = right[(right > p) & (part[right] != part[p])] if whole else right[part[right] != part[p]]
+            if not len(other):
+                continue
+            x = bits[other] ^ bits[p]
+            equal = MINIMA - np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(EVEN)).sum(1, dtype="int64")
+            fit = (equal >= least) & (100 * np.minimum(n[other], n[p]) >= share * np.maximum(n[other], n[p]))
+            other, equal = other[fit], equal[fit]
+            for q in other[np.argsort(-equal, kind="stable")]:
+                if part[q] != part[p] and links(sets_[p], sets_[q], share):
+                    out.append((names[p], names[q]))
+                    part[part == part[q]] = part[p]
         return pd.DataFrame(out, columns=["sig", "other"])
 
-    return rows.groupBy("band", "i", "j").applyInPandas(compare, "sig binary, other binary").distinct()
+    return rows.groupBy("band", "i", "j").applyInPandas(compare, "sig binary, other binary")
 
 
 def classes(documents: DataFrame, size: int = SHINGLE, share: int = SHARE) -> DataFrame:
@@ -203,15 +231,10 @@ def classes(documents: DataFrame, size: int = SHINGLE, share: int = SHARE) -> Da
     own = named.groupBy("doc_id").agg(F.min("sig").alias("other"), F.max("sig").alias("last")).filter("other <> last").select("doc_id", "other")
     found = cut(tie(named.join(own, "doc_id").filter("sig <> other").select("sig", "other").distinct()))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that link by their full sets."""
-        pairs = cut(pairs)
-        near = pairs.select("sig").union(pairs.select("other")).distinct()
-        holders = reps.join(near, "sig", "left_semi").select("doc_id").distinct()
-        sets = cut(sets_of(docs.join(holders, "doc_id", "left_semi"), size).join(near, "sig", "left_semi").groupBy("sig").agg(F.first("shingles").alias("shingles")))
-        both = pairs.join(sets, "sig").join(sets.select(F.col("sig").alias("other"), F.col("shingles").alias("others")), "other")
-        both = both.withColumn("common", F.size(F.array_intersect("shingles", "others")))
-        return both.filter(100 * F.col("common") >= share * (F.size("shingles") + F.size("others") - F.col("common"))).select("sig", "other")
+    near = open_.select("sig").distinct()
+    holders = reps.join(near, "sig", "left_semi").select("doc_id").distinct()
+    sets = sets_of(docs.join(holders, "doc_id", "left_semi"), size).join(near, "sig", "left_semi")
+    sets = cut(sets.groupBy("sig").agg(F.first("shingles").alias("shingles")))
 
     def labelled(rows: DataFrame) -> DataFrame:
         """The rows of keys with more than one component, by what is linked so far."""
@@ -221,15 +244,14 @@ def classes(documents: DataFrame, size: int = SHINGLE, share: int = SHARE) -> Da
         several = rows.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("band")
         return cut(rows.join(several, "band", "left_semi"))
 
-    # Of each set's centres the first that may link, then those of all its keys.
+    # Of each set's centres the first that may link.
     pairs = _may_link(open_.filter("sig <> centre").select("sig", F.col("centre").alias("other")).distinct(), reps, share)
-    found = cut(found.union(tie(linked(pairs.groupBy("sig").agg(F.min("other").alias("other"))))))
-    open_ = labelled(open_)
-    centre = open_.groupBy("band").agg(F.min_by(F.struct("sig", "label"), F.xxhash64("label")).alias("c"))
-    pairs = open_.select("band", "sig", "label").join(centre, "band").filter("label <> c.label").select("sig", F.col("c.sig").alias("other")).distinct()
-    found = cut(found.union(tie(linked(_may_link(pairs, reps, share)))))
+    found = cut(found.union(tie(_confirmed(pairs.groupBy("sig").agg(F.min("other").alias("other")), sets, share))))
     open_ = labelled(open_)
-    found = cut(found.union(tie(linked(_block_pairs(open_, reps, share)))))
+    early = F.pmod(F.xxhash64("band"), F.lit(FIRST_KEYS)) == 0
+    found = cut(found.union(tie(_block_links(open_.filter(early), reps, sets, share))))
+    open_ = labelled(open_.filter(~early))
+    found = cut(found.union(tie(_block_links(open_, reps, sets, share))))
 
     ends = found.select("all", F.col("src").alias("node")).union(found.select("all", F.col("dst").alias("node"))).distinct()
     label = min_labels(ends, found, ["all"]).select(F.col("node").alias("sig"), "label")
