@@ -108,13 +108,41 @@ def duplicate_links(outlets: DataFrame, keys: list[str], radius_m: float = 10.0,
     return near.union(same).distinct()
 
 
+def first_fit_groups(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups as a walk in order would form them: a node joins the first group whose leader it is alike, else leads a
+    new one. ``nodes``: keys, node (its order); ``edges``: keys, src < dst, alike nodes. Returns keys, node, leader.
+
+    The leaders are the lexicographically first independent set. They are found in rounds: a node leads once no
+    earlier node alike is open; what is alike a leader is out. A key leaves when all its nodes are decided.
+    """
+    open_ = cut(edges.select(*keys, "src", "dst").distinct())
+    every = open_
+    leaders = nodes.select(*keys, "node").join(every.select(*keys, c("dst").alias("node")).distinct(), [*keys, "node"], "left_anti")
+    new = leaders
+    while not open_.isEmpty():
+        lead = new.select(*keys, c("node").alias("src"))
+        out = cut(open_.join(lead, [*keys, "src"], "left_semi").select(*keys, c("dst").alias("node")).distinct())
+        was = open_.select(*keys, c("src").alias("node")).union(open_.select(*keys, c("dst").alias("node"))).distinct()
+        gone = lambda end: out.select(*keys, c("node").alias(end))
+        open_ = cut(open_.join(lead, [*keys, "src"], "left_anti").join(gone("src"), [*keys, "src"], "left_anti").join(gone("dst"), [*keys, "dst"], "left_anti"))
+        # Those that no earlier open node is alike to any more, and that are not out, lead now.
+        waiting = was.join(out, [*keys, "node"], "left_anti").join(leaders, [*keys, "node"], "left_anti")
+        new = cut(waiting.join(open_.select(*keys, c("dst").alias("node")).distinct(), [*keys, "node"], "left_anti"))
+        leaders = cut(leaders.unionByName(new))
+    first = every.join(leaders.select(*keys, c("node").alias("src")), [*keys, "src"], "left_semi").groupBy(*keys, c("dst").alias("node")).agg(F.min("src").alias("_first"))
+    own = leaders.select(*keys, "node", c("node").alias("_own"))
+    return nodes.select(*keys, "node").join(own, [*keys, "node"], "left").join(first, [*keys, "node"], "left").select(
+        *keys, "node", F.coalesce("_own", "_first").alias("leader"))
+
+
 def duplicate_clusters(outlets: DataFrame, keys: list[str], radius_m: float = 10.0, name_radius_m: float = 150.0,
                        alike: float = 0.6) -> DataFrame:
     """Groups of outlets that may be one shop: keys, outlet_id, group_id, kind, confidence, reason, span_m, keep.
 
-    Within a cluster of linked spots outlets with alike names form groups (components of similarity
-    at least ``alike``); outlets left alone that have another outlet within the radius form one more.
-    Names are compared once per distinct name of a cluster, not once per outlet.
+    Within a cluster of linked spots, from south to north, an outlet joins the first group whose first name is
+    at least ``alike`` its own; outlets left alone that have another outlet within the radius form one more.
+    Names are compared once per distinct name of a cluster, not once per outlet. ``reason`` is a code: what
+    is the same (name, spot, or neither), how far apart, and whether two scripts meet.
     """
     from beatwise.operators.scorecard import route_diameters
     base = cut(outlets.select(*keys, "outlet_id", "name", "vf", "latitude", "longitude", text.normalise_name(c("name")).alias("name_key")))
@@ -129,15 +157,16 @@ def duplicate_clusters(outlets: DataFrame, keys: list[str], radius_m: float = 10
     member = cut(base.join(at, [*keys, "latitude", "longitude"]).join(labels, [*keys, "spot"]))
     size = member.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     member = cut(member.join(size.select(*keys, "cluster"), [*keys, "cluster"]))
-    # Distinct names of a cluster; similar ones are linked through a shared bigram, then scored.
-    names = member.filter("name_key <> ''").groupBy(*keys, "cluster", "name_key").agg(F.min("outlet_id").alias("rep_outlet"))
+    # Distinct names of a cluster, in the order of their first outlets; those with a shared bigram are scored.
+    ck = [*keys, "cluster"]
+    names = cut(member.filter("name_key <> ''").groupBy(*ck, "name_key").agg(F.min(F.struct("latitude", "outlet_id")).alias("node")))
     grams = names.withColumn("_g", F.explode(F.array_distinct(F.when(F.length("name_key") > 1, text.bigrams(c("name_key"))).otherwise(F.array("name_key")))))
-    a = grams.select(*keys, "cluster", "_g", c("name_key").alias("x"), c("rep_outlet").alias("src"))
-    b = grams.select(*keys, "cluster", "_g", c("name_key").alias("y"), c("rep_outlet").alias("dst"))
-    scored = a.join(b, [*keys, "cluster", "_g"]).filter("src < dst").select(*keys, "src", "dst", "x", "y").distinct().filter(
+    a = grams.select(*ck, "_g", c("name_key").alias("x"), c("node").alias("src"))
+    b = grams.select(*ck, "_g", c("name_key").alias("y"), c("node").alias("dst"))
+    scored = a.join(b, [*ck, "_g"]).filter("src < dst").select(*ck, "src", "dst", "x", "y").distinct().filter(
         text.normalised_similarity(c("x"), c("y")) >= alike)
-    group = min_labels(names.select(*keys, c("rep_outlet").alias("node")), scored, keys).select(*keys, c("node").alias("rep_outlet"), c("label").alias("group_id"))
-    named = cut(member.join(names, [*keys, "cluster", "name_key"], "left").join(group, [*keys, "rep_outlet"], "left")
+    group = first_fit_groups(names, scored, ck).select(*ck, "node", c("leader.outlet_id").alias("group_id"))
+    named = cut(member.join(names.join(group, [*ck, "node"]).select(*ck, "name_key", "group_id"), [*ck, "name_key"], "left")
                 .withColumn("group_id", F.coalesce("group_id", "outlet_id")))
     counts = named.groupBy(*keys, "group_id").agg(F.count(F.lit(1)).alias("_n"))
     named = cut(named.join(counts, [*keys, "group_id"]))
@@ -160,11 +189,8 @@ def duplicate_clusters(outlets: DataFrame, keys: list[str], radius_m: float = 10
     tight, name = c("_span") <= 0.5, c("kind") == "name"
     confidence = (F.when(name & (c("_span") <= 50), "high").when(name, "medium").when(tight & c("_mixed"), "high")
                   .when(tight | c("_mixed"), "medium").otherwise("low"))
-    reason = (F.when(name & tight, "Same coordinates and the same name").when(name & (c("_span") <= 50), "Same name, metres apart")
-              .when(name, "Same name further apart: two fixes of one shop, or two branches")
-              .when(tight & c("_mixed"), "Same coordinates, one name in Arabic and one in English")
-              .when(tight, "Same coordinates, different names").when(c("_mixed"), "Close by, one name in Arabic and one in English")
-              .otherwise("Close by, different names: may be neighbouring shops"))
+    what = F.when(name & tight, "name_and_spot").when(name & (c("_span") <= 50), "name_near").when(name, "name_far").when(tight, "spot").otherwise("near")
+    reason = F.when(~name & c("_mixed"), F.concat(what, F.lit("_two_scripts"))).otherwise(what)
     return j.select(*keys, "outlet_id", "group_id", "kind", confidence.alias("confidence"), reason.alias("reason"),
                     half_up(c("_span"), 1).alias("span_m"), (c("outlet_id") == -c("_keep.o")).alias("keep"))
 

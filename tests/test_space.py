@@ -154,6 +154,41 @@ def test_duplicate_groups(spark):
     assert got[6].group_id == got[7].group_id and got[6].confidence == "medium" and got[6].keep
 
 
+def first_fit(names, alike):
+    groups = []
+    for n in names:
+        g = next((g for g in groups if alike(g[0], n)), None)
+        g.append(n) if g else groups.append([n])
+    return {n: g[0] for g in groups for n in g}
+
+
+def test_first_fit_groups_by_walk(spark):
+    rng, nodes, edges, want = random.Random(8), [], [], {}
+    for key, n, share in ((0, 60, 0.05), (1, 60, 0.3), (2, 40, 0.9), (3, 30, 0.0)):
+        near = {(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < share}
+        want |= {(key, i): l for i, l in first_fit(range(n), lambda a, b: (a, b) in near).items()}
+        nodes += [(key, i) for i in range(n)]
+        edges += [(key, i, j) for i, j in near]
+    # A chain: every second node leads, however long it is.
+    nodes += [(4, i) for i in range(50)]
+    edges += [(4, i, i + 1) for i in range(49)]
+    want |= {(4, i): i - i % 2 for i in range(50)}
+    got = spots.first_fit_groups(spark.createDataFrame(nodes, "market_id int, node long"), spark.createDataFrame(edges, "market_id int, src long, dst long"), ["market_id"])
+    assert {(r.market_id, r.node): r.leader for r in got.collect()} == want
+
+
+def test_names_group_with_the_first_alike(spark):
+    # Middle name alike both ends, the ends not alike: the last stays out of the group of the first.
+    names = ["alpha beta", "beta alpha gamm", "gamm delta epsi"]
+    df = spark.createDataFrame([(0, i, n, 1, 33.5 + i * 1e-6, 35.5) for i, n in enumerate(names)], "market_id int, outlet_id long, name string, vf int, latitude double, longitude double")
+    from beatwise.functions import text
+    score = df.alias("a").join(df.alias("b"), F.expr("a.outlet_id < b.outlet_id")).select(F.col("a.outlet_id"), F.col("b.outlet_id"), text.name_similarity(F.col("a.name"), F.col("b.name"))).collect()
+    alike = {(r[0], r[1]): r[2] >= 0.6 for r in score}
+    want = first_fit(range(3), lambda a, b: alike[(a, b)])
+    got = {r.outlet_id: r.group_id for r in spots.duplicate_clusters(df, ["market_id"]).filter("kind = 'name'").collect()}
+    assert got == {i: l for i, l in want.items() if list(want.values()).count(l) > 1}
+
+
 def test_hot_spot_stays_linear(spark):
     """Thousands of outlets on one position are one row each in the result, and never paired with each other."""
     df = spark.range(4000).select(F.lit(0).alias("market_id"), F.col("id").alias("outlet_id"), F.lit(0).alias("rep_id"), F.lit(33.5).alias("latitude"), F.lit(35.5).alias("longitude"))
