@@ -65,7 +65,7 @@ SQL["road_estimate_km"] = f"WITH {_crossing_sql()} SELECT rep_id, week, day_of_w
 
 
 def _matrix(spark, sf):
-    p = _pairs(spark, sf).filter("week <= 2")
+    p = _pairs(spark, sf)
     km = geo.haversine_km(*ENDS()) * 1.25
     there = p.select("lat1", "lng1", "lat2", "lng2", six(km).alias("km"), (c("seq") + 10.0).alias("minutes"))
     back = p.select(c("lat2").alias("lat1"), c("lng2").alias("lng1"), c("lat1").alias("lat2"), c("lng1").alias("lng2"),
@@ -75,8 +75,8 @@ def _matrix(spark, sf):
 
 QUERIES["road_pairs_from_matrix"] = lambda spark, sf: roads.road_pairs_from_matrix(_matrix(spark, sf))
 MATRIX = f"""{PAIRS}, matrix AS (
-  SELECT lat1, lng1, lat2, lng2, round({H} * 1.25, 6) AS km, seq + 10.0::DOUBLE AS minutes FROM pairs WHERE week <= 2 UNION ALL
-  SELECT lat2, lng2, lat1, lng1, round({H} * 1.25 * CASE WHEN seq % 2 = 0 THEN 0.9::DOUBLE ELSE 1.1::DOUBLE END, 6), seq + 20.0::DOUBLE FROM pairs WHERE week <= 2),
+  SELECT lat1, lng1, lat2, lng2, round({H} * 1.25, 6) AS km, seq + 10.0::DOUBLE AS minutes FROM pairs UNION ALL
+  SELECT lat2, lng2, lat1, lng1, round({H} * 1.25 * CASE WHEN seq % 2 = 0 THEN 0.9::DOUBLE ELSE 1.1::DOUBLE END, 6), seq + 20.0::DOUBLE FROM pairs),
 ij AS (SELECT CAST(floor(lat1 * 1e4 + 0.5) AS BIGINT) AS a, CAST(floor(lng1 * 1e4 + 0.5) AS BIGINT) AS b,
   CAST(floor(lat2 * 1e4 + 0.5) AS BIGINT) AS c, CAST(floor(lng2 * 1e4 + 0.5) AS BIGINT) AS d, km, minutes FROM matrix),
 lohi AS (SELECT CASE WHEN a < c OR (a = c AND b <= d) THEN [a, b, c, d] ELSE [c, d, a, b] END AS k, km, minutes FROM ij WHERE NOT (a = c AND b = d)),
@@ -87,9 +87,10 @@ SQL["road_pairs_from_matrix"] = f"WITH {MATRIX} SELECT * FROM road_pairs"
 QUERIES["geo_dist_road"] = lambda spark, sf: roads.road_distance(
     _pairs(spark, sf), roads.road_pairs_from_matrix(_matrix(spark, sf))).select(*KEY, six(c("road_km")).alias("road_km"))
 SQL["geo_dist_road"] = f"""WITH {MATRIX}, pk AS (SELECT *, CAST(floor(lat1 * 1e4 + 0.5) AS BIGINT) AS a, CAST(floor(lng1 * 1e4 + 0.5) AS BIGINT) AS b,
-  CAST(floor(lat2 * 1e4 + 0.5) AS BIGINT) AS c, CAST(floor(lng2 * 1e4 + 0.5) AS BIGINT) AS d FROM pairs)
-SELECT p.rep_id, p.week, p.day_of_week, p.seq, round(coalesce(r.km, {hav('p.lat1', 'p.lng1', 'p.lat2', 'p.lng2')} * 1.3), 6) AS road_km FROM pk p LEFT JOIN road_pairs r ON
-  (r.lat1_i, r.lng1_i, r.lat2_i, r.lng2_i) = (a, b, c, d) OR (r.lat1_i, r.lng1_i, r.lat2_i, r.lng2_i) = (c, d, a, b)"""
+  CAST(floor(lat2 * 1e4 + 0.5) AS BIGINT) AS c, CAST(floor(lng2 * 1e4 + 0.5) AS BIGINT) AS d FROM pairs),
+pq AS (SELECT *, CASE WHEN a < c OR (a = c AND b <= d) THEN [a, b, c, d] ELSE [c, d, a, b] END AS q FROM pk)
+SELECT p.rep_id, p.week, p.day_of_week, p.seq, round(coalesce(r.km, {hav('p.lat1', 'p.lng1', 'p.lat2', 'p.lng2')} * 1.3), 6) AS road_km FROM pq p LEFT JOIN road_pairs r ON
+  r.lat1_i = q[1] AND r.lng1_i = q[2] AND r.lat2_i = q[3] AND r.lng2_i = q[4]"""
 
 QUERIES["cell_of"] = lambda spark, sf: td.outlets(spark, sf).select(
     "outlet_id", *[geo.cell(c(x), s).alias(f"{n}_{x[:3]}") for n, s in (("fine", 0.01), ("mid", 0.02), ("wide", 5 / 111)) for x in ("latitude", "longitude")])

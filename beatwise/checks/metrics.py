@@ -348,9 +348,9 @@ SQL["previous_scenario"] = f"""WITH {SCEN} SELECT scenario_id, lag(scenario_id)
 FROM sc WHERE score IS NOT NULL WINDOW w AS (PARTITION BY upload ORDER BY created_at, scenario_id)"""
 QUERIES["keep_last_10_scenarios"] = lambda spark, sf: sc.keep_last(_scenarios(spark, sf)).select("upload", "scenario_id")
 SQL["keep_last_10_scenarios"] = f"WITH {SCEN} SELECT upload, scenario_id FROM sc QUALIFY row_number() OVER (PARTITION BY upload ORDER BY created_at DESC, scenario_id DESC) <= 10"
-QUERIES["scenario_compare"] = lambda spark, sf: sc.compare_scenarios(sc.keep_last(_scenarios(spark, sf)), {"score": "high", "total_km": "low"})
-SQL["scenario_compare"] = f"""WITH {SCEN}, k AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY upload ORDER BY created_at DESC, scenario_id DESC) <= 10),
-l AS (SELECT upload, scenario_id, 'score' AS kpi, score AS value FROM k UNION ALL SELECT upload, scenario_id, 'total_km', CAST(total_km AS DOUBLE) FROM k)
+QUERIES["scenario_compare"] = lambda spark, sf: sc.compare_scenarios(_scenarios(spark, sf), {"score": "high", "total_km": "low"})
+SQL["scenario_compare"] = f"""WITH {SCEN},
+l AS (SELECT upload, scenario_id, 'score' AS kpi, score AS value FROM sc UNION ALL SELECT upload, scenario_id, 'total_km', CAST(total_km AS DOUBLE) FROM sc)
 SELECT upload, scenario_id, kpi, value, value = CASE WHEN kpi = 'score' THEN max(value) OVER (PARTITION BY upload, kpi) ELSE min(value) OVER (PARTITION BY upload, kpi) END AS is_best FROM l"""
 
 

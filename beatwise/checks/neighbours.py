@@ -140,8 +140,8 @@ SQL["stale_missing_diff"] = f"""WITH {OWNED}, s AS (SELECT DISTINCT rep_id, outl
 b AS (SELECT rep_id, count(*) AS missing FROM (SELECT rep_id, outlet_id FROM owned EXCEPT FROM s) GROUP BY 1)
 SELECT rep_id, coalesce(stale, 0) AS stale, coalesce(missing, 0) AS missing, 'regroup' AS action FROM a FULL JOIN b USING (rep_id)"""
 
-QUERIES["affected_reps"] = lambda spark, sf: sp.affected_reps(td.edits(spark, sf).filter("kind = 'delete' and outlet_id < 12"), td.outlets(spark, sf), stops(spark, sf))
-SQL["affected_reps"] = f"""WITH {STOPS}, {EDITS}, i AS (SELECT DISTINCT outlet_id FROM edits WHERE kind = 'delete' AND outlet_id < 12)
+QUERIES["affected_reps"] = lambda spark, sf: sp.affected_reps(td.edits(spark, sf), td.outlets(spark, sf), stops(spark, sf))
+SQL["affected_reps"] = f"""WITH {STOPS}, {EDITS}, i AS (SELECT DISTINCT outlet_id FROM edits)
 SELECT DISTINCT rep_id FROM outlets WHERE outlet_id IN (FROM i) UNION SELECT rep_id FROM stops WHERE outlet_id IN (FROM i)"""
 
 _capacity = lambda spark, sf: td.reps(spark, sf).select("rep_id", (110 + c("rep_id") % 40).alias("capacity"))

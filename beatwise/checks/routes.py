@@ -49,18 +49,18 @@ SQL["or_opt_applied"] = f"WITH {STOPS} SELECT market_id, {K}, count(*) AS places
 
 
 def _arrivals(spark, sf):
-    """Outlets without a route, offered to every route of their rep in week 1."""
+    """Outlets without a route, offered to every route of their rep."""
     free = td.outlets(spark, sf).filter("not excluded and not offset and outlet_id % 89 = 5").select("market_id", "rep_id", "outlet_id", "latitude", "longitude")
-    cells = td.stops(spark, sf).filter("week = 1").select(*CELL).distinct()
+    cells = td.stops(spark, sf).select(*CELL).distinct()
     return free.join(cells, ["market_id", "rep_id"])
 
 
-QUERIES["cheapest_insertion"] = lambda spark, sf: rt.cheapest_insertion(td.stops(spark, sf), _arrivals(spark, sf), CELL).select("rep_id", "day_of_week", "outlet_id", "at", six(c("added_km")).alias("added_km"))
+QUERIES["cheapest_insertion"] = lambda spark, sf: rt.cheapest_insertion(td.stops(spark, sf), _arrivals(spark, sf), CELL).select("rep_id", "week", "day_of_week", "outlet_id", "at", six(c("added_km")).alias("added_km"))
 SQL["cheapest_insertion"] = f"""WITH {STOPS}, sl AS (SELECT rep_id, week, day_of_week, seq AS k, lag(latitude) OVER w AS ba, lag(longitude) OVER w AS bo, latitude AS aa, longitude AS ao FROM stops WINDOW w AS (PARTITION BY {K} ORDER BY seq)
   UNION ALL (SELECT rep_id, week, day_of_week, seq + 1, latitude, longitude, NULL, NULL FROM stops QUALIFY row_number() OVER (PARTITION BY {K} ORDER BY seq DESC) = 1)),
 f AS (SELECT * FROM outlets WHERE NOT excluded AND NOT "offset" AND outlet_id % 89 = 5),
-g AS (SELECT f.rep_id, sl.day_of_week, f.outlet_id, k, round({PRICE('ba', 'bo', 'f.latitude', 'f.longitude')} + {PRICE('f.latitude', 'f.longitude', 'aa', 'ao')} - {PRICE('ba', 'bo', 'aa', 'ao')}, 9) AS cost FROM f JOIN sl ON sl.rep_id = f.rep_id AND sl.week = 1)
-SELECT rep_id, day_of_week, outlet_id, k AS "at", round(cost, 6) AS added_km FROM g QUALIFY row_number() OVER (PARTITION BY outlet_id, day_of_week ORDER BY cost, k) = 1"""
+g AS (SELECT f.rep_id, sl.week, sl.day_of_week, f.outlet_id, k, round({PRICE('ba', 'bo', 'f.latitude', 'f.longitude')} + {PRICE('f.latitude', 'f.longitude', 'aa', 'ao')} - {PRICE('ba', 'bo', 'aa', 'ao')}, 9) AS cost FROM f JOIN sl ON sl.rep_id = f.rep_id)
+SELECT rep_id, week, day_of_week, outlet_id, k AS "at", round(cost, 6) AS added_km FROM g QUALIFY row_number() OVER (PARTITION BY outlet_id, week, day_of_week ORDER BY cost, k) = 1"""
 
 
 def _day_centres(spark, sf):
