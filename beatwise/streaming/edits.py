@@ -6,14 +6,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from beatwise.functions import cycle
 from beatwise.operators.spots import affected_reps
-from beatwise.operators.status import apply_edits, edit_counts
+from beatwise.operators.status import apply_edits, edit_counts, last_edits
 from beatwise.params import PlanSettings
 from beatwise.plans.build import replan_keep_days
-from beatwise.sources.tables import read_table, write_table
+from beatwise.plans.keep_days import place_pins
+from beatwise.sources.tables import PLAN_TABLES, manifest, publish, read_version, write_version
 from beatwise.session import cut
 
-EDIT_SCHEMA = "edit_id bigint, ts timestamp, kind string, outlet_id bigint, to_rep_id bigint"
+EDIT_SCHEMA = "edit_id bigint, ts timestamp, kind string, outlet_id bigint, to_rep_id bigint, week int, day_of_week int"
 
 
 def read_edits(spark: SparkSession, folder: str, per_trigger: int = 100) -> DataFrame:
@@ -38,29 +40,73 @@ def track_affected(stream: DataFrame, outlets: DataFrame, stops: DataFrame, targ
     return _run(stream, batch, checkpoint)
 
 
+def _pinned(old: DataFrame, edits: DataFrame, owned: DataFrame) -> DataFrame:
+    """Pins after a batch: the latest per outlet, while its rep keeps it."""
+    new = edits.filter("kind = 'pin' and week is not null and day_of_week is not null").groupBy("outlet_id").agg(F.max(F.struct("ts", "edit_id", "week", "day_of_week")).alias("e"))
+    new = new.select("outlet_id", F.col("e.week").alias("week"), F.col("e.day_of_week").alias("day_of_week"))
+    kept = old.select("outlet_id", "week", "day_of_week").join(new, "outlet_id", "left_anti")
+    own = owned.select(F.col("rep_id").cast("bigint").alias("rep_id"), "outlet_id")
+    was = old.select("rep_id", "outlet_id")
+    # A pin is a place in one rep's month: it goes when the outlet does.
+    still = kept.join(was.join(own, ["rep_id", "outlet_id"]), "outlet_id")
+    return still.unionByName(new.join(own, "outlet_id")).select("rep_id", "outlet_id", "week", "day_of_week")
+
+
+def _with_pins(month: DataFrame, pins: DataFrame, owned: DataFrame, settings: PlanSettings) -> DataFrame:
+    """A month with its pinned outlets in their cells."""
+    at = cycle.cycle_cell_of(F.col("week"), F.col("day_of_week"), settings.week, settings.day_groups, settings.cycle_days, settings.start_slot)
+    placed = place_pins(month, pins, owned).withColumn("_at", at)
+    figures = owned.select("outlet_id", *[x for x in ("latitude", "longitude", "vf", "call_minutes") if x in owned.columns])
+    markets = month.select("market_id", "rep_id").distinct()
+    return placed.withColumn("run", F.col("_at.run")).withColumn("day_group", F.col("_at.day_group")).drop("_at").join(figures, "outlet_id").join(markets, "rep_id")
+
+
 def replan_on_edits(stream: DataFrame, folder: str, settings: PlanSettings, target: str, checkpoint: str):
-    """Apply every batch of edits to the outlets of a plan folder and re-plan the touched reps, days kept.
+    """Apply every batch of edits to a versioned plan and re-plan the touched reps, days and pins kept.
 
-    The plan folder holds ``outlets`` by market and ``stops`` by rep; only partitions of touched
-    markets and reps are replaced. Counts before / deleted / moved / after go to ``target``. The
-    batch reads state as of its start, from a written copy, and writes by overwrite, so a repeated
-    batch ends in the same tables.
+    The plan folder is that of ``tables.start_plan``. A batch reads the plan as it was before it, writes the touched
+    markets and reps as its own version and then one manifest, so readers never see half a batch, a batch that is
+    run again ends in the same plan, and a rep or market that has lost everything is in no manifest. Only the
+    partitions of touched markets and reps are read whole, of the others just the ids. Counts before / deleted /
+    moved / after go to ``target``.
     """
     def batch(edits: DataFrame, batch_id: int) -> None:
-        spark = edits.sparkSession
-        edits = cut(edits)
-        outlets = cut(read_table(spark, folder, "outlets"))
-        stops = cut(read_table(spark, folder, "stops"))
-        if edits.isEmpty():
-            return
-        edit_counts(outlets, edits, ["market_id"]).write.mode("overwrite").parquet(f"{target}/counts/batch={batch_id}")
-        after = cut(apply_edits(outlets, edits).drop("edited"))
-        receivers = after.join(edits.select("outlet_id").distinct(), "outlet_id", "left_semi").select("rep_id")
-        touched = cut(affected_reps(edits, outlets, stops).union(receivers).distinct())
-        owned = after.filter("not excluded and not offset").join(touched, "rep_id", "left_semi")
-        month = replan_keep_days(owned, stops.join(touched, "rep_id", "left_semi"), settings, rounds=1, compare=False)
-        fresh = cut(month.select(*[c for c in stops.columns if c in month.columns]))
-        write_table(fresh, folder, "stops", by="rep_id")
-        markets = touched.join(outlets.select("rep_id", "market_id").distinct(), "rep_id").select("market_id").distinct()
-        write_table(after.join(markets, "market_id", "left_semi"), folder, "outlets")
+        apply_batch(edits, batch_id, folder, settings, target)
     return _run(stream, batch, checkpoint)
+
+
+def apply_batch(edits: DataFrame, batch_id: int, folder: str, settings: PlanSettings, target: str) -> None:
+    spark = edits.sparkSession
+    edits = cut(edits)
+    if edits.isEmpty():
+        return
+    was = cut(manifest(spark, folder, batch_id))
+    table = lambda name, parts=None: read_version(spark, folder, name, was, parts)
+    ids = edits.select("outlet_id").distinct()
+    touched = affected_reps(edits, table("outlets"), table("stops"))
+    sent = last_edits(edits).filter("kind = 'move'").select(F.col("to_rep_id").alias("rep_id"))
+    touched = cut(touched.union(sent).filter("rep_id is not null").distinct())
+    whole = table("outlets").select("market_id", "rep_id", "outlet_id")
+    markets = whole.join(ids, "outlet_id", "left_semi").select("market_id").union(whole.join(touched, "rep_id", "left_semi").select("market_id"))
+    markets = cut(markets.distinct())
+    outlets = cut(table("outlets", markets))
+    edit_counts(outlets, edits, ["market_id"]).write.mode("overwrite").parquet(f"{target}/counts/batch={batch_id}")
+    after = cut(apply_edits(outlets, edits).drop("edited"))
+    owned = cut(after.filter("not excluded and not offset").join(touched, "rep_id", "left_semi"))
+    stops = cut(table("stops", touched))
+    pins = cut(_pinned(table("pins", touched), edits, owned))
+    month = replan_keep_days(owned, stops, settings, compare=False, pinned=pins)
+    if not pins.isEmpty():
+        month = _with_pins(cut(month), pins, owned, settings)
+    fresh = cut(month.select(*[x for x in stops.columns if x in month.columns]))
+    new = {"outlets": after, "stops": fresh, "pins": pins}
+    for name, df in new.items():
+        write_version(df, folder, name, batch_id)
+    # What was touched counts as this batch has it, or not at all.
+    reps = touched.select(F.col("rep_id").cast("bigint").alias("part"))
+    gone = (markets.select(F.col("market_id").cast("bigint").alias("part")).withColumn("name", F.lit("outlets"))
+            .unionByName(reps.withColumn("name", F.explode(F.array(F.lit("stops"), F.lit("pins"))))))
+    entries = was.join(gone, ["name", "part"], "left_anti").select("name", "part", "version")
+    for name, df in new.items():
+        entries = entries.unionByName(df.select(F.lit(name).alias("name"), F.col(PLAN_TABLES[name]).cast("bigint").alias("part")).distinct().withColumn("version", F.lit(batch_id).cast("bigint")))
+    publish(entries, folder, batch_id)

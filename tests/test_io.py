@@ -54,15 +54,27 @@ def test_edit_stream_names_reps(spark, tmp_path):
     assert got == {r.rep_id for r in td.outlets(spark, SF).filter(F.col("outlet_id").isin(ids[:2])).collect()}
 
 
+def _plan(spark, folder):
+    tables.start_plan(td.outlets(spark, SF), td.stops(spark, SF), folder)
+    return lambda name: tables.read_version(spark, folder, name, tables.manifest(spark, folder))
+
+
+def _edits(spark, rows):
+    return spark.createDataFrame([(i, "2026-01-01 00:00:00", *r) for i, r in enumerate(rows)], "edit_id bigint, ts string, kind string, outlet_id bigint, to_rep_id bigint, week int, day_of_week int").withColumn(
+        "ts", F.to_timestamp("ts"))
+
+
+LOOSE = PlanSettings(band=Band(0, 60))
+
+
 def test_edit_stream_replans_touched_reps(spark, tmp_path):
     plan = str(tmp_path / "plan")
-    tables.write_table(td.outlets(spark, SF), plan, "outlets")
-    tables.write_table(td.stops(spark, SF), plan, "stops", by="rep_id")
+    now = _plan(spark, plan)
     ids = _edit_files(tmp_path / "in", spark)
-    q = se.replan_on_edits(se.read_edits(spark, str(tmp_path / "in")), plan, PlanSettings(band=Band(0, 60)), str(tmp_path / "out"), str(tmp_path / "ck"))
+    q = se.replan_on_edits(se.read_edits(spark, str(tmp_path / "in")), plan, LOOSE, str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination()
-    outlets, stops = tables.read_table(spark, plan, "outlets"), tables.read_table(spark, plan, "stops")
-    assert outlets.filter(F.col("outlet_id") == ids[0]).count() == 0
+    outlets, stops = now("outlets"), now("stops")
+    assert outlets.filter(F.col("outlet_id") == ids[0]).count() == 0 and outlets.count() == td.outlets(spark, SF).count() - 1
     assert stops.filter(F.col("outlet_id") == ids[0]).count() == 0
     moved = stops.filter(F.col("outlet_id") == ids[1]).select("rep_id").distinct().collect()
     assert [r.rep_id for r in moved] == [3]
@@ -72,6 +84,43 @@ def test_edit_stream_replans_touched_reps(spark, tmp_path):
     assert counts.b - counts.a == 1
 
 
+def test_edits_that_empty_a_rep_and_a_market(spark, tmp_path):
+    plan, out = str(tmp_path / "plan"), str(tmp_path / "out")
+    now = _plan(spark, plan)
+    o = td.outlets(spark, SF)
+    rep = td.stops(spark, SF).filter("market_id <> 2").first().rep_id
+    lost = o.filter((F.col("rep_id") == rep) | (F.col("market_id") == 2)).collect()
+    batch = _edits(spark, [("delete", r.outlet_id, None, None, None) for r in lost])
+    se.apply_batch(batch, 0, plan, LOOSE, out)
+    state = lambda: {n: sorted(tuple(r) for r in now(n).select(*cols).collect()) for n, cols in (("outlets", ["outlet_id", "rep_id"]), ("stops", ["rep_id", "week", "day_of_week", "seq", "outlet_id"]))}
+    first = state()
+    gone = {r.outlet_id for r in lost}
+    assert not gone & {r[0] for r in first["outlets"]} and not gone & {r[4] for r in first["stops"]} and rep not in {r[0] for r in first["stops"]}
+    assert len(first["outlets"]) == o.count() - len(gone)
+    others = {tuple(r) for r in td.stops(spark, SF).filter((F.col("market_id") != 2) & (F.col("rep_id") != rep)).select("rep_id", "week", "day_of_week", "seq", "outlet_id").collect()}
+    assert others <= set(first["stops"])
+    # The same batch again, as after a failure, changes nothing; what it read was the plan before it.
+    se.apply_batch(batch, 0, plan, LOOSE, out)
+    assert state() == first
+    # A manifest that isn't whole doesn't count.
+    half = tables.manifest(spark, plan).limit(1).withColumn("entries", F.lit(99).cast("bigint"))
+    half.write.parquet(f"{plan}/manifest/made=7")
+    assert state() == first
+
+
+def test_pins_hold_through_the_stream(spark, tmp_path):
+    plan, out = str(tmp_path / "plan"), str(tmp_path / "out")
+    now = _plan(spark, plan)
+    s = td.stops(spark, SF).filter("vf = 4").orderBy("outlet_id").first()
+    cell = now("stops").filter((F.col("rep_id") == s.rep_id) & (F.col("day_of_week") != s.day_of_week)).orderBy("week", "day_of_week").first()
+    se.apply_batch(_edits(spark, [("pin", s.outlet_id, None, cell.week, cell.day_of_week)]), 0, plan, LOOSE, out)
+    held = lambda: now("stops").filter((F.col("outlet_id") == s.outlet_id) & (F.col("week") == cell.week) & (F.col("day_of_week") == cell.day_of_week)).count()
+    assert held() == 1 and now("pins").count() == 1 and now("stops").filter(F.col("outlet_id") == s.outlet_id).count() == 4
+    other = now("stops").filter((F.col("rep_id") == s.rep_id) & (F.col("outlet_id") != s.outlet_id)).orderBy("outlet_id").first().outlet_id
+    se.apply_batch(_edits(spark, [("delete", other, None, None, None)]), 1, plan, LOOSE, out)
+    assert held() == 1 and now("stops").filter(F.col("outlet_id") == other).count() == 0
+
+
 def test_upload_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     rows = [f"Shop {i},C{i},{33.5 + 0.001 * (i % 10)},{35.5 + 0.001 * (i // 10)},{i % 5}" for i in range(40)] + ["Rome,R1,41.9,12.5,1", ",,33.5,35.5,1", "Bad,B1,abc,35.5,2"]
