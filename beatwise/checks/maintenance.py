@@ -54,9 +54,9 @@ def _runs(spark, sf):
 
 
 TIGHT = PlanSettings(band=Band(2, 12))
-QUERIES["relieve_overloaded_days"] = lambda spark, sf: keep_days.day_loads(keep_days.relieve_overloaded_days(_runs(spark, sf), TIGHT, 3)).select(
+QUERIES["relieve_overloaded_days"] = lambda spark, sf: keep_days.day_loads(keep_days.relieve_overloaded_days(_runs(spark, sf), TIGHT)).select(
     "rep_id", "day_group", "run", "n", six(c("minutes")).alias("minutes"))
-QUERIES["relieve_keeps_visits"] = lambda spark, sf: keep_days.relieve_overloaded_days(_runs(spark, sf), TIGHT, 2).groupBy("market_id", "rep_id", "outlet_id").agg(F.count(F.lit(1)).alias("visits"))
+QUERIES["relieve_keeps_visits"] = lambda spark, sf: keep_days.relieve_overloaded_days(_runs(spark, sf), TIGHT).groupBy("market_id", "rep_id", "outlet_id").agg(F.count(F.lit(1)).alias("visits"))
 SQL["relieve_keeps_visits"] = f"WITH {STOPS} SELECT market_id, rep_id, outlet_id, count(*) AS visits FROM stops GROUP BY ALL"
 
 
@@ -64,7 +64,7 @@ def _restored(spark, sf):
     was = _runs(spark, sf).groupBy(*keep_days.RUN).agg(F.count(F.lit(1)).alias("visits"))
     gone = _runs(spark, sf).filter("outlet_id % 5 <> 0")
     w = Window.partitionBy(*keep_days.RUN).orderBy("seq")
-    return keep_days.restore_band(gone.withColumn("seq", F.row_number().over(w)), SETTINGS, was, 2)
+    return keep_days.restore_band(gone.withColumn("seq", F.row_number().over(w)), SETTINGS, was)
 
 
 QUERIES["restore_band"] = lambda spark, sf: keep_days.day_loads(_restored(spark, sf)).select("rep_id", "day_group", "run", "n", six(c("minutes")).alias("minutes"))
@@ -91,7 +91,7 @@ def _edited(spark, sf):
 OWNED = f"""{OUTLETS}, {EDITS}, last AS (SELECT outlet_id, kind, to_rep_id FROM edits QUALIFY row_number() OVER (PARTITION BY outlet_id ORDER BY ts DESC, edit_id DESC) = 1),
 owned AS (SELECT outlet_id, vf, CASE WHEN kind = 'move' THEN to_rep_id ELSE rep_id END AS rep_id FROM outlets LEFT JOIN last USING (outlet_id)
   WHERE (kind IS NULL OR kind <> 'delete') AND NOT "offset" AND NOT CASE WHEN kind = 'exclude' THEN true WHEN kind = 'restore' THEN false ELSE excluded END)"""
-QUERIES["replan_keep_days"] = lambda spark, sf: build.replan_keep_days(_edited(spark, sf), td.stops(spark, sf), SETTINGS, 1).groupBy("rep_id", "outlet_id").agg(F.count(F.lit(1)).alias("visits"))
+QUERIES["replan_keep_days"] = lambda spark, sf: build.replan_keep_days(_edited(spark, sf), td.stops(spark, sf), SETTINGS).groupBy("rep_id", "outlet_id").agg(F.count(F.lit(1)).alias("visits"))
 SQL["replan_keep_days"] = f"WITH {OWNED} SELECT rep_id, outlet_id, CAST(vf AS BIGINT) AS visits FROM owned"
 QUERIES["partial_replan"] = lambda spark, sf: build.partial_replan(_edited(spark, sf), td.stops(spark, sf), SETTINGS, td.stops(spark, sf).filter("day_of_week = 2").select("rep_id", "week", "day_of_week")).groupBy(
     "rep_id", "outlet_id").agg(F.count(F.lit(1)).alias("visits"))

@@ -59,10 +59,10 @@ def _job(run):
     return query
 
 
-QUERIES["repair_loads"] = _job(lambda u, s: pt.repair_loads(s, pt.neighbour_graph(u, M), M, 0.05, 0.05, rounds=4))
-QUERIES["cohesion_moves"] = _job(lambda u, s: pt.cohesion_moves(s, pt.neighbour_graph(u, M), M, 0.3, 0.3, rounds=3))
-QUERIES["compact_swaps"] = _job(lambda u, s: pt.compact_swaps(s, u, pt.neighbour_graph(u, M), M, rounds=3))
-QUERIES["balanced_kmeans"] = _job(lambda u, s: pt.balanced_kmeans(u, M, F.lit(5), rounds=3))
+QUERIES["repair_loads"] = _job(lambda u, s: pt.repair_loads(s, pt.neighbour_graph(u, M), M, 0.05, 0.05))
+QUERIES["cohesion_moves"] = _job(lambda u, s: pt.cohesion_moves(s, pt.neighbour_graph(u, M), M, 0.3, 0.3))
+QUERIES["compact_swaps"] = _job(lambda u, s: pt.compact_swaps(s, u, pt.neighbour_graph(u, M), M))
+QUERIES["balanced_kmeans"] = _job(lambda u, s: pt.balanced_kmeans(u, M, F.lit(5)))
 QUERIES["pocket_exchange"] = _job(lambda u, s: pt.pocket_exchange(s, u, M, 2.0))
 QUERIES["hand_over_strays"] = lambda spark, sf: pt.hand_over_strays(_skewed(spark, sf), pt.neighbour_graph(units(spark, sf), M), M, 9.0, 9.0, 1).select("market_id", "outlet_id", "group")
 SQL["hand_over_strays"] = f"""WITH {OUTLETS}, {ACT}, {STRAY} SELECT market_id, outlet_id, CAST(coalesce(to_group, rep_id) % 25 AS INTEGER) AS "group" FROM act LEFT JOIN strays USING (market_id, outlet_id)"""
@@ -77,7 +77,7 @@ def _zones(spark, sf):
 
 
 QUERIES["split_oversized_zones"] = lambda spark, sf: pt.split_oversized_zones(_zones(spark, sf), M, 2.0).groupBy(*M, "zone_id").agg(F.count(F.lit(1)).alias("outlets"))
-QUERIES["merge_undersized_zones"] = lambda spark, sf: pt.merge_undersized_zones(_zones(spark, sf), M, 30, 80, 8.0, rounds=3).groupBy(*M, "zone_id").agg(F.count(F.lit(1)).alias("outlets"))
+QUERIES["merge_undersized_zones"] = lambda spark, sf: pt.merge_undersized_zones(_zones(spark, sf), M, 30, 80, 8.0).groupBy(*M, "zone_id").agg(F.count(F.lit(1)).alias("outlets"))
 QUERIES["assign_zones_to_reps"] = lambda spark, sf: pt.assign_zones_to_reps(_zones(spark, sf).groupBy(*M, "zone_id").agg(
     F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"), F.sum("weight").alias("weight")), M, F.lit(3))
 QUERIES["zones_to_days"] = lambda spark, sf: pt.zones_to_days(_zones(spark, sf), M, 10, 120.0).groupBy(*M, "zone_id").agg(F.sum("weight").alias("load"))
@@ -128,7 +128,8 @@ SELECT market_id, outlet_id, coalesce(h, CAST(rep_id % 25 AS INTEGER)) AS "group
 QUERIES["cohesion_round"] = lambda spark, sf: pt.cohesion_moves(_skewed(spark, sf), pt.neighbour_graph(units(spark, sf), M), M, 0.3, 0.3, rounds=1).select("market_id", "outlet_id", "group")
 SQL["cohesion_round"] = f"""WITH {OUTLETS}, {ACT}, {GRAPH}, tc AS (SELECT market_id, outlet_id, g, h, w, min(km) AS km FROM kg GROUP BY ALL), fr AS (SELECT outlet_id, max(km) AS far FROM kg GROUP BY 1),
 ow AS (SELECT outlet_id, km AS own FROM tc WHERE g = h), c AS (SELECT tc.*, coalesce(own, far) AS own_km FROM tc JOIN fr USING (outlet_id) LEFT JOIN ow USING (outlet_id) WHERE g <> h),
-d AS (SELECT c.* FROM c JOIN gl x USING (market_id, g) JOIN gl y ON y.market_id = c.market_id AND y.g = c.h JOIN gm ON gm.market_id = c.market_id
+d AS (SELECT c.*, x.load AS gload, y.load AS hload, mean FROM c JOIN gl x USING (market_id, g) JOIN gl y ON y.market_id = c.market_id AND y.g = c.h JOIN gm ON gm.market_id = c.market_id
   WHERE km < 0.8::DOUBLE * own_km AND x.load - w >= mean * 0.7::DOUBLE AND y.load + w <= mean * 1.3::DOUBLE), {_one_to_one('(km - own_km)')},
-go AS (SELECT outlet_id, h FROM d JOIN ch USING (market_id, g, h) QUALIFY row_number() OVER (PARTITION BY market_id, g, h ORDER BY km - own_km, outlet_id) = 1)
+mv AS (SELECT d.*, sum(w) OVER (PARTITION BY d.market_id, d.g, d.h ORDER BY km - own_km, outlet_id) AS cu FROM d JOIN ch USING (market_id, g, h)),
+go AS (SELECT outlet_id, h FROM mv WHERE gload - cu >= mean * 0.7::DOUBLE AND hload + cu <= mean * 1.3::DOUBLE)
 SELECT market_id, outlet_id, coalesce(h, CAST(rep_id % 25 AS INTEGER)) AS "group" FROM act LEFT JOIN go USING (outlet_id)"""

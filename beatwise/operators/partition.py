@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from beatwise.functions.geo import haversine_km, hilbert_d, local_x_km, local_y_km
@@ -20,6 +20,8 @@ from beatwise.session import cut
 
 c = F.col
 SIDE = 1 << 16
+#: Strips per direction in which a straight cut adds up loads.
+STRIPS = 1024
 
 
 def curve_position(points: DataFrame, keys: list[str], flipped: bool = False) -> DataFrame:
@@ -48,61 +50,88 @@ def hilbert_partition(points: DataFrame, keys: list[str], k: Column, weight: str
     return capacity_runs(curve_position(points, keys, flipped), keys, k, weight, "d", id_col)
 
 
-def line_split(points: DataFrame, keys: list[str], k: int, weight: str = "weight", below: float = 0.1, above: float = 0.1,
+def line_split(points: DataFrame, keys: list[str], k: Column | int, weight: str = "weight", below: float | str = 0.1, above: float | str = 0.1,
                id_col: str = "outlet_id", directions: int = 36) -> DataFrame:
     """Split each key into k parts by straight cuts, level by level for all keys at once (``part`` from 0).
 
     A level tries every direction; among cuts that keep both sides inside the band it weighs the
     widest gap and the nearest balance by the tour length the two sides' spread implies. Where no
-    cut fits, the nearest balance is taken. Keys should be groups one rep drives, not whole markets.
+    cut fits, the nearest balance is taken. ``k`` may be a column that is constant per key, and the
+    band may name such columns.
+
+    Loads are added up per direction and strip (a histogram, built before the shuffle), so a key of any
+    size is a few thousand rows to a task. A cut falls between two strips, or between two outlets of the
+    one strip in which the loads balance; only that strip's outlets are lined up.
     """
-    cur = points.withColumn("_node", F.lit(0)).withColumn("_k", F.lit(k))
-    total = Window.partitionBy(*keys)
-    unit = F.sum(weight).over(total) / k
-    cur = cur.withColumn("_lo", unit * (1 - below) - 1e-9).withColumn("_hi", unit * (1 + above) + 1e-9)
-    node = [*keys, "_node"]
-    for _ in range(max(0, math.ceil(math.log2(max(1, k))))):
-        cur = cut(cur)
-        mean = cur.groupBy(*node).agg(F.avg("latitude").alias("_la"), F.avg("longitude").alias("_lo0"), F.sum(weight).alias("_tot"),
-                                      F.max(weight).alias("_wmax"), F.count(F.lit(1)).alias("_n"))
+    k = k if isinstance(k, Column) else F.lit(k)
+    wide = lambda x: c(x) if isinstance(x, str) else F.lit(x)
+    # Outlets on one spot are told apart by a millimetre.
+    off = lambda seed: (F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 20)) / (1 << 20) - 0.5) * 2e-6
+    total = points.groupBy(*keys).agg(F.max(k).cast("int").alias("_k"), F.sum(weight).alias("_sum"), F.max(wide(below)).alias("_b"), F.max(wide(above)).alias("_a"))
+    unit = c("_sum") / F.greatest(F.lit(1), c("_k"))
+    total = cut(total.select(*keys, "_k", (unit * (1 - c("_b")) - 1e-9).alias("_lo"), (unit * (1 + c("_a")) + 1e-9).alias("_hi")))
+    most = total.agg(F.max("_k").alias("k")).first()["k"] or 1
+    cur = points.join(total, keys).withColumn("_node", F.lit(0))
+    node, ray = [*keys, "_node"], [*keys, "_node", "_dir"]
+    turns = [(math.cos(math.pi * i / directions), math.sin(math.pi * i / directions)) for i in range(directions)]
+    cosines, sines = (F.array(*[F.lit(t[j]) for t in turns]) for j in (0, 1))
+    for level in range(max(0, math.ceil(math.log2(max(1, most))))):
+        cur = cut(cur) if level else cur
+        mean = cur.filter("_k > 1").groupBy(*node).agg(F.avg("latitude").alias("_la"), F.avg("longitude").alias("_lo0"), F.sum(weight).alias("_tot"),
+                                                       F.max(weight).alias("_wmax"), F.count(F.lit(1)).alias("_n"))
         p = cur.filter("_k > 1").join(mean, node)
-        x, y = local_x_km(c("longitude") - c("_lo0"), c("_la")), local_y_km(c("latitude") - c("_la"))
-        p = p.withColumn("_px", x).withColumn("_py", y)
-        turn = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(math.cos(math.pi * i / directions)).alias("c"),
-                                  F.lit(math.sin(math.pi * i / directions)).alias("s")) for i in range(directions)])
-        rays = p.withColumn("_t", F.explode(turn)).withColumn("_dir", c("_t.i")).withColumn(
-            "_proj", F.round(c("_px") * c("_t.c") + c("_py") * c("_t.s"), 9)).drop("_t")
-        w = Window.partitionBy(*node, "_dir").orderBy("_proj", id_col)
-        run = w.rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy(*node, "_dir")
-        rays = (rays.withColumn("_pos", F.row_number().over(w)).withColumn("_cum", F.sum(weight).over(run))
-                .withColumn("_gap", F.lead("_proj").over(w) - c("_proj"))
-                .withColumn("_sx", F.sum("_px").over(run)).withColumn("_sy", F.sum("_py").over(run))
-                .withColumn("_ss", F.sum(c("_px") ** 2 + c("_py") ** 2).over(run)).withColumn("_all", F.sum(c("_px") ** 2 + c("_py") ** 2).over(whole)))
+        p = cut(p.select(*node, id_col, weight, "_k", "_lo", "_hi", "_tot", "_wmax", "_n",
+                         (local_x_km(c("longitude") - c("_lo0"), c("_la")) + off(1)).alias("_px"), (local_y_km(c("latitude") - c("_la")) + off(2)).alias("_py")))
+        along = lambda i: c("_px") * turns[i][0] + c("_py") * turns[i][1]
+        ends = p.groupBy(*node).agg(F.array(*[F.struct(F.min(along(i)).alias("a"), F.max(along(i)).alias("b")) for i in range(directions)]).alias("_ends"))
+        rays = p.join(ends, node).withColumn("_t", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(directions - 1)).alias("i"), cosines.alias("c"), sines.alias("s"), c("_ends").alias("e"))))
+        rays = rays.withColumn("_dir", c("_t.i")).withColumn("_proj", c("_px") * c("_t.c") + c("_py") * c("_t.s"))
+        strip = F.when(c("_t.e.b") > c("_t.e.a"), F.floor((c("_proj") - c("_t.e.a")) / (c("_t.e.b") - c("_t.e.a")) * STRIPS)).otherwise(0)
+        rays = rays.withColumn("_strip", F.greatest(F.lit(0), F.least(F.lit(STRIPS - 1), strip)).cast("int")).drop("_t", "_ends")
+        whole = [F.max(x).alias(x) for x in ("_k", "_lo", "_hi", "_tot", "_wmax", "_n")]
+        sums = [F.sum(x).alias(y) for x, y in ((c(weight), "_w"), (F.lit(1), "_c"), (c("_px"), "_x"), (c("_py"), "_y"), (c("_px") ** 2 + c("_py") ** 2, "_q"))]
+        bars = rays.groupBy(*ray, "_strip").agg(*sums, F.min("_proj").alias("_from"), F.max("_proj").alias("_to"), *whole)
+        w = Window.partitionBy(*ray).orderBy("_strip")
+        upto = lambda x: F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        bars = (bars.withColumn("_gap", F.lead("_from").over(w) - c("_to")).withColumn("_all", F.sum("_q").over(Window.partitionBy(*ray)))
+                .withColumns({"_cum": upto("_w"), "_pos": upto("_c"), "_sx": upto("_x"), "_sy": upto("_y"), "_ss": upto("_q")}))
+        bars = cut(bars.withColumn("_last", F.lit(2 ** 63 - 1).cast("bigint")))
         k1 = F.floor(c("_k") / 2)
         k2 = c("_k") - k1
+        goal = c("_tot") * k1 / c("_k")
+        # The strip in which the loads balance, outlet by outlet.
+        inner = bars.filter((c("_cum") >= goal) & (c("_cum") - c("_w") < goal) & (c("_c") > 1)).select(
+            *ray, "_strip", "_all", *[(c(x) - c(y)).alias(f"{x}0") for x, y in (("_cum", "_w"), ("_pos", "_c"), ("_sx", "_x"), ("_sy", "_y"), ("_ss", "_q"))])
+        v = Window.partitionBy(*ray).orderBy("_proj", id_col)
+        so_far = lambda x, start: c(start) + F.sum(x).over(v.rowsBetween(Window.unboundedPreceding, 0))
+        rows = rays.join(inner, [*ray, "_strip"]).withColumns({
+            "_cum": so_far(c(weight), "_cum0"), "_pos": so_far(F.lit(1), "_pos0"), "_sx": so_far(c("_px"), "_sx0"), "_sy": so_far(c("_py"), "_sy0"),
+            "_ss": so_far(c("_px") ** 2 + c("_py") ** 2, "_ss0"), "_gap": F.lead("_proj").over(v) - c("_proj")})
+        cols = [*ray, "_k", "_lo", "_hi", "_tot", "_wmax", "_n", "_all", "_cum", "_pos", "_sx", "_sy", "_ss", "_gap", "_to", "_last"]
+        cuts = bars.select(*cols).unionByName(rows.withColumn("_to", c("_proj")).withColumn("_last", c(id_col).cast("bigint")).select(*cols))
         slack = lambda parts: F.when(parts > 1, F.least(c("_wmax"), (c("_hi") - c("_lo")) * parts / 4)).otherwise(0.0)
-        left, right = c("_cum"), c("_tot") - c("_cum")
         room = lambda load, parts: (load >= parts * c("_lo") + slack(parts)) & (load <= parts * c("_hi") - slack(parts))
-        ends = c("_gap").isNotNull() & (c("_pos") >= k1) & (c("_n") - c("_pos") >= k2)
+        open_ = c("_gap").isNotNull() & (c("_pos") >= k1) & (c("_n") - c("_pos") >= k2)
         spread = lambda ss: F.sqrt(F.greatest(F.lit(0.0), ss) * math.pi)
         ss_left = c("_ss") - (c("_sx") ** 2 + c("_sy") ** 2) / c("_pos")
         ss_right = (c("_all") - c("_ss")) - (c("_sx") ** 2 + c("_sy") ** 2) / (c("_n") - c("_pos"))
         tour = 0.7124 * (spread(ss_left) + spread(ss_right))
-        off = F.abs(left - c("_tot") * k1 / c("_k"))
-        option = F.struct(F.round(tour, 9).alias("cost"), c("_dir").alias("dir"), c("_pos").alias("pos"))
-        fit = ends & room(left, k1) & room(right, k2)
-        per_dir = rays.filter(ends).groupBy(*node, "_dir").agg(
-            F.max(F.when(fit, F.struct(c("_gap"), (-c("_pos")).alias("p"), option.alias("o")))).alias("_wide"),
-            F.min(F.when(fit, F.struct(off.alias("f"), c("_pos").alias("p"), option.alias("o")))).alias("_near"),
-            F.min(F.struct(off.alias("f"), option.alias("o"))).alias("_any"))
+        off_goal = F.round(F.abs(c("_cum") - goal), 9)
+        option = F.struct(F.round(tour, 9).alias("cost"), c("_dir").alias("dir"), c("_to").alias("to"), c("_last").alias("last"))
+        fit = open_ & room(c("_cum"), k1) & room(c("_tot") - c("_cum"), k2)
+        per_dir = cuts.filter(open_).groupBy(*ray).agg(
+            F.max(F.when(fit, F.struct(F.round("_gap", 9).alias("g"), (-c("_pos")).alias("p"), option.alias("o")))).alias("_wide"),
+            F.min(F.when(fit, F.struct(off_goal.alias("f"), c("_pos").alias("p"), option.alias("o")))).alias("_near"),
+            F.min(F.struct(off_goal.alias("f"), option.alias("o"))).alias("_any"))
         best = per_dir.groupBy(*node).agg(F.least(F.min("_wide.o"), F.min("_near.o")).alias("_b"), F.min("_any").alias("_a"))
         best = best.select(*node, F.coalesce("_b", c("_a.o")).alias("_b"))
-        side = rays.join(best, node).filter(c("_dir") == c("_b.dir")).select(*keys, id_col, (c("_pos") <= c("_b.pos")).alias("_left"))
+        at = c("_px") * F.element_at(cosines, c("_b.dir") + 1) + c("_py") * F.element_at(sines, c("_b.dir") + 1)
+        left = F.struct(at.alias("p"), c(id_col).cast("bigint").alias("i")) <= F.struct(c("_b.to").alias("p"), c("_b.last").alias("i"))
+        side = p.join(best, node).select(*keys, id_col, left.alias("_left"))
         cur = cur.join(side, [*keys, id_col], "left")
         half = F.floor(c("_k") / 2).cast("int")
         cur = (cur.withColumn("_node", F.when(c("_left").isNull() | c("_left"), c("_node")).otherwise(c("_node") + half).cast("int"))
-               .withColumn("_k", F.when(c("_left").isNull(), F.when(c("_k") > 1, c("_k")).otherwise(1)).when(c("_left"), half).otherwise(c("_k") - half).cast("int"))
+               .withColumn("_k", F.when(c("_left").isNull(), c("_k")).when(c("_left"), half).otherwise(c("_k") - half).cast("int"))
                .drop("_left"))
     return cur.withColumnRenamed("_node", "part").drop("_k", "_lo", "_hi")
 
@@ -114,11 +143,12 @@ def neighbour_graph(points: DataFrame, keys: list[str], k: int = 8, id_col: str
     return cut(nearest(points, points, keys, k, id_col, id_col).select(*keys, c(id_col).alias("outlet_id"), "nbr_id", "km"))
 
 
-def _loads(state: DataFrame, keys: list[str], below: float, above: float) -> DataFrame:
-    """Load of every group with its market's mean and band."""
-    g = state.groupBy(*keys, "group").agg(F.sum("weight").alias("load"))
-    m = state.groupBy(*keys).agg((F.sum("weight") / F.count_distinct("group")).alias("mean"))
-    return g.join(m, keys).withColumn("lo", c("mean") * (1 - below)).withColumn("hi", c("mean") * (1 + above))
+def _loads(state: DataFrame, keys: list[str], below: float | str, above: float | str) -> DataFrame:
+    """Load of every group with its key's mean and band; a band may name columns that are constant per key."""
+    wide = lambda x: c(x) if isinstance(x, str) else F.lit(x)
+    g = state.groupBy(*keys, "group").agg(F.sum("weight").alias("load"), F.max(wide(below)).alias("_b"), F.max(wide(above)).alias("_a"))
+    m = g.groupBy(*keys).agg((F.sum("load") / F.count(F.lit(1))).alias("mean"))
+    return g.join(m, keys).withColumn("lo", c("mean") * (1 - c("_b"))).withColumn("hi", c("mean") * (1 + c("_a"))).drop("_a", "_b")
 
 
 def _touching(state: DataFrame, graph: DataFrame, keys: list[str]) -> DataFrame:
@@ -150,20 +180,38 @@ def _moved(state: DataFrame, moves: DataFrame, keys: list[str]) -> DataFrame:
     return cut(state.join(m, [*keys, "outlet_id"], "left").withColumn("group", F.coalesce("_to", "group")).drop("_to"))
 
 
-def _rounds(state: DataFrame, keys: list[str], rounds: int, step) -> DataFrame:
-    state = cut(state)
-    for _ in range(rounds):
-        moves = cut(step(state))
-        if moves.isEmpty():
+def _rounds(state: DataFrame, keys: list[str], rounds: int | None, step, once: bool = False) -> DataFrame:
+    """Rounds of moves until no key has one (or ``rounds``). A key without a move has settled and leaves the
+    loop; the others carry on. With ``once`` an outlet moves once at most: ``step`` gets those that did."""
+    cols = state.columns
+    live, settled, spent, done = cut(state), None, None, 0
+    while rounds is None or done < rounds:
+        moves = (step(live, spent) if once else step(live)).select(*keys, "outlet_id", c("h").alias("_to"))
+        seen = Observation()
+        nxt = cut(live.join(moves, [*keys, "outlet_id"], "left").observe(seen, F.count("_to").alias("moves")))
+        went = nxt.filter("_to is not null")
+        if not seen.get["moves"]:
             break
-        state = _moved(state, moves, keys)
-    return state
+        busy = went.select(*keys).distinct()
+        rest = nxt.join(busy, keys, "left_anti").select(*cols)
+        settled = rest if settled is None else settled.unionByName(rest)
+        live = nxt.join(busy, keys, "left_semi").withColumn("group", F.coalesce("_to", "group")).select(*cols)
+        spent = went.select(*keys, "outlet_id") if spent is None else spent.unionByName(went.select(*keys, "outlet_id"))
+        done += 1
+    return live if settled is None else settled.unionByName(live)
+
 
+def _unspent(cands: DataFrame, spent: DataFrame | None, keys: list[str]) -> DataFrame:
+    return cands if spent is None else cands.join(spent, [*keys, "outlet_id"], "left_anti")
 
-def repair_loads(state: DataFrame, graph: DataFrame, keys: list[str], below: float = 0.1, above: float = 0.1,
-                 hop_km: float = 4.0, rounds: int = 8) -> DataFrame:
+
+def repair_loads(state: DataFrame, graph: DataFrame, keys: list[str], below: float | str = 0.1, above: float | str = 0.1,
+                 hop_km: float = 4.0, rounds: int | None = None) -> DataFrame:
     """Move border outlets from groups over the band (or over the mean beside one under it) to groups with
-    room, nearest border first, never over the hop. ``state``: keys, outlet_id, group, weight."""
+    room, nearest border first, never over the hop. ``state``: keys, outlet_id, group, weight.
+
+    A move always goes from the heavier of two groups to the lighter and leaves it lighter, and a group is
+    in one exchange a round, so the squares of the loads fall and the rounds end by themselves."""
     def step(s):
         d = _with_loads(_touching(s, graph, keys).filter("g <> h").filter(c("km") <= hop_km), _loads(s, keys, below, above), keys)
         need = (c("g_load") > c("hi")) & (c("h_load") < c("mean")) | (c("h_load") < c("lo")) & (c("g_load") > c("mean"))
@@ -176,31 +224,32 @@ def repair_loads(state: DataFrame, graph: DataFrame, keys: list[str], below: flo
     return _rounds(state, keys, rounds, step)
 
 
-def cohesion_moves(state: DataFrame, graph: DataFrame, keys: list[str], below: float = 0.1, above: float = 0.1,
-                   ratio: float = 0.8, rounds: int = 4) -> DataFrame:
-    """Move outlets whose nearest neighbour of another group is under ``ratio`` of the nearest of their own, in the band."""
+def cohesion_moves(state: DataFrame, graph: DataFrame, keys: list[str], below: float | str = 0.1, above: float | str = 0.1,
+                   ratio: float = 0.8, rounds: int | None = None) -> DataFrame:
+    """Move outlets whose nearest neighbour of another group is under ``ratio`` of the nearest of their own, in the
+    band. Two groups exchange as many a round as the band allows, and an outlet moves once at most, so the rounds end."""
     far = graph.groupBy(*keys, "outlet_id").agg(F.max("km").alias("_far"))
 
-    def step(s):
+    def step(s, spent):
         t = _touching(s, graph, keys)
         own = t.filter("g = h").select(*keys, "outlet_id", c("km").alias("own_km"))
-        d = t.filter("g <> h").join(own, [*keys, "outlet_id"], "left").join(far, [*keys, "outlet_id"]).withColumn("own_km", F.coalesce("own_km", "_far"))
+        d = _unspent(t.filter("g <> h"), spent, keys).join(own, [*keys, "outlet_id"], "left").join(far, [*keys, "outlet_id"]).withColumn("own_km", F.coalesce("own_km", "_far"))
         d = _with_loads(d.filter(c("km") < ratio * c("own_km")), _loads(s, keys, below, above), keys)
         d = d.filter((c("g_load") - c("weight") >= c("lo")) & (c("h_load") + c("weight") <= c("hi")))
         d = one_to_one(d, keys, c("km") - c("own_km"))
-        best = d.groupBy(*keys, "g", "h").agg(F.min(F.struct((c("km") - c("own_km")).alias("s"), c("outlet_id").alias("o"))).alias("b"))
-        return best.select(*keys, c("b.o").alias("outlet_id"), "h")
-    return _rounds(state, keys, rounds, step)
+        w = Window.partitionBy(*keys, "g", "h").orderBy(c("km") - c("own_km"), "outlet_id").rowsBetween(Window.unboundedPreceding, 0)
+        return d.withColumn("_sent", F.sum("weight").over(w)).filter((c("g_load") - c("_sent") >= c("lo")) & (c("h_load") + c("_sent") <= c("hi")))
+    return _rounds(state, keys, rounds, step, once=True)
 
 
-def compact_swaps(state: DataFrame, points: DataFrame, graph: DataFrame, keys: list[str], rounds: int = 4) -> DataFrame:
-    """Swap outlets of equal weight between touching groups when both centres gain."""
+def compact_swaps(state: DataFrame, points: DataFrame, graph: DataFrame, keys: list[str], rounds: int | None = None) -> DataFrame:
+    """Swap outlets of equal weight between touching groups when both centres gain, each outlet once at most."""
     pos = points.select(*keys, "outlet_id", "latitude", "longitude")
 
-    def step(s):
+    def step(s, spent):
         at = s.join(pos, [*keys, "outlet_id"])
         mid = at.groupBy(*keys, "group").agg(F.avg("latitude").alias("_la"), F.avg("longitude").alias("_lo"))
-        t = _touching(s, graph, keys).filter("g <> h").join(pos, [*keys, "outlet_id"])
+        t = _unspent(_touching(s, graph, keys).filter("g <> h"), spent, keys).join(pos, [*keys, "outlet_id"])
         m = lambda name: mid.select(*keys, c("group").alias(name), c("_la").alias(f"la_{name}"), c("_lo").alias(f"lo_{name}"))
         t = t.join(m("g"), [*keys, "g"]).join(m("h"), [*keys, "h"]).withColumn(
             "gain", haversine_km(c("latitude"), c("longitude"), c("la_g"), c("lo_g")) - haversine_km(c("latitude"), c("longitude"), c("la_h"), c("lo_h")))
@@ -212,29 +261,31 @@ def compact_swaps(state: DataFrame, points: DataFrame, graph: DataFrame, keys: l
         both = one_to_one(both, keys, -c("gain"))
         one = both.groupBy(*keys, "g", "h").agg(F.max(F.struct("gain", "outlet_id", "_back")).alias("x"))
         return one.select(*keys, c("x.outlet_id").alias("outlet_id"), "h").union(one.select(*keys, c("x._back"), c("g")))
-    return _rounds(state, keys, rounds, step)
+    return _rounds(state, keys, rounds, step, once=True)
 
 
-def hand_over_strays(state: DataFrame, graph: DataFrame, keys: list[str], below: float = 0.1, above: float = 0.1, rounds: int = 4) -> DataFrame:
-    """Pass outlets most of whose neighbours are another group's to that group, biggest majority first, in the band."""
+def hand_over_strays(state: DataFrame, graph: DataFrame, keys: list[str], below: float | str = 0.1, above: float | str = 0.1,
+                     rounds: int | None = None) -> DataFrame:
+    """Pass outlets most of whose neighbours are another group's to that group, biggest majority first, in the band.
+    An outlet is passed on once at most, so the rounds end."""
     from beatwise.operators.spots import stray_votes
 
-    def step(s):
-        v = stray_votes(graph, s, keys, "group").select(*keys, "outlet_id", c("from_group").alias("g"), c("to_group").alias("h"), "margin")
+    def step(s, spent):
+        v = _unspent(stray_votes(graph, s, keys, "group"), spent, keys).select(*keys, "outlet_id", c("from_group").alias("g"), c("to_group").alias("h"), "margin")
         d = _with_loads(v.join(s.select(*keys, "outlet_id", "weight"), [*keys, "outlet_id"]), _loads(s, keys, below, above), keys)
         line = lambda e: F.sum("weight").over(Window.partitionBy(*keys, e).orderBy(F.desc("margin"), "outlet_id").rowsBetween(Window.unboundedPreceding, 0))
         return d.withColumn("_out", line("g")).withColumn("_in", line("h")).filter(
             (c("g_load") - c("_out") >= c("lo")) & (c("h_load") + c("_in") <= c("hi")))
-    return _rounds(state, keys, rounds, step)
+    return _rounds(state, keys, rounds, step, once=True)
 
 
 def balanced_kmeans(points: DataFrame, keys: list[str], k: Column, weight: str = "weight", below: float = 0.1, above: float = 0.1,
-                    rounds: int = 6, restarts: int = 2) -> DataFrame:
+                    rounds: int | None = None, restarts: int = 2) -> DataFrame:
     """k groups per key near their own centres with loads in the band: keys, outlet_id, weight, group.
 
     Restarts begin from curves of different orientation and are an extra key; the one of least
     distance to centres is kept. A round moves border outlets to the nearest centre among the groups
-    around them, as far as the band allows, then evens out loads.
+    around them, as far as the band allows; an outlet moves once at most, so the rounds end.
     """
     runs = None
     for r in range(restarts):
@@ -246,10 +297,10 @@ def balanced_kmeans(points: DataFrame, keys: list[str], k: Column, weight: str =
     graph = graph.withColumn("restart", F.explode(F.array(*[F.lit(r) for r in range(restarts)])))
     pos = runs.select(*rk, "outlet_id", "latitude", "longitude")
 
-    def step(s):
+    def step(s, spent):
         at = s.join(pos, [*rk, "outlet_id"])
         mid = at.groupBy(*rk, "group").agg(F.avg("latitude").alias("_la"), F.avg("longitude").alias("_lo"))
-        t = _touching(s, graph, rk).filter("g <> h").join(pos, [*rk, "outlet_id"])
+        t = _unspent(_touching(s, graph, rk).filter("g <> h"), spent, rk).join(pos, [*rk, "outlet_id"])
         m = lambda name: mid.select(*rk, c("group").alias(name), c("_la").alias(f"la_{name}"), c("_lo").alias(f"lo_{name}"))
         t = t.join(m("g"), [*rk, "g"]).join(m("h"), [*rk, "h"]).withColumn(
             "gain", haversine_km(c("latitude"), c("longitude"), c("la_g"), c("lo_g")) - haversine_km(c("latitude"), c("longitude"), c("la_h"), c("lo_h"))).filter("gain > 1e-6")
@@ -258,7 +309,7 @@ def balanced_kmeans(points: DataFrame, keys: list[str], k: Column, weight: str =
         line = lambda e: F.sum("weight").over(Window.partitionBy(*rk, e).orderBy(F.desc("gain"), "outlet_id").rowsBetween(Window.unboundedPreceding, 0))
         return d.withColumn("_out", line("g")).withColumn("_in", line("h")).filter((c("g_load") - c("_out") >= c("lo")) & (c("h_load") + c("_in") <= c("hi")))
 
-    state = _rounds(runs.select(*rk, "outlet_id", "weight", "group"), rk, rounds, step)
+    state = _rounds(runs.select(*rk, "outlet_id", "weight", "group"), rk, rounds, step, once=True)
     at = state.join(pos, [*rk, "outlet_id"])
     mid = at.groupBy(*rk, "group").agg(F.avg("latitude").alias("_la"), F.avg("longitude").alias("_lo"))
     cost = at.join(mid, [*rk, "group"]).groupBy(*rk).agg(F.sum(haversine_km(c("latitude"), c("longitude"), c("_la"), c("_lo"))).alias("_cost"))
@@ -271,8 +322,8 @@ def kmeans_zones(points: DataFrame, keys: list[str], k: Column, rounds: int = 4)
 
     The nearest centre is found through the grid, so an outlet meets the centres around it only.
     """
-    base = points.select(*keys, "outlet_id", "latitude", "longitude").withColumn("weight", F.lit(1.0))
-    state = hilbert_partition(base, keys, k).select(*keys, "outlet_id", "latitude", "longitude", c("group").alias("zone_id"))
+    base = points.select(*keys, "outlet_id", "latitude", "longitude", k.alias("_k")).withColumn("weight", F.lit(1.0))
+    state = hilbert_partition(base, keys, c("_k")).select(*keys, "outlet_id", "latitude", "longitude", c("group").alias("zone_id"))
     for _ in range(rounds):
         state = cut(state)
         centres = state.groupBy(*keys, "zone_id").agg(F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"))
@@ -306,33 +357,40 @@ def _radius(zoned: DataFrame, keys: list[str]) -> DataFrame:
         F.max(haversine_km(c("latitude"), c("longitude"), c("_la"), c("_lo"))).alias("radius_km"))
 
 
-def split_oversized_zones(zoned: DataFrame, keys: list[str], max_radius_km: float, rounds: int = 6) -> DataFrame:
+def split_oversized_zones(zoned: DataFrame, keys: list[str], max_radius_km: float) -> DataFrame:
     """Cut zones wider than the cap in two until all fit; only failing zones are cut. Zone ids stay unique."""
-    cur = cut(zoned.select(*keys, "outlet_id", "latitude", "longitude", "zone_id"))
-    for _ in range(rounds):
-        wide = cut(_radius(cur, keys).filter((c("radius_km") > max_radius_km) & (c("n") > 1)).select(*keys, "zone_id"))
+    cur, fine = cut(zoned.select(*keys, "outlet_id", "latitude", "longitude", "zone_id")), None
+    while True:
+        radius = _radius(cur, keys)
+        wide = cut(radius.filter((c("radius_km") > max_radius_km) & (c("n") > 1)).select(*keys, "zone_id"))
+        rest = cur.join(wide, [*keys, "zone_id"], "left_anti")
+        fine = rest if fine is None else fine.unionByName(rest)
         if wide.isEmpty():
-            break
+            return fine
         part = line_split(cur.join(wide, [*keys, "zone_id"]).withColumn("weight", F.lit(1.0)), [*keys, "zone_id"], 2, below=1.0, above=1.0)
-        top = cur.groupBy(*keys).agg(F.max("zone_id").alias("_top"))
+        top = fine.unionByName(cur.join(wide, [*keys, "zone_id"], "left_semi")).groupBy(*keys).agg(F.max("zone_id").alias("_top"))
         new = wide.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("zone_id"))).join(top, keys).select(
             *keys, "zone_id", (c("_top") + c("_r")).alias("_new"))
-        moved = part.filter("part = 1").join(new, [*keys, "zone_id"]).select(*keys, "outlet_id", "_new")
-        cur = cut(cur.join(moved, [*keys, "outlet_id"], "left").withColumn("zone_id", F.coalesce("_new", "zone_id")).drop("_new"))
-    return cur
+        cur = cut(part.join(new, [*keys, "zone_id"]).withColumn("zone_id", F.when(c("part") == 1, c("_new")).otherwise(c("zone_id"))).select(*cur.columns))
 
 
 def merge_undersized_zones(zoned: DataFrame, keys: list[str], min_size: int, max_size: int, max_radius_km: float,
-                           gap_km: float = 5.0, rounds: int = 6) -> DataFrame:
-    """Join small zones to the nearest zone they touch while size and width allow, smallest first, pair by pair."""
+                           gap_km: float = 5.0) -> DataFrame:
+    """Join small zones to the nearest zone they touch while size and width allow, until none can be joined.
+
+    A round joins every pair that is the first choice of both zones (smaller zone first, then nearer), so
+    zones all over a key merge at once. With a column ``offset`` zones that hold a flagged outlet are left out.
+    """
     from beatwise.operators.spots import group_gap_km
-    cur = cut(zoned.select(*keys, "outlet_id", "latitude", "longitude", "zone_id"))
-    for _ in range(rounds):
-        size = cut(cur.groupBy(*keys, "zone_id").agg(F.count(F.lit(1)).alias("n"), F.avg("latitude").alias("la"), F.avg("longitude").alias("lo")))
-        if size.filter(c("n") < min_size).isEmpty():
-            break
+    flags = ["offset"] if "offset" in zoned.columns else []
+    cur = cut(zoned.select(*keys, "outlet_id", "latitude", "longitude", "zone_id", *flags))
+    while True:
+        size = cut(cur.groupBy(*keys, "zone_id").agg(F.count(F.lit(1)).alias("n"), F.avg("latitude").alias("la"), F.avg("longitude").alias("lo"),
+                                                     (F.max("offset") if flags else F.lit(False)).alias("apart")))
+        if size.filter((c("n") < min_size) & ~c("apart")).isEmpty():
+            return cur
         wide = _radius(cur, keys).select(*keys, "zone_id", "radius_km")
-        info = size.join(wide, [*keys, "zone_id"])
+        info = size.filter(~c("apart")).join(wide, [*keys, "zone_id"])
         gaps = group_gap_km(cur, keys, "zone_id", gap_km).select(*keys, "a", "b", "gap_km")
         both = gaps.union(gaps.select(*keys, c("b"), c("a"), "gap_km"))
         i = lambda e: info.select(*keys, c("zone_id").alias(e), c("n").alias(f"n_{e}"), c("la").alias(f"la_{e}"), c("lo").alias(f"lo_{e}"), c("radius_km").alias(f"r_{e}"))
@@ -341,11 +399,15 @@ def merge_undersized_zones(zoned: DataFrame, keys: list[str], min_size: int, max
         joint = (reach + c("r_a") + c("r_b")) / 2
         p = p.filter((c("n_a") < min_size) & (c("n_a") + c("n_b") <= max_size) & (F.greatest(joint, "r_a", "r_b") <= max_radius_km))
         p = p.withColumnRenamed("a", "g").withColumnRenamed("b", "h").withColumn("outlet_id", c("g"))
-        go = cut(one_to_one(p, keys, c("n_a") * 1000 + c("gap_km")).select(*keys, c("g").alias("zone_id"), c("h").alias("_to")))
+        go = one_to_one(p, keys, F.struct("n_a", F.round("gap_km", 9)))
+        # Two small zones may have chosen each other: the lower id stays.
+        pair = go.select(*keys, F.greatest("g", "h").alias("x"), F.least("g", "h").alias("y"), c("g").alias("small"), "n_a", "n_b").groupBy(*keys, "x", "y").agg(
+            F.count(F.lit(1)).alias("ways"), F.min("small").alias("small"))
+        go = cut(pair.select(*keys, F.when(c("ways") > 1, c("x")).otherwise(c("small")).alias("zone_id"),
+                             F.when(c("ways") > 1, c("y")).when(c("small") == c("x"), c("y")).otherwise(c("x")).alias("_to")))
         if go.isEmpty():
-            break
-        cur = cut(cur.join(go, [*keys, "zone_id"], "left").withColumn("zone_id", F.coalesce("_to", "zone_id")).drop("_to"))
-    return cur
+            return cur
+        cur = cut(cur.join(go, [*keys, "zone_id"], "left").withColumn("zone_id", F.coalesce("_to", "zone_id")).select(*cur.columns))
 
 
 def assign_zones_to_reps(zones: DataFrame, keys: list[str], k: Column, below: float = 0.1, above: float = 0.1) -> DataFrame:
@@ -353,12 +415,12 @@ def assign_zones_to_reps(zones: DataFrame, keys: list[str], k: Column, below: fl
     z = zones.withColumn("outlet_id", c("zone_id"))
     start = hilbert_partition(z, keys, k).select(*keys, "outlet_id", "weight", "group")
     graph = neighbour_graph(z, keys, 6)
-    out = repair_loads(start, graph, keys, below, above, hop_km=1e9, rounds=6)
+    out = repair_loads(start, graph, keys, below, above, hop_km=1e9)
     return out.select(*keys, c("outlet_id").alias("zone_id"), "weight", c("group").alias("rep"))
 
 
 def pocket_exchange(state: DataFrame, points: DataFrame, keys: list[str], hop_km: float, graph: DataFrame | None = None,
-                    below: float = 0.1, above: float = 0.1) -> DataFrame:
+                    below: float | str = 0.1, above: float | str = 0.1) -> DataFrame:
     """Give pieces of a territory beyond the hop to the group whose core is nearer than the own core; then even out."""
     pts = points.select(*keys, "outlet_id", "latitude", "longitude")
     at = cut(state.join(pts, [*keys, "outlet_id"]))
@@ -414,7 +476,8 @@ def anchor_days(points: DataFrame, keys: list[str], day_groups: int, min_anchors
 
 def overflow_memberships(points: DataFrame, homes: DataFrame, keys: list[str], repeats: int, tolerance: float = 0.06) -> DataFrame:
     """Second day-group of outlets whose frequency needs two: of the three nearest days the nearest with room,
-    else the emptiest. ``homes``: keys, outlet_id, day_group. Bigger shares choose first, one per day and round."""
+    else the emptiest. ``homes``: keys, outlet_id, day_group. Bigger shares choose first, one per day and round.
+    Where a key has one day only, ``to_day`` is null: the share has no second day to go to."""
     p = points.select(*keys, "outlet_id", "latitude", "longitude", "vf").join(homes, [*keys, "outlet_id"])
     load = p.groupBy(*keys, "day_group").agg(F.sum(F.least(c("vf"), F.lit(repeats)) / repeats).alias("load"),
                                              F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"))
@@ -441,55 +504,90 @@ def overflow_memberships(points: DataFrame, homes: DataFrame, keys: list[str], r
         many = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(Window.partitionBy(*keys, "to_day")) / 10))
         step = step.withColumn("_m", many).filter(c("_r") <= c("_m")).drop("_r", "_m")
         placed = cut(step if placed is None else placed.unionByName(step))
-    return placed if placed is not None else cand.select(*keys, "outlet_id", "share", "to_day")
+    lone = over.select(*keys, "outlet_id", "share").join(cand.select(*keys, "outlet_id"), [*keys, "outlet_id"], "left_anti")
+    lone = lone.withColumn("to_day", F.lit(None).cast(cand.schema["to_day"].dataType))
+    return lone if placed is None else placed.select(*keys, "outlet_id", "share", "to_day").unionByName(lone)
 
 
-def territory_feedback(state: DataFrame, graph: DataFrame, need: DataFrame, keys: list[str], hop_km: float, passes: int = 2) -> DataFrame:
-    """Move border outlets toward territories whose days came out short: ``need`` has keys, group and load wanted
-    (positive: short, negative: over); an outlet moves within twice the hop from an over to a short group."""
-    left = cut(need)
+def territory_feedback(state: DataFrame, graph: DataFrame, need: DataFrame, keys: list[str], hop_km: float) -> DataFrame:
+    """Move border outlets toward territories whose days came out short, within twice the hop, until no more can go.
+
+    ``need`` has keys, group and the load wanted (positive: short, negative: over). With columns ``give`` and
+    ``take`` groups that are neither may give, or take, that much; an outlet moves only if one of the two sides
+    is in need, and never more than is needed there and allowed on the other side.
+    """
+    more = lambda name, sign: c(name) if name in need.columns else F.greatest(F.lit(0.0), sign * c("need"))
+    left = cut(need.select(*keys, "group", "need", more("give", -1).cast("double").alias("give"), more("take", 1).cast("double").alias("take")))
     cur = cut(state)
-    for _ in range(passes):
+    while True:
         t = _touching(cur, graph, keys).filter("g <> h").filter(c("km") <= 2 * hop_km)
-        g = left.select(*keys, c("group").alias("g"), c("need").alias("g_need"))
-        h = left.select(*keys, c("group").alias("h"), c("need").alias("h_need"))
-        d = one_to_one(t.join(g, [*keys, "g"]).join(h, [*keys, "h"]).filter((c("h_need") > 0) & (c("g_need") < 0)), keys, c("km"))
+        side = lambda e: left.select(*keys, c("group").alias(e), *[c(x).alias(f"{e}_{x}") for x in ("need", "give", "take")])
+        pull = F.when(c("h_need") > 0, F.least(c("h_need"), c("g_give"))).otherwise(0.0)
+        push = F.when(c("g_need") < 0, F.least(-c("g_need"), c("h_take"))).otherwise(0.0)
+        d = t.join(side("g"), [*keys, "g"]).join(side("h"), [*keys, "h"]).withColumn("_most", F.greatest(pull, push)).filter(c("weight") <= c("_most"))
+        d = one_to_one(d, keys, c("km"))
         w = Window.partitionBy(*keys, "g", "h").orderBy("km", "outlet_id").rowsBetween(Window.unboundedPreceding, 0)
-        moves = cut(d.withColumn("_s", F.sum("weight").over(w)).filter(c("_s") <= F.least(c("h_need"), -c("g_need"))))
+        moves = cut(d.withColumn("_s", F.sum("weight").over(w)).filter(c("_s") <= c("_most")))
         if moves.isEmpty():
-            break
+            return cur
         cur = _moved(cur, moves, keys)
         delta = moves.select(*keys, c("g").alias("group"), c("weight").alias("_d")).union(moves.select(*keys, c("h"), -c("weight")))
         delta = delta.groupBy(*keys, "group").agg(F.sum("_d").alias("_d"))
-        left = cut(left.join(delta, [*keys, "group"], "left").withColumn("need", c("need") + F.coalesce("_d", F.lit(0.0))).drop("_d"))
-    return cur
+        d = F.coalesce("_d", F.lit(0.0))
+        # What has been given or taken is used up on both sides.
+        met = F.when(c("need") > 0, F.greatest(F.lit(0.0), c("need") + F.least(F.lit(0.0), d))).otherwise(F.least(F.lit(0.0), c("need") + F.greatest(F.lit(0.0), d)))
+        left = cut(left.join(delta, [*keys, "group"], "left").select(*keys, "group", met.alias("need"), (c("give") - F.abs(d)).alias("give"), (c("take") - F.abs(d)).alias("take")))
 
 
-def zones_to_days(zoned: DataFrame, keys: list[str], days: int, day_cap: float, rounds: int = 40) -> DataFrame:
-    """Exactly ``days`` zones per key: merge the closest pair that fits the cap (else the lightest pair), or cut
-    the heaviest zone in two; one step per key and round, all keys at once. Columns: outlet_id, zone_id, weight."""
-    cur = cut(zoned.select(*keys, "outlet_id", "latitude", "longitude", "weight", "zone_id"))
-    for _ in range(rounds):
+def zones_to_days(zoned: DataFrame, keys: list[str], days: int, day_cap: float) -> DataFrame:
+    """Exactly ``days`` zones per key (fewer only where there are fewer outlets): zones are merged by reciprocal
+    nearest neighbours while two fit the cap together, else the lightest are, or the heaviest are cut in two.
+
+    A round merges all pairs of a key that are each other's nearest fitting zone, nearest pairs first and no
+    more than it has too many. Keys that have their zones leave the loop. Columns: outlet_id, zone_id, weight.
+    """
+    cur, done = cut(zoned.select(*keys, "outlet_id", "latitude", "longitude", "weight", "zone_id")), None
+    by_load = Window.partitionBy(*keys).orderBy("load", "zone_id")
+    while True:
         z = cut(cur.groupBy(*keys, "zone_id").agg(F.sum("weight").alias("load"), F.count(F.lit(1)).alias("n"), F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude")))
-        count = z.groupBy(*keys).agg(F.count(F.lit(1)).alias("zones"), F.max(F.when(c("n") > 1, F.struct("load", (-c("zone_id")).alias("z")))).alias("_big"))
-        off = cut(count.filter((c("zones") > days) | ((c("zones") < days) & c("_big").isNotNull())))
+        count = z.groupBy(*keys).agg(F.count(F.lit(1)).alias("zones"), F.max(F.when(c("n") > 1, c("load"))).alias("heaviest"))
+        off = cut(count.filter((c("zones") > days) | ((c("zones") < days) & c("heaviest").isNotNull())))
+        rest = cur.join(off, keys, "left_anti")
+        done = rest if done is None else done.unionByName(rest)
         if off.isEmpty():
-            break
-        many = off.filter(c("zones") > days).select(*keys)
-        a = z.join(many, keys)
-        # The closest pair of centres is some zone and one of its nearest; the lightest pair is the two lightest.
-        near = nearest(a, a, keys, 3, "zone_id", "zone_id", carry=("load",)).join(a.select(*keys, "zone_id", "load"), [*keys, "zone_id"])
-        fit = near.filter(c("load") + c("nbr_load") <= day_cap).groupBy(*keys).agg(F.min(F.struct("km", c("zone_id"), c("nbr_id"))).alias("f"))
-        light = a.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("load", "zone_id"))).filter("_r <= 2").groupBy(*keys).agg(
-            F.min("zone_id").alias("_to"), F.max("zone_id").alias("_from"))
-        merge = many.join(fit, keys, "left").join(light, keys).select(
-            *keys, F.coalesce(F.greatest("f.zone_id", "f.nbr_id"), "_from").alias("zone_id"), F.coalesce(F.least("f.zone_id", "f.nbr_id"), "_to").alias("_new"))
-        few = off.filter(c("zones") < days).select(*keys, (-c("_big.z")).alias("zone_id"))
-        nxt = cur.join(merge, [*keys, "zone_id"], "left").withColumn("zone_id", F.coalesce("_new", "zone_id")).drop("_new")
+            return done
+        a = z.join(off.filter(c("zones") > days).select(*keys, (c("zones") - days).alias("extra")), keys)
+        # The nearest zone that fits: among the nearest few, else, for the lightest zone of a key, among all.
+        near = nearest(a, a, keys, 4, "zone_id", "zone_id", carry=("load",)).join(a.select(*keys, "zone_id", "load"), [*keys, "zone_id"])
+        near = near.filter(c("load") + c("nbr_load") <= day_cap)
+        first = cut(near.groupBy(*keys, "zone_id").agg(F.min(F.struct(F.round("km", 9).alias("km"), c("nbr_id"))).alias("f")).select(*keys, "zone_id", "f.km", "f.nbr_id"))
+        back = first.select(*keys, c("zone_id").alias("nbr_id"), c("nbr_id").alias("zone_id"))
+        pairs = first.join(back, [*keys, "zone_id", "nbr_id"]).filter("zone_id < nbr_id").select(*keys, c("zone_id").alias("_to"), c("nbr_id").alias("_from"), "km")
+        light = a.withColumn("_r", F.row_number().over(by_load))
+        two = light.filter("_r <= 2").groupBy(*keys).agg(F.sum("load").alias("least"), F.min(F.struct("_r", "zone_id")).alias("one"), F.max(F.struct("_r", "zone_id")).alias("two"))
+        stuck = two.join(pairs.select(*keys).distinct(), keys, "left_anti")
+        lone = stuck.filter(c("least") <= day_cap).select(*keys, c("one.zone_id").alias("_own"))
+        mine = a.join(lone, keys).filter("zone_id = _own").select(*keys, "_own", c("load").alias("_l"), c("latitude").alias("_la"), c("longitude").alias("_lo"))
+        far = a.join(mine, keys).filter((c("zone_id") != c("_own")) & (c("load") + c("_l") <= day_cap)).groupBy(*keys, "_own").agg(
+            F.min(F.struct(haversine_km(c("latitude"), c("longitude"), c("_la"), c("_lo")).alias("km"), c("zone_id"))).alias("f"))
+        pairs = pairs.unionByName(far.select(*keys, F.least("_own", "f.zone_id").alias("_to"), F.greatest("_own", "f.zone_id").alias("_from"), c("f.km").alias("km")))
+        # Nothing fits: neighbours in the order of loads, as long as they are lighter than the first two together.
+        heavy = light.join(stuck.filter(c("least") > day_cap).select(*keys, "least"), keys)
+        rank = Window.partitionBy(*keys, F.floor((c("_r") - 1) / 2)).orderBy("_r")
+        heavy = heavy.withColumn("_with", F.lead("zone_id").over(rank)).withColumn("_with_load", F.lead("load").over(rank)).filter(
+            (c("_r") % 2 == 1) & c("_with").isNotNull() & ((c("_r") == 1) | (c("_with_load") <= c("least"))))
+        pairs = pairs.unionByName(heavy.select(*keys, F.least("zone_id", "_with").alias("_to"), F.greatest("zone_id", "_with").alias("_from"), c("_r").cast("double").alias("km")))
+        order = Window.partitionBy(*keys).orderBy("km", "_to")
+        merge = pairs.join(a.select(*keys, "extra").distinct(), keys).withColumn("_r", F.row_number().over(order)).filter(c("_r") <= c("extra")).select(
+            *keys, c("_from").alias("zone_id"), c("_to").alias("_new"))
+        # Too few: the heaviest zones, down to half the heaviest's load, are cut in two.
+        short = z.filter("n > 1").join(off.filter(c("zones") < days).select(*keys, "heaviest", (days - c("zones")).alias("lack")), keys)
+        turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("load"), "zone_id"))
+        few = cut(short.withColumn("_r", turn).filter((c("_r") <= c("lack")) & ((c("_r") == 1) | (c("load") > c("heaviest") / 2))).select(*keys, "zone_id", "_r"))
+        nxt = cur.join(off.select(*keys), keys, "left_semi").join(merge, [*keys, "zone_id"], "left").withColumn("zone_id", F.coalesce("_new", "zone_id")).drop("_new")
         if not few.isEmpty():
-            half = line_split(cur.join(few, [*keys, "zone_id"]), [*keys, "zone_id"], 2, below=0.3, above=0.3)
-            top = cur.groupBy(*keys).agg((F.max("zone_id") + 1).alias("_new"))
-            moved = half.filter("part = 1").select(*keys, "outlet_id").join(top, keys)
+            half = line_split(cur.join(few.select(*keys, "zone_id"), [*keys, "zone_id"]), [*keys, "zone_id"], 2, below=0.3, above=0.3).filter("part = 1")
+            top = z.groupBy(*keys).agg(F.max("zone_id").alias("_top"))
+            moved = half.select(*keys, "outlet_id", "zone_id").join(few, [*keys, "zone_id"]).join(top, keys).select(*keys, "outlet_id", (c("_top") + c("_r")).alias("_new"))
             nxt = nxt.join(moved, [*keys, "outlet_id"], "left").withColumn("zone_id", F.coalesce("_new", "zone_id")).drop("_new")
-        cur = cut(nxt)
-    return cur
+        cur = cut(nxt.select(*cur.columns))

@@ -35,6 +35,12 @@ class PlanSettings:
     band: Band = Band()
     hop_km: float = 4.0
     workday: Workday = Workday()
+    #: 'visits' or 'time': what territories, days and weeks are evened out by.
+    balance: str = "visits"
+    #: Whether a plan compares several cuts and improves them, or takes the plain cut along the curve (a draft).
+    search: bool = True
+    #: Widest zone, as a radius.
+    zone_km: float = 15.0
 
     @property
     def cycle_days(self) -> int:

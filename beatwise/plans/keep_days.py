@@ -35,13 +35,13 @@ def runs_of(members: DataFrame, repeats: int) -> DataFrame:
     return members.withColumn("run", F.explode(cycle.runs_of_bucket(c("visits"), F.lit(repeats), c("bucket"))))
 
 
-def place_arrivals(members: DataFrame, arrivals: DataFrame, points: DataFrame, settings: PlanSettings, rounds: int = 4) -> DataFrame:
+def place_arrivals(members: DataFrame, arrivals: DataFrame, points: DataFrame, settings: PlanSettings) -> DataFrame:
     """Memberships with arriving outlets (REP, outlet_id, visits) added to the day that already passes them.
 
     A bucket's distance is the worst of its runs' nearest stops. Among buckets about as near as the
     nearest (25% and 50 m), one with room under the ceiling comes first, then the one with fewest
     calls. Day-groups without stops are used only where there is no other. Several arrivals enter a
-    bucket in one round while it has room; the rest see the updated days in the next.
+    day in one round while it has room, one where it has none; the rest see the updated days in the next.
     """
     keep = [*REP, "outlet_id", "day_group", "visits", "bucket"]
     r = F.lit(settings.repeats)
@@ -49,9 +49,7 @@ def place_arrivals(members: DataFrame, arrivals: DataFrame, points: DataFrame, s
     state = cut(members.select(*keep))
     left = cut(arrivals.select(*REP, "outlet_id", "visits").join(pos, "outlet_id"))
     span = lambda n: F.sequence(F.lit(0), n - 1)
-    for i in range(rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         driven = runs_of(state, settings.repeats).join(pos, "outlet_id")
         load = driven.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n"))
         asks = left.withColumn("day_group", F.explode(span(F.lit(settings.day_groups)))).withColumn("run", F.explode(F.sequence(F.lit(1), r)))
@@ -69,9 +67,7 @@ def place_arrivals(members: DataFrame, arrivals: DataFrame, points: DataFrame, s
         pick = pick.select(*REP, "outlet_id", "visits", c("p.day_group").alias("day_group"), c("p.bucket").alias("bucket"), c("p.count").alias("count"))
         turn = Window.partitionBy(*REP, "day_group").orderBy("outlet_id")
         pick = pick.withColumn("_r", F.row_number().over(turn))
-        if i < rounds - 1:
-            pick = pick.filter((c("_r") == 1) | (c("count") + c("_r") <= settings.band.high))
-        pick = cut(pick.select(*keep))
+        pick = cut(pick.filter((c("_r") == 1) | (c("count") + c("_r") <= settings.band.high)).select(*keep))
         state = cut(state.unionByName(pick))
         left = cut(left.join(pick.select(*REP, "outlet_id"), [*REP, "outlet_id"], "left_anti"))
     return state
@@ -93,109 +89,144 @@ def _cost(minutes: Column, n: Column, shift: float, low: Column, high: Column, w
     return over * over + 2 * minutes + F.lit(weight) * gap * gap
 
 
-def relieve_overloaded_days(stops: DataFrame, settings: PlanSettings, rounds: int = 6, restore: DataFrame | None = None,
-                            pinned: DataFrame | None = None) -> DataFrame:
-    """Move outlets from a rep's longest (or off-band) day to another of its days while that lowers the overtime.
+COLS = [*RUN, "seq", "outlet_id", "latitude", "longitude", "call_minutes", "visits", "bucket"]
+
+
+def _judged(state: DataFrame, settings: PlanSettings, restore: DataFrame | None) -> DataFrame:
+    """Loads of the days with their band, their distance to it, their cost, and whether they are to give or to take."""
+    d = day_loads(state, settings.workday).withColumn("low", F.lit(settings.band.low)).withColumn("high", F.lit(settings.band.high))
+    late = c("minutes") > settings.workday.shift + 1e-6
+    if restore is None:
+        return d.withColumn("gap", F.greatest(F.lit(0), c("low") - c("n"), c("n") - c("high"))).withColumns(
+            {"cost": _cost(c("minutes"), c("n"), settings.workday.shift, c("low"), c("high"), 0.0), "gives": late, "takes": F.lit(False)})
+    was = restore.select(*RUN, c("visits").alias("_was"))
+    d = d.join(was, RUN, "left").withColumn("low", F.least("low", F.coalesce("_was", "low"))).withColumn("high", F.greatest("high", F.coalesce("_was", "high"))).drop("_was")
+    return d.withColumn("gap", F.greatest(F.lit(0), c("low") - c("n"), c("n") - c("high"))).withColumns(
+        {"cost": _cost(c("minutes"), c("n"), settings.workday.shift, c("low"), c("high"), 10000.0), "gives": late | (c("n") > c("high")), "takes": c("n") < c("low")})
 
-    ``stops``: RUN keys, seq, outlet_id, latitude, longitude, call_minutes, visits, bucket. A round
-    takes each rep's worst day, prices every move of one of its outlets to another bucket (legs saved
-    where it leaves, cheapest slot where it joins) and applies the best one per rep, so no two moves
-    of a round touch one day. No receiving day ends longer than the worst day was, no band gap or
-    count of legs over the hop grows, co-located and pinned outlets stay. With ``restore`` (a baseline:
-    RUN keys, visits, minutes) days an edit left outside the band, measured against what they were,
-    come first and may also take outlets in.
+
+def relief_moves(state: DataFrame, days: DataFrame, settings: PlanSettings, restore: bool = False, pinned: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Moves of one round, and the slots they take.
+
+    Every move of an outlet that takes it off a day that is to give, or onto one that is to take, is priced: legs
+    saved where it leaves, cheapest slot where it joins. A move is chosen if it is the best one of the outlet and
+    of every day it touches, until every other one meets a chosen one: no two moves of a round share a day and their
+    gains add up. No receiving day ends longer than the longest giving one was, no band gap or count of legs over the hop grows, and outlets
+    that share their spot with another stop stay.
     """
     wd, shift, hop = settings.workday, settings.workday.shift, settings.hop_km
     per_km = wd.detour / wd.speed_kmh * 60
+    weight = 10000.0 if restore else 0.0
     r = F.lit(settings.repeats)
-    cols = [*RUN, "seq", "outlet_id", "latitude", "longitude", "call_minutes", "visits", "bucket"]
-    state = cut(stops.select(*cols))
-    fixed = None if pinned is None else pinned.select("outlet_id").distinct()
-    for _ in range(rounds):
-        d = day_loads(state, wd).withColumn("low", F.lit(settings.band.low)).withColumn("high", F.lit(settings.band.high))
-        if restore is not None:
-            was = restore.select(*RUN, c("visits").alias("_was"))
-            d = d.join(was, RUN, "left").withColumn("low", F.least("low", F.coalesce("_was", "low"))).withColumn("high", F.greatest("high", F.coalesce("_was", "high"))).drop("_was")
-        weight = 10000.0 if restore is not None else 0.0
-        d = cut(d.withColumn("gap", F.greatest(F.lit(0), c("low") - c("n"), c("n") - c("high"))).withColumn(
-            "cost", _cost(c("minutes"), c("n"), shift, c("low"), c("high"), weight)))
-        bad = (c("minutes") > shift + 1e-6) if restore is None else ((c("gap") > 0) | (c("minutes") > shift + 1e-6))
-        first = F.struct((c("gap") if restore is not None else F.lit(0)).alias("gap"), F.round("minutes", 6).alias("minutes"), (-c("day_group")).alias("d"), (-c("run")).alias("r"), (c("n") < c("low")).alias("short"))
-        worst = cut(d.filter(bad).groupBy(*REP).agg(F.max(first).alias("w")).select(
-            *REP, (-c("w.d")).alias("wd"), (-c("w.r")).alias("wr"), c("w.minutes").alias("w_min"), (c("w.short") & F.lit(restore is not None)).alias("takes")))
-        if worst.isEmpty():
-            break
-        legs = with_previous(state, RUN, "seq", {"pla": "latitude", "plo": "longitude"})
-        nxt = state.select(*RUN, (c("seq") - 1).alias("seq"), c("latitude").alias("nla"), c("longitude").alias("nlo"))
-        full = cut(legs.join(nxt, [*RUN, "seq"], "left").join(worst, REP))
-        dist = lambda a, b, e, f: haversine_km(c(a), c(b), c(e), c(f))
-        at = full.withColumn("k_in", dist("pla", "plo", "latitude", "longitude")).withColumn("k_out", dist("latitude", "longitude", "nla", "nlo")).withColumn("k_gap", dist("pla", "plo", "nla", "nlo"))
-        zero, long_ = (lambda x: F.coalesce(x, F.lit(0.0))), (lambda x: F.coalesce((x > hop).cast("int"), F.lit(0)))
-        stuck = F.coalesce(F.least(c("k_in"), c("k_out")) < 0.005, F.lit(False))
-        removal = at.select(*RUN, "outlet_id", (zero(c("k_in")) + zero(c("k_out")) - zero(c("k_gap"))).alias("saved"),
-                            (long_(c("k_gap")) - long_(c("k_in")) - long_(c("k_out"))).alias("long_out"), stuck.alias("stuck"))
-        one = full.groupBy(*REP, "outlet_id", "day_group", "visits", "bucket", "wd", "wr", "w_min", "takes").agg(
-            F.max((c("day_group") == c("wd")) & (c("run") == c("wr"))).cast("boolean").alias("on_worst"), F.first("latitude").alias("latitude"),
-            F.first("longitude").alias("longitude"), F.first("call_minutes").alias("call_minutes"))
-        mov = one.filter(c("on_worst") != c("takes"))
-        if fixed is not None:
-            mov = mov.join(fixed, "outlet_id", "left_anti")
-        groups = F.when(c("takes"), F.array(c("wd"))).otherwise(F.sequence(F.lit(0), F.lit(settings.day_groups - 1)))
-        opt = mov.withColumn("d2", F.explode(groups)).withColumn("b2", F.explode(F.sequence(F.lit(0), cycle.buckets_for_frequency(c("visits"), r) - 1)))
-        opt = opt.filter(~((c("d2") == c("day_group")) & (c("b2") == c("bucket"))))
-        frm, to = cycle.runs_of_bucket(c("visits"), r, c("bucket")), cycle.runs_of_bucket(c("visits"), r, c("b2"))
-        same = c("d2") == c("day_group")
-        opt = opt.withColumn("give", F.when(same, F.array_except(frm, to)).otherwise(frm)).withColumn("recv", F.when(same, F.array_except(to, frm)).otherwise(to))
-        opt = cut(opt.filter(F.array_contains(F.when(c("takes"), c("recv")).otherwise(c("give")), c("wr"))))
-        key = [*REP, "outlet_id", "day_group", "bucket", "d2", "b2"]
-        dg = d.select(*RUN, c("n"), c("minutes"), c("cost"), "low", "high", "gap")
-        gap_after = lambda n: F.greatest(F.lit(0), c("low") - n, n - c("high"))
-        g = opt.withColumn("run", F.explode("give")).join(removal, [*RUN, "outlet_id"]).join(dg, RUN)
-        g_min = F.when(c("n") > 1, c("minutes") - c("call_minutes") - c("saved") * per_km).otherwise(0.0)
-        g = g.groupBy(*key).agg(
-            F.sum(c("cost") - F.when(c("n") > 1, _cost(g_min, c("n") - 1, shift, c("low"), c("high"), weight)).otherwise(0.0)).alias("gain_g"),
-            F.sum("long_out").alias("long_g"), F.max("stuck").alias("stuck"), F.sum(F.when(c("n") > 1, gap_after(c("n") - 1) - c("gap")).otherwise(-c("gap"))).alias("gap_g"))
-        asks = opt.withColumn("run", F.explode("recv")).select(*REP, c("d2").alias("day_group"), "run", "outlet_id", "latitude", "longitude").distinct()
-        slot = state.select(*RUN, "seq", "latitude", "longitude")
-        prev = with_previous(slot, RUN, "seq", {"pla": "latitude", "plo": "longitude"}).select(*RUN, c("seq").alias("at"), "pla", "plo", c("latitude").alias("nla"), c("longitude").alias("nlo"))
-        tail = slot.groupBy(*RUN).agg(F.max(F.struct("seq", "latitude", "longitude")).alias("l")).select(
-            *RUN, (c("l.seq") + 1).alias("at"), c("l.latitude").alias("pla"), c("l.longitude").alias("plo"), F.lit(None).cast("double").alias("nla"), F.lit(None).cast("double").alias("nlo"))
-        ins = asks.join(prev.unionByName(tail), RUN)
-        p_in, p_out, p_gap = dist("pla", "plo", "latitude", "longitude"), dist("latitude", "longitude", "nla", "nlo"), dist("pla", "plo", "nla", "nlo")
-        ins = ins.groupBy(*RUN, "outlet_id").agg(
-            F.min(F.struct(F.round(zero(p_in) + zero(p_out) - zero(p_gap), 9).alias("add"), c("at"), (long_(p_in) + long_(p_out) - long_(p_gap)).alias("long"))).alias("s"),
-            F.min(F.least(p_in, p_out)).alias("near")).withColumnRenamed("day_group", "d2")
-        h = opt.withColumn("run", F.explode("recv")).join(ins, [*REP, "d2", "run", "outlet_id"], "left").join(
-            dg.withColumnRenamed("day_group", "d2"), [*REP, "d2", "run"], "left")
-        h_min = c("minutes") + c("call_minutes") + c("s.add") * per_km
-        km_leg = F.when(c("n") > 1, (c("minutes") - 70) / per_km / c("n")).otherwise(c("near"))
-        h = h.groupBy(*key, "w_min", "takes").agg(
-            F.sum(c("cost") - _cost(h_min, c("n") + 1, shift, c("low"), c("high"), weight)).alias("gain_h"), F.max(c("n").isNull()).alias("closed"), F.sum("s.long").alias("long_h"),
-            F.max(h_min).alias("longest"), F.sum(gap_after(c("n") + 1) - c("gap")).alias("gap_h"), F.max(c("near") / F.greatest(F.lit(0.03), km_leg)).alias("reach"))
-        m = h.join(g, key, "left").fillna(0, ["gain_g", "long_g", "gap_g"]).fillna(False, ["stuck"])
-        ok = (~c("closed") & ~c("stuck") & (c("gain_g") + c("gain_h") > 1e-6) & (c("long_g") + c("long_h") <= 0) & (c("gap_g") + c("gap_h") <= 0) & (c("reach") <= 3)
-              & (F.lit(restore is not None) | (c("longest") <= c("w_min") + 1e-6)))
-        ring = F.greatest(F.lit(0), F.ceil("reach") - 1)
-        best = m.filter(ok).groupBy(*REP).agg(F.min(F.struct(ring.alias("ring"), (-F.round(c("gain_g") + c("gain_h"), 6)).alias("g"), "outlet_id", "d2", "b2", "day_group", "bucket")).alias("m"))
-        go = cut(best.select(*REP, c("m.outlet_id").alias("outlet_id"), c("m.day_group").alias("day_group"), c("m.bucket").alias("bucket"), c("m.d2").alias("d2"), c("m.b2").alias("b2"))
-                 .join(opt.select(*key, "give", "recv", "latitude", "longitude", "call_minutes", "visits"), key))
+    # What a rep is to give and take: the runs of its cycle, a few dozen at most.
+    cell = F.struct("day_group", "run", "minutes")
+    wants = days.groupBy(*REP).agg(F.collect_list(F.when(c("gives"), cell)).alias("giving"), F.collect_list(F.when(c("takes"), cell)).alias("taking"))
+    legs = with_previous(state, RUN, "seq", {"pla": "latitude", "plo": "longitude"})
+    nxt = state.select(*RUN, (c("seq") - 1).alias("seq"), c("latitude").alias("nla"), c("longitude").alias("nlo"))
+    full = cut(legs.join(nxt, [*RUN, "seq"], "left"))
+    dist = lambda a, b, e, f: haversine_km(c(a), c(b), c(e), c(f))
+    at = full.withColumn("k_in", dist("pla", "plo", "latitude", "longitude")).withColumn("k_out", dist("latitude", "longitude", "nla", "nlo")).withColumn("k_gap", dist("pla", "plo", "nla", "nlo"))
+    zero, long_ = (lambda x: F.coalesce(x, F.lit(0.0))), (lambda x: F.coalesce((x > hop).cast("int"), F.lit(0)))
+    stuck = F.coalesce(F.least(c("k_in"), c("k_out")) < 0.005, F.lit(False))
+    removal = at.select(*RUN, "outlet_id", (zero(c("k_in")) + zero(c("k_out")) - zero(c("k_gap"))).alias("saved"),
+                        (long_(c("k_gap")) - long_(c("k_in")) - long_(c("k_out"))).alias("long_out"), stuck.alias("stuck"))
+    one = full.groupBy(*REP, "outlet_id", "day_group", "visits", "bucket").agg(
+        F.first("latitude").alias("latitude"), F.first("longitude").alias("longitude"), F.first("call_minutes").alias("call_minutes")).join(wants, REP)
+    if pinned is not None:
+        one = one.join(pinned.select("outlet_id").distinct(), "outlet_id", "left_anti")
+    opt = one.withColumn("d2", F.explode(F.sequence(F.lit(0), F.lit(settings.day_groups - 1)))).withColumn("b2", F.explode(F.sequence(F.lit(0), cycle.buckets_for_frequency(c("visits"), r) - 1)))
+    opt = opt.filter(~((c("d2") == c("day_group")) & (c("b2") == c("bucket"))))
+    frm, to = cycle.runs_of_bucket(c("visits"), r, c("bucket")), cycle.runs_of_bucket(c("visits"), r, c("b2"))
+    same = c("d2") == c("day_group")
+    opt = opt.withColumn("give", F.when(same, F.array_except(frm, to)).otherwise(frm)).withColumn("recv", F.when(same, F.array_except(to, frm)).otherwise(to))
+    off = F.filter("giving", lambda x: (x["day_group"] == c("day_group")) & F.array_contains(c("give"), x["run"]))
+    onto = F.exists("taking", lambda x: (x["day_group"] == c("d2")) & F.array_contains(c("recv"), x["run"]))
+    opt = opt.withColumn("w_min", F.array_max(F.transform(off, lambda x: x["minutes"]))).filter(c("w_min").isNotNull() | onto).drop("giving", "taking")
+    opt = cut(opt)
+    key = [*REP, "outlet_id", "day_group", "bucket", "d2", "b2"]
+    dg = days.select(*RUN, "n", "minutes", "cost", "low", "high", "gap")
+    gap_after = lambda n: F.greatest(F.lit(0), c("low") - n, n - c("high"))
+    g = opt.withColumn("run", F.explode("give")).join(removal, [*RUN, "outlet_id"]).join(dg, RUN)
+    g_min = F.when(c("n") > 1, c("minutes") - c("call_minutes") - c("saved") * per_km).otherwise(0.0)
+    g = g.groupBy(*key).agg(
+        F.sum(c("cost") - F.when(c("n") > 1, _cost(g_min, c("n") - 1, shift, c("low"), c("high"), weight)).otherwise(0.0)).alias("gain_g"),
+        F.sum("long_out").alias("long_g"), F.max("stuck").alias("stuck"), F.sum(F.when(c("n") > 1, gap_after(c("n") - 1) - c("gap")).otherwise(-c("gap"))).alias("gap_g"))
+    asks = opt.withColumn("run", F.explode("recv")).select(*REP, c("d2").alias("day_group"), "run", "outlet_id", "latitude", "longitude").distinct()
+    slot = state.select(*RUN, "seq", "latitude", "longitude")
+    prev = with_previous(slot, RUN, "seq", {"pla": "latitude", "plo": "longitude"}).select(*RUN, c("seq").alias("at"), "pla", "plo", c("latitude").alias("nla"), c("longitude").alias("nlo"))
+    tail = slot.groupBy(*RUN).agg(F.max(F.struct("seq", "latitude", "longitude")).alias("l")).select(
+        *RUN, (c("l.seq") + 1).alias("at"), c("l.latitude").alias("pla"), c("l.longitude").alias("plo"), F.lit(None).cast("double").alias("nla"), F.lit(None).cast("double").alias("nlo"))
+    ins = asks.join(prev.unionByName(tail), RUN)
+    p_in, p_out, p_gap = dist("pla", "plo", "latitude", "longitude"), dist("latitude", "longitude", "nla", "nlo"), dist("pla", "plo", "nla", "nlo")
+    ins = cut(ins.groupBy(*RUN, "outlet_id").agg(
+        F.min(F.struct(F.round(zero(p_in) + zero(p_out) - zero(p_gap), 9).alias("add"), c("at"), (long_(p_in) + long_(p_out) - long_(p_gap)).alias("long"))).alias("s"),
+        F.min(F.least(p_in, p_out)).alias("near")).withColumnRenamed("day_group", "d2"))
+    h = opt.withColumn("run", F.explode("recv")).join(ins, [*REP, "d2", "run", "outlet_id"], "left").join(
+        dg.withColumnRenamed("day_group", "d2"), [*REP, "d2", "run"], "left")
+    h_min = c("minutes") + c("call_minutes") + c("s.add") * per_km
+    km_leg = F.when(c("n") > 1, (c("minutes") - 70) / per_km / c("n")).otherwise(c("near"))
+    h = h.groupBy(*key, "w_min").agg(
+        F.sum(c("cost") - _cost(h_min, c("n") + 1, shift, c("low"), c("high"), weight)).alias("gain_h"), F.max(c("n").isNull()).alias("closed"), F.sum("s.long").alias("long_h"),
+        F.max(h_min).alias("longest"), F.sum(gap_after(c("n") + 1) - c("gap")).alias("gap_h"), F.max(c("near") / F.greatest(F.lit(0.03), km_leg)).alias("reach"))
+    m = h.join(g, key, "left").fillna(0, ["gain_g", "long_g", "gap_g"]).fillna(False, ["stuck"])
+    ok = (~c("closed") & ~c("stuck") & (c("gain_g") + c("gain_h") > 1e-6) & (c("long_g") + c("long_h") <= 0) & (c("gap_g") + c("gap_h") <= 0) & (c("reach") <= 3)
+          & (F.lit(restore) | (c("longest") <= c("w_min") + 1e-6)))
+    ring = F.greatest(F.lit(0), F.ceil("reach") - 1)
+    rank = F.struct(ring.alias("ring"), (-F.round(c("gain_g") + c("gain_h"), 6)).alias("g"), "outlet_id", "d2", "b2", "day_group", "bucket")
+    good = cut(m.filter(ok).select(*key, rank.alias("rank")).join(opt.select(*key, "give", "recv", "latitude", "longitude", "call_minutes", "visits"), key))
+    touched = F.concat(F.transform("give", lambda x: F.struct(c("day_group").cast("bigint").alias("a"), x.alias("b"))),
+                       F.transform("recv", lambda x: F.struct(c("d2").cast("bigint").alias("a"), x.alias("b"))),
+                       F.array(F.struct(c("outlet_id").cast("bigint").alias("a"), F.lit(-1).alias("b"))))
+    pool, chosen = cut(good.select(*REP, "rank", touched.alias("touched"))), None
+    while not pool.isEmpty():
+        each = pool.select(*REP, "rank", F.explode("touched").alias("what"))
+        best = each.groupBy(*REP, "what").agg(F.min("rank").alias("best"))
+        first = each.join(best, [*REP, "what"]).groupBy(*REP, "rank").agg(F.min(c("rank") == c("best")).alias("first")).filter("first").select(*REP, "rank")
+        first = cut(pool.join(first, [*REP, "rank"]))
+        chosen = first if chosen is None else chosen.unionByName(first)
+        # What shares a day or an outlet with a chosen move waits for the next round's prices.
+        taken = first.groupBy(*REP).agg(F.flatten(F.collect_list("touched")).alias("taken"))
+        pool = cut(pool.join(taken, REP).filter(~F.arrays_overlap("touched", "taken")).drop("taken"))
+    return (good.limit(0) if chosen is None else cut(good.join(chosen.select(*REP, "rank"), [*REP, "rank"]))), ins
+
+
+def relieve_overloaded_days(stops: DataFrame, settings: PlanSettings, restore: DataFrame | None = None, pinned: DataFrame | None = None,
+                            rounds: int | None = None) -> DataFrame:
+    """Move outlets from a rep's overlong days to others of its days while that lowers the overtime.
+
+    ``stops``: RUN keys, seq, outlet_id, latitude, longitude, call_minutes, visits, bucket. Each round makes the
+    moves of ``relief_moves``; the cost (overtime squared, twice the minutes, and what the band is missed by)
+    falls with every move, so the rounds end when no move is left. Reps without a move leave the loop. With
+    ``restore`` (a baseline: RUN keys, visits) days an edit left outside the band, measured against what they
+    were, give or take outlets too. ``rounds`` stops early.
+    """
+    live, settled, done = cut(stops.select(*COLS)), None, 0
+    while rounds is None or done < rounds:
+        d = cut(_judged(live, settings, restore))
+        reps = d.filter(c("gives") | c("takes")).select(*REP).distinct()
+        go, ins = relief_moves(live.join(reps, REP, "left_semi"), d.join(reps, REP, "left_semi"), settings, restore is not None, pinned)
         if go.isEmpty():
             break
+        busy = go.select(*REP).distinct()
+        rest = live.join(busy, REP, "left_anti")
+        settled = rest if settled is None else settled.unionByName(rest)
+        live = live.join(busy, REP, "left_semi")
         # Leave the given runs, take the slot in the received ones, carry the new bucket everywhere.
         out = go.select(*REP, "outlet_id", "day_group", F.explode("give").alias("run")).withColumn("_out", F.lit(True))
         renamed = go.select(*REP, "outlet_id", "day_group", "d2", c("b2").alias("_b2")).filter("d2 = day_group").drop("d2")
-        kept = state.join(out, [*RUN, "outlet_id"], "left").filter("_out is null").drop("_out").join(renamed, [*REP, "outlet_id", "day_group"], "left").withColumn(
+        kept = live.join(out, [*RUN, "outlet_id"], "left").filter("_out is null").drop("_out").join(renamed, [*REP, "outlet_id", "day_group"], "left").withColumn(
             "bucket", F.coalesce("_b2", "bucket")).drop("_b2").withColumn("_key", c("seq").cast("double"))
         came = go.withColumn("run", F.explode("recv")).join(ins.select(*REP, "d2", "run", "outlet_id", "s"), [*REP, "d2", "run", "outlet_id"]).select(
             *REP, c("d2").alias("day_group"), "run", (c("s.at")).cast("int").alias("seq"), "outlet_id", "latitude", "longitude", "call_minutes", "visits", c("b2").alias("bucket"), (c("s.at") - 0.5).alias("_key"))
-        both = kept.select(*cols, "_key").unionByName(came.select(*cols, "_key")).drop("seq")
-        state = cut(running_total(both, RUN, F.floor(c("_key") / 4096), ["_key", "outlet_id"], F.lit(1), "seq").withColumn("seq", c("seq").cast("int")).select(*cols))
-    return state
+        both = kept.select(*COLS, "_key").unionByName(came.select(*COLS, "_key")).drop("seq")
+        live = cut(running_total(both, RUN, F.floor(c("_key") / 4096), ["_key", "outlet_id"], F.lit(1), "seq").withColumn("seq", c("seq").cast("int")).select(*COLS))
+        done += 1
+    return live if settled is None else settled.unionByName(live)
 
 
-def restore_band(stops: DataFrame, settings: PlanSettings, baseline: DataFrame, rounds: int = 6, pinned: DataFrame | None = None) -> DataFrame:
+def restore_band(stops: DataFrame, settings: PlanSettings, baseline: DataFrame, pinned: DataFrame | None = None) -> DataFrame:
     """Put right the days an edit broke, each against what it was (``baseline``: RUN keys, visits)."""
-    return relieve_overloaded_days(stops, settings, rounds, baseline, pinned)
+    return relieve_overloaded_days(stops, settings, baseline, pinned)
 
 
 # ------------------------------------------------------------------ pins
