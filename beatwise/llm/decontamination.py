@@ -63,9 +63,13 @@ def _meet(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def _hit_documents(documents: DataFrame, hits: DataFrame) -> DataFrame:
     """Words of the documents with ``hits`` (doc_id, mark, print), and their hit prints."""
-    found = hits.groupBy(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).agg(F.collect_set("print").alias("hit_prints"))
-    texts = documents.select("doc_id", _mark(), "text").dropDuplicates(["doc_id", "mark"])
-    both = texts.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("mark").eqNullSafe(F.col("_m")))
+    found = cut(hits.groupBy(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).agg(F.collect_set("print").alias("hit_prints")))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("mark").eqNullSafe(F.col("_m"))
+    # The texts of other documents never leave their task: ids of the hit ones go to them, if few enough (24 bytes each).
+    ids = found.select("_d", "_m")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    texts = documents.select("doc_id", _mark(), "text").join(ids, same, "left_semi").dropDuplicates(["doc_id", "mark"])
+    both = texts.join(found, same)
     return both.select("doc_id", "mark", words(F.col("text")).alias("words"), "hit_prints")
 
 
