@@ -20,17 +20,20 @@ from pyspark.sql import types as T
 
 from beatwise.llm.tables import text_chunks
 
-#: Fixed values of HTML: elements without content, elements inside a line, elements whose content is no text of the page.
+#: Fixed values of HTML: elements without content, elements inside a line (formulas too), elements whose content is no text of
+#: the page. The content of the RAW ones is no markup and ends with the end tag alone.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q ruby rp rt s samp small span "
-                   "strike strong sub sup time tt u var wbr".split())
-RAW = "script|style|noscript|template|iframe|object|svg|math|textarea|select|button|xmp"
+                   "strike strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot msup msub msubsup "
+                   "munder mover munderover mstyle mpadded mtable mtr mtd".split())
+RAW = "script|style|textarea"
+SKIPPED = frozenset("noscript template iframe object svg select button xmp".split()) | frozenset(RAW.split("|"))
 #: An open element of the first kind ends where one of the second begins.
 ENDS = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"},
         "option": {"option"}}
 SCOPES = frozenset("html body div article main section aside nav table td th ul ol dl blockquote form header footer".split())
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)",
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:[^>]*[^/>])?>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)",
                    re.S | re.I)
 NAMES = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 LABEL = re.compile(r"\bdata-content=\"([01])\"")
@@ -70,15 +73,35 @@ def _run(text: str, linked: int, tag: str) -> tuple:
             f"stop {text[-1] in '.!?:;'}", f"rights {'©' in text or 'copyright' in text.lower()}")
 
 
+def _skips(tokens: list[re.Match]) -> dict[int, int]:
+    """Number of the end tag by number of the start tag of the skipped elements that are closed; an end tag closes the
+    last one open."""
+    ends: dict[int, int] = {}
+    started: dict[str, list[int]] = {}
+    for i, token in enumerate(tokens):
+        tag = (token.group(3) or "").lower()
+        if tag in SKIPPED:
+            if not token.group(2):
+                if not token.group(4).endswith("/"):
+                    started.setdefault(tag, []).append(i)
+            elif started.get(tag):
+                ends[started[tag].pop()] = i
+    return ends
+
+
 def parse(page: str) -> Tree:
     """The tree of block elements and text runs. Broken markup is read as browsers do in the common cases: a block ends
     an open paragraph, an end tag closes what is open inside its element, one without a start is left out, and a tag
-    that the end of the page cuts off is dropped."""
+    that the end of the page cuts off is dropped. Skipped elements go up to their end tag; of those that close
+    themselves or are never closed the tag alone goes, but script, style, textarea and comments run to the end of the
+    page. Elements with a hyphen in their name are inside a line. The time is in proportion to the page."""
     tree = Tree()
     root = tree.add(-1, ("tag root",))
     stack: list[tuple[str, int]] = [("root", root)]
     blocks = [root]
     block_tags = ["root"]
+    bounds: list[int] = []          # places in the stack of what a start tag may end or stop at
+    opened: dict[str, int] = {}
     piece: list[str] = []
     links = linked = 0
 
@@ -93,6 +116,9 @@ def parse(page: str) -> Tree:
     def pop() -> None:
         nonlocal links
         tag, node = stack.pop()
+        opened[tag] -= 1
+        if bounds and bounds[-1] == len(stack):
+            bounds.pop()
         if node >= 0:
             flush()
             blocks.pop()
@@ -101,7 +127,13 @@ def parse(page: str) -> Tree:
             links -= 1
 
     at = 0
-    for token in TOKEN.finditer(page):
+    tokens = list(TOKEN.finditer(page))
+    ends = _skips(tokens)
+    skipped = -1
+    for number, token in enumerate(tokens):
+        if number <= skipped:
+            at = token.end()
+            continue
         if token.start() > at:
             text = html.unescape(page[at:token.start()])
             piece.append(text)
@@ -112,8 +144,11 @@ def parse(page: str) -> Tree:
         if not tag:
             continue
         tag = tag.lower()
+        if tag in SKIPPED:
+            skipped = ends.get(number, -1)
+            continue
         if token.group(2):
-            if any(t == tag for t, _ in stack):
+            if opened.get(tag):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -125,11 +160,12 @@ def parse(page: str) -> Tree:
                 flush()
             continue
         attributes = token.group(4)
-        if tag in INLINE:
+        inline = tag in INLINE or "-" in tag
+        if inline:
             stack.append((tag, -1))
             links += tag == "a"
         else:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in reversed(bounds):
                 other = stack[k][0]
                 ended = other in ENDS and (ENDS[other] is None or tag in ENDS[other])
                 if ended:
@@ -140,10 +176,13 @@ def parse(page: str) -> Tree:
             flush()
             label = LABEL.search(attributes)
             node = tree.add(blocks[-1], _element(tag, attributes), None, int(label.group(1)) if label else tree.label[blocks[-1]])
+            if tag in ENDS or tag in SCOPES:
+                bounds.append(len(stack))
             stack.append((tag, node))
             blocks.append(node)
             block_tags.append(tag)
-        if attributes.endswith("/") and tag in INLINE:
+        opened[tag] = opened.get(tag, 0) + 1
+        if inline and attributes.endswith("/"):
             pop()
     if at < len(page):
         piece.append(html.unescape(page[at:]))

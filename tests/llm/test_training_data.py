@@ -1,6 +1,7 @@
 """Training-data operators against brute force, with nulls, empty and repeated rows, and extra columns."""
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -170,6 +171,69 @@ def test_html_edges(spark):
     assert got == {1: "Title here\nSome & long text of the article.", 2: "", 3: ""}
 
 
+MODEL = html_content.train()
+
+
+@pytest.mark.parametrize("broken", ['<svg class="i"/>', "<svg-icon></svg-icon>", "<button-bar>", "<button>", "<object data=x/>", "<iframe src=x/>", "<select>",
+                                    '<script src="x"/>', "<noscript><p>Turn it on.</p></noscript>", "<svg><svg><text>a</text></svg><text>b</text></svg>",
+                                    "<button><button>go</button>", "<!-- <svg> -->", "<script>'<object>'</script>", "</root>", "</button>"])
+def test_html_broken_markup_keeps_the_article(broken):
+    page = f"<html><body><article><h1>Some title here</h1><p>First words of it {broken} and more of them.</p><p>The rest of the article.</p></article></body></html>"
+    assert html_content.main_text(page, MODEL)[0].startswith("Some title here\nFirst words of it and more of them.\nThe rest of the article.")
+
+
+def test_html_formulas_and_raw_elements():
+    page = "<article><h1>A title of it</h1><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p><p>All else &lt; this.</p><SCRIPT>if (a<b) c</SCRIPT ><style>p {"
+    assert html_content.main_text(page, MODEL)[0] == "A title of it\nLet x=1 hold.\nAll else < this."
+
+
+@pytest.mark.parametrize("unit", ["<b>x", "<p>y", "<h1>x", "<button>", "<svg>", "</b>", "<div>", "<li>", "<b>x</i>", "<p><b>z"])
+def test_html_time_follows_the_page(unit):
+    seconds = []
+    for n in (4_000, 16_000):
+        start = time.perf_counter()
+        html_content.main_text(unit * n + "<p>y" * n, MODEL)
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 9 * seconds[0] + 0.2
+
+
+def test_html_repeated_and_no_rows(spark):
+    columns = "page_id long, url string, html string, text string, n_chars string"
+    page = "<article><h1>Title here</h1><p>Some long text of it.</p></article>"
+    got = html_content.extract(spark.createDataFrame([(1, "u", page, "t", "c"), (1, "u", page, "t", "c"), (None, None, page, None, None)], columns)).collect()
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got) == [(i, "Title here\nSome long text of it.", 32) for i in (0, 1, 1)]
+    assert html_content.extract(spark.createDataFrame([], columns)).count() == 0
+
+
+def test_html_held_out_pages():
+    """Blocks of labelled pages that the model was not fitted on."""
+    hit = wrong = missed = 0
+    for page in html_content.labelled_pages(60, seed=11):
+        tree = html_content.parse(page)
+        prob, _ = html_content.marginals(tree, MODEL)
+        for text, label, p in zip(tree.text, tree.label, prob):
+            if text is not None:
+                hit += bool(label) and p >= 0.5
+                wrong += not label and p >= 0.5
+                missed += bool(label) and p < 0.5
+    assert hit > 200 and wrong <= 0.05 * hit and missed <= 0.05 * hit, (hit, wrong, missed)
+
+
+def test_html_marginals_are_exact():
+    """Sum-product against the sum over all labellings of a small tree."""
+    tree = html_content.parse("<div><p>one two</p><ul><li>three</li><li><a href=x>four</a></li></ul></div><p>five.")
+    n = len(tree.parent)
+    weight = np.zeros(n)
+    total = 0.0
+    for state in range(1 << n):
+        on = [(state >> i) & 1 for i in range(n)]
+        w = np.prod([MODEL.odds(tree.features[i]) if on[i] else 1.0 for i in range(n)])
+        w *= np.prod([MODEL.factors[tree.text[i] is not None][on[tree.parent[i]]][on[i]] for i in range(1, n)])
+        total += w
+        weight += w * np.array(on)
+    assert np.allclose(html_content.marginals(tree, MODEL)[0], weight / total, atol=1e-9)
+
+
 def test_packing_is_gapless(spark):
     rows = [(1, None), (2, ""), (3, words("p", 3000)), (3, "again"), (None, "x")]
     got = packing.pack_documents(documents(spark, rows), queries.TOKENIZER).toPandas()
