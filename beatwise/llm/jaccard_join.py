@@ -224,18 +224,37 @@ def _join_regions(regions: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 def classes(documents: DataFrame, size: int = SHINGLE, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``documents`` (doc_id, text).
 
-    Two documents link if ``share`` hundredths of the union of their shingles are common; component_id is the smallest
-    doc_id reachable by links. Texts without words are linked with nothing; a text of fewer words is one shingle; rows
-    that repeat are copies. A row without doc_id has a null component and links nothing. Other columns are ignored.
+    Two documents link if ``share`` hundredths of the union of their shingles, taken as 64-bit hashes, are common;
+    component_id is the smallest doc_id reachable by links. Texts without words are linked with nothing; a text of fewer
+    words is one shingle; rows that repeat are copies. Rows of one doc_id with different texts are one document, which
+    has the links of each text. A row without doc_id has a null component and links nothing. Other columns are ignored.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    heads = cut(leading(docs, np.empty(0, "uint64"), size, share).select("doc_id", "n", "sig"))
+    if heads.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        of_sig = _components(docs, heads, size, share)
+    else:
+        # The texts are joined under numbers of their own; a doc_id ties the components of its texts.
+        texts = cut(docs.filter("doc_id is not null").distinct().withColumn("row", F.monotonically_increasing_id()))
+        rows = texts.select(F.col("row").alias("doc_id"), "text")
+        own = cut(leading(rows, np.empty(0, "uint64"), size, share).select("doc_id", "n", "sig"))
+        of_text = own.join(_components(rows, own, size, share), "sig").select(F.col("doc_id").alias("row"), "sig", "component_id")
+        of_text = cut(of_text.join(texts.select("row", F.col("doc_id").alias("node")), "row"))
+        first = of_text.groupBy("component_id").agg(F.min("node").alias("dst"))
+        ties = of_text.join(first, "component_id").select(F.lit(0).alias("all"), F.col("node").alias("src"), "dst").distinct()
+        nodes = of_text.select(F.lit(0).alias("all"), "node").distinct()
+        label = min_labels(nodes, ties, ["all"])
+        least = label.groupBy("label").agg(F.min("node").alias("component_id"))
+        of_sig = of_text.select("sig", "node").join(label.join(least, "label").select("node", "component_id"), "node").groupBy("sig").agg(F.min("component_id").alias("component_id"))
+    return heads.join(of_sig, "sig", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def _components(docs: DataFrame, heads: DataFrame, size: int, share: int) -> DataFrame:
+    """sig, component_id of the sets of ``docs`` (unique doc_id, text) with words; ``heads`` has their doc_id, n, sig."""
     frequent = np.empty(0, "uint64")
-    heads = cut(leading(docs, frequent, size, share).select("doc_id", "n", "sig"))
     same = cut(heads.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
     one = docs.join(same.select("doc_id"), "doc_id", "left_semi")
-    # Texts are dealt out only where a doc_id has several rows.
-    if not heads.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        one = one.dropDuplicates(["doc_id"])
     for _ in range(ORDER_ROUNDS):
         many = leading(one, frequent, size, share).select(F.explode("leading").alias("shingle")).groupBy("shingle").count()
         many = many.filter(F.col("count") > FREQUENT).orderBy(F.desc("count"), "shingle").limit(FREQUENT_LIST)
@@ -269,20 +288,23 @@ def classes(documents: DataFrame, size: int = SHINGLE, share: int = SHARE) -> Da
     open_ = few.unionByName(open_.filter(F.col("docs") > REGION_DOCS))
     regions = cut(open_.select(F.col("shingle").cast("string").alias("region"), "doc_id", "known"))
     found = tied.union(edge(cut(_join_regions(regions, sets, share))))
-    # Rows of one doc_id with different texts are one document of the graph.
-    twice = heads.filter("n > 0").groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).filter("a <> b")
-    reps = same.withColumnRenamed("doc_id", "rep")
-    again = heads.join(twice.select("doc_id"), "doc_id", "left_semi").join(reps, "sig").select(F.lit(0).alias("all"), F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
-    found = found.union(again)
-    nodes = same.select(F.lit(0).alias("all"), F.col("doc_id").alias("node")).union(again.select("all", F.col("src").alias("node"))).distinct()
+    nodes = same.select(F.lit(0).alias("all"), F.col("doc_id").alias("node"))
     label = min_labels(nodes, found, ["all"])
     best = label.groupBy("label").agg(F.min("node").alias("component_id"))
-    of_sig = label.join(best, "label").select(F.col("node").alias("rep"), "component_id").join(reps, "rep").select("sig", "component_id")
-    return heads.join(of_sig, "sig", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return label.join(best, "label").select(F.col("node").alias("doc_id"), "component_id").join(same, "doc_id").select("sig", "component_id")
 
 
 def keep_one(documents: DataFrame, size: int = SHINGLE, share: int = SHARE) -> DataFrame:
-    """The documents without those whose component has a smaller doc_id; texts without words and rows without id stay."""
+    """One row of each component: of the document with the smallest doc_id, that with the first text where it has several,
+    and of rows that repeat any one. Texts without words and rows without id stay."""
     extra = classes(documents, size, share).filter("component_id < doc_id").select("doc_id")
-    return documents.join(extra.distinct(), "doc_id", "left_anti")
+    left = documents.join(extra.distinct(), "doc_id", "left_anti")
+    # Only rows of a doc_id that occurs more than once can be in one component yet.
+    ids = left.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if ids.isEmpty():
+        return left
+    wordless = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    many = left.join(ids, "doc_id", "left_semi")
+    first = many.filter(~wordless).groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in documents.columns if c != "doc_id"]), "text").alias("first"))
+    first = first.select("doc_id", "first.*").select(*documents.columns)
+    return left.join(ids, "doc_id", "left_anti").select(*documents.columns).union(many.filter(wordless).select(*documents.columns)).union(first)

@@ -128,6 +128,16 @@ def test_jaccard_join_empty(spark):
     assert jaccard_join.keep_one(documents(spark, [(1, "a b"), (2, "A b"), (3, None)])).count() == 2
 
 
+def test_jaccard_join_repeated_ids(spark):
+    a, b, c = words("a", 60), words("b", 60), words("c", 60)
+    rows = [(1, a), (1, b), (1, b), (6, b + " end"), (7, a + " end"), (8, c), (8, c), (9, ""), (9, c + " end"), (None, a), (3, b + " last"), (2, None)]
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard_join.classes(documents(spark, rows)).collect() if r["n_shingles"])
+    assert got == [(0, 57, None), (1, 57, 1), (1, 57, 1), (1, 57, 1), (3, 58, 1), (6, 58, 1), (7, 58, 1), (8, 57, 8), (8, 57, 8), (9, 58, 8)]
+    kept = jaccard_join.keep_one(documents(spark, rows))
+    assert kept.columns == documents(spark, []).columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, a), (1, a), (2, ""), (8, c)]
+
+
 def test_decontamination_edges(spark):
     bench = spark.createDataFrame([(1, words("b", 20)), (2, "Tiny item"), (3, None), (10, words("b", 14))], "item_id long, text string")
     rows = [(1, "x " * 30 + words("b", 20)), (2, words("b", 12)), (3, "a TINY, item!"), (4, None), (5, ""), (3, "a TINY, item!"), (None, words("b", 13))]
