@@ -1,25 +1,33 @@
 """Session helper: cutting lineage in iterative jobs."""
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of local sessions without the setting, by application.
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder of the cluster for cut lineage (spark.checkpoint.dir).
 
-    Only a local session without that setting, as in tests, gets a folder of its own.
+    Only a local session without that setting, as in tests, gets a folder of its own, which goes when Python ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="beatwise-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    name = spark.conf.get("spark.app.id", "local")
+    if name not in _own:
+        _own[name] = tempfile.mkdtemp(prefix="beatwise-")
+        atexit.register(shutil.rmtree, _own[name], ignore_errors=True)
+    return _own[name]
 
 
 def cut(df: DataFrame) -> DataFrame:
