@@ -25,11 +25,12 @@ BLOCK = T.StructType([T.StructField("block", T.LongType()), T.StructField("dims"
 
 def quantised(embeddings: DataFrame, levels: int = 256) -> DataFrame:
     """vec_id and values, floor(levels * x) of every component; vectors that are null, empty or hold a null or a
-    non-finite component, and rows without id, take no part."""
+    non-finite component, and rows without id, take no part. A product that a long can't hold is an error."""
     x = F.transform("embedding", lambda v: v.cast("double"))
-    fine = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e15)), F.lit(False))
+    fine = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
+    whole = lambda v: F.when(F.abs(v * levels) < 2.0 ** 63, F.floor(v * levels)).otherwise(F.raise_error(F.lit("a component is beyond 64 bits")).cast("long"))
     return (embeddings.filter(fine & (F.size("embedding") > 0) & F.col("vec_id").isNotNull())
-            .select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * levels)).alias("values")))
+            .select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("values")))
 
 
 def blocks(vectors: DataFrame, rows: int) -> DataFrame:
@@ -50,10 +51,11 @@ class SlicedBlock:
 
     def __init__(self, values: np.ndarray):
         self.rows = len(values)
-        self.low = int(values.min())
-        self.bits = max(1, int(values.max() - self.low).bit_length())
+        self.low, self.high = int(values.min()), int(values.max())
+        self.bits = max(1, (self.high - self.low).bit_length())
         padded = np.zeros((values.shape[1], -(-self.rows // 64) * 64), "uint64")
-        padded[:, :self.rows] = (values - self.low).T
+        # Differences of longs fit 64 bits without sign.
+        padded[:, :self.rows] = values.T.astype("uint64") - np.uint64(self.low % (1 << 64))
         self.slices = np.stack([np.packbits(((padded >> np.uint64(b)) & np.uint64(1)).astype("uint8"), axis=1, bitorder="little").view("uint64")
                                 for b in range(self.bits)], 1)
 
@@ -61,6 +63,9 @@ class SlicedBlock:
         """Bit slices of the score less a constant, lowest first, and that constant."""
         by_weight: dict[int, list[np.ndarray]] = {}
         size = np.abs(query)
+        most = sum(map(abs, query.tolist()))
+        if most * max(abs(self.low), abs(self.high), 1 << self.bits) >= 1 << 63:
+            raise OverflowError("a score may be beyond 64 bits")
         # -q u = q (m - u) - q m, with m - u the complement of u's digits.
         top = (1 << self.bits) - 1
         constant = self.low * int(query.sum()) - top * int(size[query < 0].sum())
@@ -127,7 +132,9 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of ``vectors`` with the highest integer inner product for each row of
     ``queries`` (both vec_id, values), its own id left out; all rows if there are fewer. Ties go to the smaller vec_id.
 
-    Only vectors of the query's length are compared. Ids are taken to be unique; empty tables give an empty table.
+    Only vectors of the query's length are compared. Rows of ``vectors`` that share an id are candidates each; rows of
+    ``queries`` that do share one list, the best of all their answers. Scores are longs; vectors whose scores could be
+    beyond that are an error. Empty tables give an empty table.
     """
     index, asked = blocks(vectors, BLOCK_ROWS), blocks(queries, BLOCK_QUERIES)
     asked = asked.select(F.col("dims"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values"))

@@ -158,6 +158,28 @@ def test_top_k_ties_and_bad_vectors(spark):
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_top_k_large_values_and_repeated_ids(spark):
+    columns = "vec_id long, embedding array<double>"
+    rows = [(0, [1 / 256, 0.0]), (1, [1e15, 2.0]), (2, [-1e15, 3.0]), (3, [3.0, 1.0]), (3, [4.0, 1.0])]
+    vectors = topk.quantised(spark.createDataFrame(rows, columns))
+    got = [tuple(r) for r in topk.top_k(vectors.filter("vec_id = 0"), vectors, 9).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 256 * 10 ** 15), (0, 2, 3, 1024), (0, 3, 3, 768), (0, 4, 2, -256 * 10 ** 15)]
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(vectors, vectors, 1).collect()
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.quantised(spark.createDataFrame([(0, [1e18])], columns)).collect()
+
+
+def test_sliced_scores_are_inner_products():
+    rng = np.random.default_rng(5)
+    values, query = rng.integers(-300, 300, (200, 7)), rng.integers(-300, 300, 7)
+    block = topk.SlicedBlock(values)
+    everyone = np.zeros(block.slices.shape[2] * 64, "uint8")
+    everyone[:200] = 1
+    rows, score = block.top(query, np.packbits(everyone, bitorder="little").view("uint64"), 200)
+    assert rows.tolist() == list(range(200)) and (score == values @ query).all()
+
+
 def test_chat_roles_and_texts_come_back(spark):
     want = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").select("conv_id", "role", "text").collect()]
     got = queries.op8_chat_formatting(spark, SF).orderBy("conv_id", "turn").select("conv_id", "role", "text").collect()
