@@ -170,15 +170,28 @@ def _join_regions(regions: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """doc_id, other: enough links within regions (region, doc_id, known; rows of equal ``known`` are linked already)."""
     reach = 1 - share / 100 + 1e-9
     found = None
+    bytes_ = sets.select("doc_id", F.length("shingles").alias("bytes"))
+
+    def compare_small(frame: pd.DataFrame) -> pd.DataFrame:
+        sent = frame["region"].isna()
+        own = frame[~sent].sort_values("doc_id")
+        own["shingles"] = own["doc_id"].map(dict(zip(frame["doc_id"][sent], frame["shingles"][sent])))
+        return pd.DataFrame([x for _, g in own.groupby("region") for x in _region_links(g, share)], columns=["doc_id", "other"])
+
     while not regions.isEmpty():
-        sized = regions.groupBy("region").agg(F.count(F.lit(1)).alias("docs"), F.min("known").alias("a"), F.max("known").alias("b"))
-        at = cut(regions.join(sized.filter("a < b").drop("a", "b"), "region").join(sets, "doc_id"))
+        sized = regions.groupBy("region").agg(F.count(F.lit(1)).alias("docs"), F.min("known").alias("a"), F.max("known").alias("b"), F.min("doc_id").alias("head"))
+        at = cut(regions.join(sized.filter("a < b").drop("a", "b"), "region").join(bytes_, "doc_id"))
         few = at.filter(F.col("docs") <= REGION_DOCS)
-        work = few.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("shingles")).alias("bytes")).first()
+        # Regions with one smallest document share most others: they go to one call, or several if they are many, and a
+        # set is sent to a call once.
+        work = few.agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes")).first()
         calls = _calls(work["rows"], (work["bytes"] or 0) // 8)
-        small = few.groupBy(F.pmod(F.xxhash64("region"), F.lit(calls)).alias("call")).applyInPandas(
-            lambda f: pd.DataFrame([x for _, g in f.sort_values("doc_id").groupby("region") for x in _region_links(g, share)], columns=["doc_id", "other"]),
-            "doc_id long, other long")
+        heads = few.groupBy("head").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CALL_ROWS), F.ceil(F.sum("bytes") / CALL_BYTES)).alias("parts"))
+        part = F.pmod(F.xxhash64("region"), F.col("parts"))
+        dealt = cut(few.join(heads, "head").select(F.pmod(F.xxhash64("head", part), F.lit(calls)).alias("call"), "region", "doc_id", "known"))
+        sent = dealt.select("call", "doc_id").distinct().join(sets, "doc_id")
+        sent = sent.select("call", F.lit(None).cast("string").alias("region"), "doc_id", F.lit(0).cast("long").alias("known"), "shingles")
+        small = dealt.withColumn("shingles", F.lit(None).cast("binary")).union(sent).groupBy("call").applyInPandas(compare_small, "doc_id long, other long")
         large = at.filter(F.col("docs") > REGION_DOCS)
         # Pivots: of each region the lowest hashes, found by partial aggregation.
         h = F.struct(F.xxhash64("doc_id", "region").alias("h"), "doc_id")
@@ -187,7 +200,7 @@ def _join_regions(regions: DataFrame, sets: DataFrame, share: int) -> DataFrame:
         chunks = F.ceil(F.col("docs") / REGION_DOCS)
         pivots = (chosen.join(sets.withColumnRenamed("doc_id", "pivot"), "pivot")
                   .select("region", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), F.lit(None).cast("long").alias("doc_id"), "pivot", "shingles"))
-        rows = large.select("region", F.pmod(F.xxhash64("doc_id", F.lit(2)), chunks).alias("chunk"), "doc_id", F.lit(None).cast("long").alias("pivot"), "shingles")
+        rows = large.join(sets, "doc_id").select("region", F.pmod(F.xxhash64("doc_id", F.lit(2)), chunks).alias("chunk"), "doc_id", F.lit(None).cast("long").alias("pivot"), "shingles")
 
         def compare(frame: pd.DataFrame) -> pd.DataFrame:
             mine = frame[frame["pivot"].notna()].sort_values("pivot")
@@ -230,14 +243,14 @@ def classes(documents: DataFrame, size: int = SHINGLE, share: int = SHARE) -> Da
     has the links of each text. A row without doc_id has a null component and links nothing. Other columns are ignored.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    heads = cut(leading(docs, np.empty(0, "uint64"), size, share).select("doc_id", "n", "sig"))
+    heads = cut(leading(docs, np.empty(0, "uint64"), size, share))
     if heads.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         of_sig = _components(docs, heads, size, share)
     else:
         # The texts are joined under numbers of their own; a doc_id ties the components of its texts.
         texts = cut(docs.filter("doc_id is not null").distinct().withColumn("row", F.monotonically_increasing_id()))
         rows = texts.select(F.col("row").alias("doc_id"), "text")
-        own = cut(leading(rows, np.empty(0, "uint64"), size, share).select("doc_id", "n", "sig"))
+        own = cut(leading(rows, np.empty(0, "uint64"), size, share))
         of_text = own.join(_components(rows, own, size, share), "sig").select(F.col("doc_id").alias("row"), "sig", "component_id")
         of_text = cut(of_text.join(texts.select("row", F.col("doc_id").alias("node")), "row"))
         first = of_text.groupBy("component_id").agg(F.min("node").alias("dst"))
@@ -251,18 +264,21 @@ def classes(documents: DataFrame, size: int = SHINGLE, share: int = SHARE) -> Da
 
 
 def _components(docs: DataFrame, heads: DataFrame, size: int, share: int) -> DataFrame:
-    """sig, component_id of the sets of ``docs`` (unique doc_id, text) with words; ``heads`` has their doc_id, n, sig."""
+    """sig, component_id of the sets of ``docs`` (unique doc_id, text) with words; ``heads`` is their ``leading``
+    in the plain order. Texts stay where they are read; what is taken from them is thinned to one document of each set."""
     frequent = np.empty(0, "uint64")
     same = cut(heads.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
-    one = docs.join(same.select("doc_id"), "doc_id", "left_semi")
+    only = lambda rows: rows.join(same.select("doc_id"), "doc_id", "left_semi")
     for _ in range(ORDER_ROUNDS):
-        many = leading(one, frequent, size, share).select(F.explode("leading").alias("shingle")).groupBy("shingle").count()
+        rows = leading(docs, frequent, size, share) if len(frequent) else heads
+        many = only(rows.select("doc_id", "leading")).select(F.explode("leading").alias("shingle")).groupBy("shingle").count()
         many = many.filter(F.col("count") > FREQUENT).orderBy(F.desc("count"), "shingle").limit(FREQUENT_LIST)
         more = many.select("shingle").toPandas()["shingle"].to_numpy("int64").view("uint64")
         if not len(more):
             break
         frequent = np.union1d(frequent, more)
-    firsts = cut(leading(one, frequent, size, share).select("doc_id", "n", "leading")).select("doc_id", "n", F.explode("leading").alias("shingle"))
+    rows = leading(docs, frequent, size, share) if len(frequent) else heads
+    firsts = cut(only(rows.select("doc_id", "n", "leading"))).select("doc_id", "n", F.explode("leading").alias("shingle"))
     # Regions of one document are done. Those with the same documents are one: two order-free hashes of them tell.
     of = [F.bit_xor(F.xxhash64("doc_id", F.lit(seed))).alias(f"of{seed}") for seed in (1, 2)]
     shared = cut(firsts.join(firsts.groupBy("shingle").count().filter("count > 1").select("shingle"), "shingle", "left_semi"))
@@ -271,7 +287,7 @@ def _components(docs: DataFrame, heads: DataFrame, size: int, share: int) -> Dat
     members = cut(shared.join(heart, "shingle").filter("doc_id <> pivot"))
     pairs = cut(members.filter(100 * F.least("n", "m") >= share * F.greatest("n", "m")).select("doc_id", "n", "pivot").distinct())
     near = members.select("doc_id").union(members.select("pivot")).distinct()
-    sets = cut(sets_of(one.join(near, "doc_id", "left_semi"), size))
+    sets = cut(sets_of(docs.join(near, "doc_id", "left_semi"), size))
     edge = lambda found: found.select(F.lit(0).alias("all"), F.col("doc_id").alias("src"), F.col("other").alias("dst"))
     tied = cut(edge(_pivot_links(pairs, sets, share)))
     ends = tied.select("all", F.col("src").alias("node")).union(tied.select("all", F.col("dst").alias("node"))).distinct()
