@@ -29,7 +29,10 @@ SWITCH_WORDS = 24
 STEPS, RATE = 25, 0.5
 #: Words whose scores a worker keeps.
 CACHE_WORDS = 200_000
+#: Words whose features are made at a time.
+BLOCK_WORDS = 20_000
 UNKNOWN = "und"
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 WORDS = re.compile(r"[^\W\d_]+")
 PREDICTED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()),
@@ -46,21 +49,46 @@ class Field:
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w for w in WORDS.findall(text.lower()) if w.isalpha() or any(c.isalpha() for c in w)] if text else []
-
-
-def features(word: str, lexicon: frozenset[str]) -> list[int]:
-    w = f"<{word}>"
-    names = {w[i:i + n] for n in (2, 3) for i in range(len(w) - n + 1)}
-    names |= {"p" + word[:n] for n in (1, 2, 3, 4)} | {"s" + word[-n:] for n in (1, 2, 3, 4)}
-    if word in lexicon:
-        names.add("w" + word)
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & (SLOTS - 1) for x in names]
-
-
-def emission(word: str, model: Field) -> np.ndarray:
-    slots = features(word, model.lexicon)
-    return model.weights[slots].sum(axis=0) / np.sqrt(len(slots))
+    words = WORDS.findall(text.lower()) if text else []
+    return words if not words or "".join(words).isalpha() else [w for w in words if any(c.isalpha() for c in w)]
+
+
+def _slots(codes: np.ndarray, first: np.ndarray, width: int, salt: int) -> np.ndarray:
+    """Slots of the ``width`` characters from each of ``first`` on."""
+    mixed = np.full(len(first), salt, "uint64")
+    for j in range(width):
+        mixed = (mixed ^ codes[first + j]) * ODD
+        mixed ^= mixed >> np.uint64(29)
+    return (mixed & np.uint64(SLOTS - 1)).astype("int32")
+
+
+def features(words: list[str], lexicon: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of all features of all words one after another, and the number of each word's: n-grams of 2 and 3 characters
+    of the word between marks, its first and last 1 to 4 characters, the word if it is in the lexicon."""
+    length = np.fromiter(map(len, words), "int64", len(words))
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), "uint32").astype("uint64")
+    known = np.fromiter((w in lexicon for w in words), bool, len(words))
+    sizes = 2 * length + 1 + 2 * np.minimum(length, 4) + known
+    start, out = np.cumsum(length + 2) - length - 2, np.empty(sizes.sum(), "int32")
+    place = np.cumsum(sizes) - sizes
+    for n in (2, 3):
+        grams = length + 3 - n
+        inside = np.arange(grams.sum()) - np.repeat(np.cumsum(grams) - grams, grams)
+        out[np.repeat(place, grams) + inside] = _slots(codes, np.repeat(start, grams) + inside, n, n)
+        place = place + grams
+    for n in (1, 2, 3, 4):
+        long = np.flatnonzero(length >= n)
+        out[place[long]] = _slots(codes, start[long] + 1, n, 10 + n)
+        out[place[long] + 1] = _slots(codes, start[long] + 1 + length[long] - n, n, 20 + n)
+        place[long] += 2
+    out[place[known]] = [zlib.crc32(w.encode("utf-8", "surrogatepass")) & (SLOTS - 1) for w in words if w in lexicon]
+    return out, sizes
+
+
+def emissions(words: list[str], model: Field) -> np.ndarray:
+    """Scores of the languages for each word."""
+    flat, sizes = features(words, model.lexicon)
+    return np.add.reduceat(model.weights[flat], np.cumsum(sizes) - sizes) / np.sqrt(sizes)[:, None].astype("float32")
 
 
 def forward_backward(emissions: np.ndarray, index: np.ndarray, sizes: np.ndarray, transitions: np.ndarray) -> np.ndarray:
@@ -129,25 +157,24 @@ def fit(texts: list[str], langs: list[str]) -> Field:
             counts[w] = counts.get(w, 0) + 1
     lexicon = frozenset(w for w, c in counts.items() if c >= LEXICON_COUNT)
     number = {w: i for i, w in enumerate(counts)}
-    slots = [features(w, lexicon) for w in counts]
-    of_word = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
-    flat = np.concatenate([np.array(s) for s in slots])
-    scale = (1 / np.sqrt(np.array([len(s) for s in slots])))[of_word].astype("float32")
-    starts = np.concatenate([[0], np.cumsum([len(s) for s in slots])[:-1]])
+    flat, widths = features(list(counts), lexicon)
+    of_word = np.repeat(np.arange(len(widths)), widths)
+    scale = (1 / np.sqrt(widths))[of_word].astype("float32")
+    starts = np.cumsum(widths) - widths
     index = np.concatenate([np.array([number[w] for w in s]) for s in sequences])
     tag = np.concatenate(tags)
     sizes = np.array([len(s) for s in sequences])
     inside = np.ones(len(index), bool)
     inside[np.cumsum(sizes) - sizes] = False
     second = np.flatnonzero(inside)
-    truth = np.stack([np.bincount(index[tag == y], minlength=len(slots)) for y in range(n)], 1)
+    truth = np.stack([np.bincount(index[tag == y], minlength=len(widths)) for y in range(n)], 1)
     moves = np.bincount(tag[second - 1] * n + tag[second], minlength=n * n).reshape(n, n)
     weights, transitions = np.zeros((SLOTS, n), "float32"), np.zeros((n, n), "float32")
     sum_w, sum_t = np.full_like(weights, 1e-4), np.full_like(transitions, 1e-4)
     for _ in range(STEPS):
         local = np.add.reduceat(weights[flat] * scale[:, None], starts)
         post = forward_backward(local, index, sizes, transitions)
-        expected = np.stack([np.bincount(index, post[:, y], len(slots)) for y in range(n)], 1)
+        expected = np.stack([np.bincount(index, post[:, y], len(widths)) for y in range(n)], 1)
         gap = (truth - expected)[of_word] * scale[:, None]
         grad = np.stack([np.bincount(flat, gap[:, y], SLOTS) for y in range(n)], 1) / len(index) * 1000 - 0.01 * weights
         # Expected moves: posterior of neighbouring words under the current transitions.
@@ -164,7 +191,7 @@ def fit(texts: list[str], langs: list[str]) -> Field:
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Field:
     """Fit on at most ``per_language`` rows of each language of ``docs`` (text, lang), rows allowed for learning only."""
     known = docs.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("text", F.lit(3)).alias("h"))
-    per = known.groupBy("lang").agg(F.percentile_approx("h", 0.0).alias("_low"), F.count(F.lit(1)).alias("n")).collect()
+    per = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     parts = []
     for row in per:
         # A range of the hash that holds about twice the wanted rows keeps the sort small at any size.
@@ -181,19 +208,20 @@ def predict_texts(texts: list, model: Field, cache: dict[str, int], table: list[
     if len(cache) > CACHE_WORDS:
         cache.clear()
         table.clear()
-    index, sizes = [], []
+    index, sizes, fresh = [], [], []
     for text in texts:
         words = words_of(text) if model.languages else []
-        for w in {w for w in words if w not in cache}:
-            cache[w] = len(table)
-            table.append(emission(w, model))
+        new = set(words).difference(cache)
+        cache.update(zip(new, range(len(cache), len(cache) + len(new))))
+        fresh.extend(new)
         index.append(np.fromiter(map(cache.__getitem__, words), "int64", len(words)))
         sizes.append(len(words))
+    table.extend(emissions(fresh[i:i + BLOCK_WORDS], model) for i in range(0, len(fresh), BLOCK_WORDS))
     sizes = np.array(sizes)
     full = np.flatnonzero(sizes)
     out: list[tuple[str, float, int]] = [(UNKNOWN, 0.0, 0)] * len(texts)
     if len(full):
-        post = forward_backward(np.array(table), np.concatenate([index[i] for i in full]), sizes[full], model.transitions)
+        post = forward_backward(np.concatenate(table), np.concatenate([index[i] for i in full]), sizes[full], model.transitions)
         mean = np.add.reduceat(post.astype("float64"), np.cumsum(sizes[full]) - sizes[full]) / sizes[full][:, None]
         for i, row in zip(full, mean):
             best = int(row.argmax())

@@ -1,5 +1,7 @@
 """Language ID and quality scores: nulls, empty and repeated rows, no labels."""
 from pyspark.sql import functions as F
+import zlib
+
 
 from beatwise.llm import language_id, quality
 
@@ -20,3 +22,34 @@ def test_quality_without_labels_is_even(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string")
     got = quality.score(docs, quality.train(docs, spark.createDataFrame([], "doc_id long, quality int")), F.lit(False)).collect()
     assert len(got) == 6 and {(r["score"], r["predicted"]) for r in got} == {(0.5, 1)}
+
+
+def test_features_of_many_words_are_those_of_each():
+    def plain(word, salt):
+        mixed = salt
+        for char in word:
+            mixed = ((mixed ^ ord(char)) * int(language_id.ODD)) % (1 << 64)
+            mixed ^= mixed >> 29
+        return mixed % language_id.SLOTS
+
+    words = ["a", "das", "straße", "été", "ab", "x" * 300, "中文", "a"]
+    lexicon = frozenset(["das", "a"])
+    flat, sizes = language_id.features(words, lexicon)
+    parts, at = [], 0
+    for word, size in zip(words, sizes):
+        marked = f"<{word}>"
+        want = [plain(marked[i:i + n], n) for n in (2, 3) for i in range(len(marked) - n + 1)]
+        want += [plain(word[:n], 10 + n) for n in (1, 2, 3, 4) if n <= len(word)] + [plain(word[-n:], 20 + n) for n in (1, 2, 3, 4) if n <= len(word)]
+        want += [zlib.crc32(word.encode()) % language_id.SLOTS] if word in lexicon else []
+        assert sorted(flat[at:at + size]) == sorted(want)
+        at += size
+    assert at == len(flat)
+
+
+def test_language_on_an_empty_table_and_clashing_columns(spark):
+    model = language_id.fit([ROWS[0][1], ROWS[1][1]], ["en", "de"])
+    docs = spark.createDataFrame([r + ("x", 7) for r in ROWS], "doc_id long, text string, lang_pred string, score int")
+    assert language_id.predict(docs, model, F.lit(False)).count() == 6
+    assert language_id.keep(docs, model, 0.5).columns == docs.columns
+    assert language_id.predict(docs.filter("false"), model, F.lit(False)).count() == 0
+    assert language_id.keep(docs.filter("false"), model, 0.5).count() == 0
