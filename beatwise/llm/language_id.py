@@ -31,6 +31,8 @@ STEPS, RATE = 25, 0.5
 CACHE_WORDS = 200_000
 #: Words whose features are made at a time.
 BLOCK_WORDS = 20_000
+#: Steps between two scalings; a word's smallest factor is 1e-12.
+SCALED = 8
 UNKNOWN = "und"
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -94,34 +96,38 @@ def emissions(words: list[str], model: Field) -> np.ndarray:
 def forward_backward(emissions: np.ndarray, index: np.ndarray, sizes: np.ndarray, transitions: np.ndarray) -> np.ndarray:
     """Posterior of each label at each word; ``index`` has the emission rows of all sequences one after another.
 
-    All sequences advance together, longest first, so a step is one small matrix product for those still running.
+    All sequences advance together, longest first, and words are laid out by their place in the sequence, so a step is one
+    small matrix product over neighbouring rows. Rows are scaled every ``SCALED`` steps, before a double can run out.
     """
+    first = np.cumsum(sizes) - sizes
     order = np.argsort(-sizes, kind="stable")
-    size = sizes[order]
-    start = (np.cumsum(sizes) - sizes)[order]
-    top = int(size[0]) if len(size) else 0
-    running = np.searchsorted(-size, -np.arange(1, top + 1), side="right")
-    local = np.exp(emissions - emissions.max(axis=1, keepdims=True)).astype("float32") + 1e-12
-    step = np.exp(transitions - transitions.max()).astype("float32")
-    forward, backward = np.empty((len(index), local.shape[1]), "float32"), np.ones((len(index), local.shape[1]), "float32")
-    state = np.ones((len(size), local.shape[1]), "float32")
-    for t in range(top):
-        at = start[:running[t]] + t
-        state = state[:running[t]]
-        state = (state @ step if t else state) * local[index[at]]
-        state /= state.sum(axis=1, keepdims=True)
-        forward[at] = state
-    state = np.ones((0, local.shape[1]), "float32")
+    rank = np.empty(len(sizes), "int64")
+    rank[order] = np.arange(len(sizes))
+    top = int(sizes.max()) if len(sizes) else 0
+    running = np.searchsorted(-sizes[order], -np.arange(1, top + 1), side="right")
+    offset = np.cumsum(running) - running
+    place = offset[np.arange(len(index)) - np.repeat(first, sizes)] + np.repeat(rank, sizes)
+    words = np.empty(len(index), "int64")
+    words[place] = index
+    local = (np.exp(emissions - emissions.max(axis=1, keepdims=True)).astype("float64") + 1e-12)[words]
+    step = np.exp(transitions - transitions.max()).astype("float64")
+    forward, backward, turned = local.copy(), np.ones_like(local), step.T.copy()
+    running, offset = running.tolist(), offset.tolist()
+    for t in range(1, top):
+        n, a, b = running[t], offset[t - 1], offset[t]
+        state = forward[b:b + n]
+        state *= forward[a:a + n] @ step
+        if t % SCALED == 0:
+            state /= state.sum(axis=1, keepdims=True)
     for t in range(top - 2, -1, -1):
-        a, b = running[t + 1], len(state)
-        if a > b:
-            state = np.concatenate([state, np.ones((a - b, local.shape[1]), "float32")])
-        at = start[:a] + t
-        state = (state * local[index[at + 1]]) @ step.T
-        state /= state.sum(axis=1, keepdims=True)
-        backward[at] = state
-    both = forward * backward
-    return both / both.sum(axis=1, keepdims=True)
+        n, a, b = running[t + 1], offset[t], offset[t + 1]
+        state = (local[b:b + n] * backward[b:b + n]) @ turned
+        if t % SCALED == 0:
+            state /= state.sum(axis=1, keepdims=True)
+        backward[a:a + n] = state
+    forward *= backward
+    forward /= forward.sum(axis=1, keepdims=True)
+    return forward[place]
 
 
 def code_switched(texts: list[list[str]], labels: list[int], seed: int = 5) -> tuple[list[list[str]], list[np.ndarray]]:
@@ -222,7 +228,7 @@ def predict_texts(texts: list, model: Field, cache: dict[str, int], table: list[
     out: list[tuple[str, float, int]] = [(UNKNOWN, 0.0, 0)] * len(texts)
     if len(full):
         post = forward_backward(np.concatenate(table), np.concatenate([index[i] for i in full]), sizes[full], model.transitions)
-        mean = np.add.reduceat(post.astype("float64"), np.cumsum(sizes[full]) - sizes[full]) / sizes[full][:, None]
+        mean = np.add.reduceat(post, np.cumsum(sizes[full]) - sizes[full]) / sizes[full][:, None]
         for i, row in zip(full, mean):
             best = int(row.argmax())
             out[i] = (model.languages[best], min(1.0, float(row[best])), int(sizes[i]))

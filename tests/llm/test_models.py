@@ -1,6 +1,8 @@
 """Language ID and quality scores: nulls, empty and repeated rows, no labels."""
+import itertools
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from beatwise.llm import language_id, quality
@@ -53,3 +55,25 @@ def test_language_on_an_empty_table_and_clashing_columns(spark):
     assert language_id.keep(docs, model, 0.5).columns == docs.columns
     assert language_id.predict(docs.filter("false"), model, F.lit(False)).count() == 0
     assert language_id.keep(docs.filter("false"), model, 0.5).count() == 0
+
+
+def test_posteriors_are_those_of_all_labellings():
+    rng = np.random.default_rng(1)
+    emissions, transitions = rng.normal(0, 3, (7, 3)), rng.normal(0, 2, (3, 3))
+    sizes = np.array([2, 5, 1, 5])
+    index = rng.integers(0, 7, sizes.sum())
+    got, at = language_id.forward_backward(emissions, index, sizes, transitions), 0
+    for size in sizes:
+        own = index[at:at + size]
+        want = np.zeros((size, 3))
+        for labels in itertools.product(range(3), repeat=int(size)):
+            score = sum(emissions[w, y] for w, y in zip(own, labels)) + sum(transitions[a, b] for a, b in itertools.pairwise(labels))
+            want[np.arange(size), labels] += np.exp(score)
+        assert np.allclose(got[at:at + size], want / want.sum(axis=1, keepdims=True), atol=1e-9)
+        at += size
+
+
+def test_posteriors_of_long_unlikely_sequences_are_finite():
+    emissions = np.array([[0.0, 900.0], [900.0, 0.0]])
+    got = language_id.forward_backward(emissions, np.tile([0, 1], 20_000), np.array([40_000]), np.array([[0.0, -40.0], [-40.0, 0.0]]))
+    assert np.isfinite(got).all() and np.allclose(got.sum(axis=1), 1)
