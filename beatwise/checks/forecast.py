@@ -50,12 +50,16 @@ SQL["model_metrics"] = f"WITH {POINTS} SELECT count(*) AS models, round(avg(r2),
 _transfers = lambda spark, sf: fc.transfer_recommendations(_forecast(spark, sf).withColumn("predicted", c("predicted") * F.when(c("rep_id") % 3 == 0, 0.3).otherwise(1.0)), 90.0, 60.0, 80.0, 75.0)
 QUERIES["transfer_recommendations"] = lambda spark, sf: rounded(_transfers(spark, sf), "work", "expected_gain")
 QUERIES["transfer_imbalance"] = lambda spark, sf: rounded(fc.imbalance(_forecast(spark, sf).withColumn("predicted", c("predicted") * F.when(c("rep_id") % 3 == 0, 0.3).otherwise(1.0)), _transfers(spark, sf)), "before", "after")
-SQL["transfer_recommendations"] = f"""WITH {FORECAST}, w AS (SELECT *, predicted * CASE WHEN rep_id % 3 = 0 THEN 0.3::DOUBLE ELSE 1 END / 4 AS work FROM fo),
+TRANSFERS = f"""{FORECAST}, w AS (SELECT *, predicted * CASE WHEN rep_id % 3 = 0 THEN 0.3::DOUBLE ELSE 1 END / 4 AS work FROM fo),
 ld AS (SELECT market_id, rep_id, sum(work) AS load FROM w GROUP BY ALL),
 g0 AS (SELECT w.*, load, coalesce(CASE WHEN modelled THEN growth END, 0) + work AS score FROM w JOIN ld USING (market_id, rep_id) WHERE load > 90),
 g1 AS (SELECT * FROM g0 QUALIFY row_number() OVER (PARTITION BY market_id, rep_id ORDER BY score DESC, outlet_id) <= ceil((load - 80) / 3)),
 g AS (SELECT *, sum(work) OVER (PARTITION BY market_id ORDER BY score DESC, outlet_id) AS e FROM g1),
 t AS (SELECT *, sum(75 - load) OVER (PARTITION BY market_id ORDER BY load, rep_id) AS stop FROM ld WHERE load < 60),
 m AS (SELECT g.market_id, g.outlet_id, g.rep_id AS from_rep_id, t.rep_id AS to_rep_id, work, work * confidence AS gain, g.e, t.stop FROM g JOIN t ON g.market_id = t.market_id AND t.stop - (75 - t.load) <= g.e - g.work
-  QUALIFY row_number() OVER (PARTITION BY g.outlet_id ORDER BY t.stop DESC) = 1)
-SELECT market_id, outlet_id, from_rep_id, to_rep_id, round(work, 6) AS work, round(gain, 6) AS expected_gain FROM m WHERE e <= stop + 1e-9"""
+  QUALIFY row_number() OVER (PARTITION BY g.outlet_id ORDER BY t.stop DESC) = 1)"""
+SQL["transfer_recommendations"] = f"WITH {TRANSFERS} SELECT market_id, outlet_id, from_rep_id, to_rep_id, round(work, 6) AS work, round(gain, 6) AS expected_gain FROM m WHERE e <= stop + 1e-9"
+SQL["transfer_imbalance"] = f"""WITH {TRANSFERS}, moved AS (SELECT w.market_id, w.rep_id, coalesce(m.to_rep_id, w.rep_id) AS now_id, w.work FROM w LEFT JOIN m ON m.outlet_id = w.outlet_id AND m.e <= m.stop + 1e-9),
+b AS (SELECT market_id, stddev_pop(x) / avg(x) AS v FROM (SELECT market_id, rep_id, sum(work) AS x FROM moved GROUP BY ALL) GROUP BY 1),
+a AS (SELECT market_id, stddev_pop(x) / avg(x) AS v FROM (SELECT market_id, now_id, sum(work) AS x FROM moved GROUP BY ALL) GROUP BY 1)
+SELECT market_id, round(b.v, 6) AS "before", round(a.v, 6) AS "after" FROM b JOIN a USING (market_id)"""

@@ -70,22 +70,25 @@ def transfer_recommendations(forecast: DataFrame, high: float = 25.0, low: float
     Givers offer their highest growth + work outlets, one per three visits of excess; receivers
     stand in order of load, each with room up to the cap. Both are laid along a line of work, and an
     outlet goes to the receiver whose stretch holds it whole, so no receiver passes the cap and no
-    giver meets every receiver.
+    giver meets every receiver. The line is cut into pieces as long as the cap; outlets and stretches
+    meet by piece, so neither a market nor its line is ever one task's work. Reps without room, and
+    outlets whose work is null, take no part.
     """
-    w = cut(forecast.withColumn("work", c("predicted") / 4))
+    w = cut(forecast.withColumn("work", c("predicted") / 4).filter("work is not null"))
     load = w.groupBy(*keys, "rep_id").agg(F.sum("work").alias("load"))
     give = w.join(load.filter(c("load") > high), [*keys, "rep_id"]).withColumn("score", F.coalesce("growth", F.lit(0.0)) + c("work"))
     by_rep = Window.partitionBy(*keys, "rep_id").orderBy(F.desc("score"), "outlet_id")
     give = give.withColumn("_r", F.row_number().over(by_rep)).filter(c("_r") <= F.ceil((c("load") - target) / 3))
     give = running_total(give, keys, -F.floor(c("score") * 4), [F.desc("score"), "outlet_id"], "work", "_end").withColumn("_start", c("_end") - c("work"))
-    take = running_total(load.filter(c("load") < low), keys, F.floor("load"), ["load", "rep_id"], F.lit(cap) - c("load"), "_end").withColumn(
-        "_start", c("_end") - (F.lit(cap) - c("load")))
-    both = give.select(*keys, "outlet_id", c("rep_id").alias("from_rep_id"), "work", "confidence", "_start", "_end", F.lit(None).cast("struct<rep:bigint,stop:double>").alias("_t"), F.lit(1).alias("_o")).unionByName(
-        take.select(*keys, F.lit(None).cast("bigint").alias("outlet_id"), F.lit(None).cast("bigint").alias("from_rep_id"), F.lit(0.0).alias("work"), F.lit(0.0).alias("confidence"),
-                    "_start", "_end", F.struct(c("rep_id").alias("rep"), c("_end").alias("stop")).alias("_t"), F.lit(0).alias("_o")))
-    at = Window.partitionBy(*keys).orderBy("_start", "_o", "outlet_id").rowsBetween(Window.unboundedPreceding, 0)
-    met = both.withColumn("_to", F.last("_t", ignorenulls=True).over(at)).filter((c("_o") == 1) & (c("_end") <= c("_to.stop") + 1e-9))
-    return met.select(*keys, "outlet_id", "from_rep_id", c("_to.rep").alias("to_rep_id"), "work", (c("work") * c("confidence")).alias("expected_gain"))
+    room = F.lit(cap) - c("load")
+    take = running_total(load.filter((c("load") < low) & (room > 0)), keys, F.floor("load"), ["load", "rep_id"], room, "_stop").withColumn("_from", c("_stop") - room)
+    # Borders are rounded when computed, so a stretch also meets what starts a hair beyond it; the fit is tested below.
+    piece = lambda at: F.floor(at / cap).cast("bigint")
+    take = take.select(*keys, c("rep_id").alias("to_rep_id"), "_from", "_stop", F.explode(F.sequence(piece(c("_from") - 1e-6), piece(c("_stop") + 1e-6))).alias("_piece"))
+    met = give.withColumn("_piece", piece(c("_start"))).join(take, [*keys, "_piece"]).filter(c("_from") <= c("_start"))
+    last = met.groupBy(*keys, "outlet_id", c("rep_id").alias("from_rep_id"), "work", "confidence", "_end").agg(F.max(F.struct("_from", "_stop", "to_rep_id")).alias("_t"))
+    return last.filter(c("_end") <= c("_t._stop") + 1e-9).select(
+        *keys, "outlet_id", "from_rep_id", c("_t.to_rep_id").alias("to_rep_id"), "work", (c("work") * c("confidence")).alias("expected_gain"))
 
 
 def imbalance(forecast: DataFrame, transfers: DataFrame, keys: list[str] = ["market_id"]) -> DataFrame:
