@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from beatwise.checks.sql import STOPS, hav
+from beatwise.checks.sql import OUTLETS, STOPS, hav
 from beatwise.functions.numbers import six
 from beatwise.operators import route_metrics as rm
 from beatwise.operators import routes as rt
@@ -69,3 +69,10 @@ def _day_centres(spark, sf):
 
 
 QUERIES["sequence_days"] = lambda spark, sf: rt.sequence_days(_day_centres(spark, sf), ["market_id", "rep_id"])
+# All orders of a rep's days; legs in whole millimetres.
+SQL["sequence_days"] = f"""WITH RECURSIVE {OUTLETS}, ce AS (SELECT market_id, rep_id, day_group, avg(latitude) AS a, avg(longitude) AS o FROM outlets WHERE NOT excluded AND NOT "offset" GROUP BY ALL),
+le AS (SELECT x.market_id, x.rep_id, x.day_group AS src, y.day_group AS dst, CAST(round({hav('x.a', 'x.o', 'y.a', 'y.o')} * 1000000) AS BIGINT) AS mm FROM ce x JOIN ce y ON x.market_id = y.market_id AND x.rep_id = y.rep_id),
+pa AS (SELECT market_id, rep_id, [day_group] AS path, day_group AS last, CAST(0 AS BIGINT) AS mm FROM ce UNION ALL
+  SELECT pa.market_id, pa.rep_id, list_append(path, dst), dst, pa.mm + le.mm FROM pa JOIN le ON le.market_id = pa.market_id AND le.rep_id = pa.rep_id AND le.src = pa.last WHERE NOT list_contains(path, dst)),
+be AS (SELECT market_id, rep_id, path FROM pa QUALIFY row_number() OVER (PARTITION BY market_id, rep_id ORDER BY len(path) DESC, mm, path) = 1)
+SELECT market_id, rep_id, unnest(path) AS day_group, CAST(generate_subscripts(path, 1) AS INTEGER) AS place FROM be"""
