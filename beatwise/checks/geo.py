@@ -92,6 +92,18 @@ pq AS (SELECT *, CASE WHEN a < c OR (a = c AND b <= d) THEN [a, b, c, d] ELSE [c
 SELECT p.rep_id, p.week, p.day_of_week, p.seq, round(coalesce(r.km, {hav('p.lat1', 'p.lng1', 'p.lat2', 'p.lng2')} * 1.3), 6) AS road_km FROM pq p LEFT JOIN road_pairs r ON
   r.lat1_i = q[1] AND r.lng1_i = q[2] AND r.lat2_i = q[3] AND r.lng2_i = q[4]"""
 
+# Roads are known where they are a kilometre or more.
+QUERIES["scorecard_days_by_road"] = lambda spark, sf: route_metrics.scorecard_days(route_metrics.road_legs(
+    td.stops(spark, sf), roads.road_pairs_from_matrix(_matrix(spark, sf)).filter("km >= 1"))).select(
+    "market_id", "rep_id", "week", "day_of_week", "visits", six(c("km")).alias("km"), six(c("drive_min")).alias("drive_min"), six(c("total_min")).alias("total_min"), "long_legs")
+SQL["scorecard_days_by_road"] = f"""WITH {MATRIX}, lp AS (SELECT *, lag(latitude) OVER w AS la, lag(longitude) OVER w AS lo FROM stops WINDOW w AS (PARTITION BY rep_id, week, day_of_week ORDER BY seq)),
+lk AS (SELECT *, CAST(floor(la * 1e4 + 0.5) AS BIGINT) AS a, CAST(floor(lo * 1e4 + 0.5) AS BIGINT) AS b, CAST(floor(latitude * 1e4 + 0.5) AS BIGINT) AS c, CAST(floor(longitude * 1e4 + 0.5) AS BIGINT) AS d FROM lp),
+lq AS (SELECT *, CASE WHEN a < c OR (a = c AND b <= d) THEN [a, b, c, d] ELSE [c, d, a, b] END AS q, coalesce({hav('la', 'lo', 'latitude', 'longitude')}, 0.0) AS straight FROM lk),
+lj AS (SELECT lq.*, r.km AS rk, r.minutes AS rm FROM lq LEFT JOIN road_pairs r ON r.km >= 1 AND r.lat1_i = q[1] AND r.lng1_i = q[2] AND r.lat2_i = q[3] AND r.lng2_i = q[4]),
+ld AS (SELECT market_id, rep_id, week, day_of_week, count(*) AS visits, sum(coalesce(rk, straight * 1.3)) AS km, sum(coalesce(rm * 1.6, coalesce(rk, straight * 1.3) / 25 * 60)) AS drive, sum(call_minutes) AS calls,
+  count(*) FILTER (straight > 4) AS long_legs FROM lj GROUP BY ALL)
+SELECT market_id, rep_id, week, day_of_week, visits, round(km, 6) AS km, round(drive, 6) AS drive_min, round(calls + drive + 70, 6) AS total_min, long_legs FROM ld"""
+
 QUERIES["cell_of"] = lambda spark, sf: td.outlets(spark, sf).select(
     "outlet_id", *[geo.cell(c(x), s).alias(f"{n}_{x[:3]}") for n, s in (("fine", 0.01), ("mid", 0.02), ("wide", 5 / 111)) for x in ("latitude", "longitude")])
 SQL["cell_of"] = f"""WITH {OUTLETS} SELECT outlet_id, """ + ", ".join(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from beatwise.functions.geo import Distance, haversine_km
 from beatwise.operators.prefix import running_total, with_previous
+from beatwise.operators.roads import PAIR, pair_key
 from beatwise.params import Workday
 
 CELL = ["market_id", "rep_id", "week", "day_of_week"]
@@ -18,6 +19,16 @@ def route_legs(stops: DataFrame, route: list[str] = CELL, dist: Distance = haver
     return prev.withColumn("leg_km", F.coalesce(km, F.lit(0.0))).drop("_plat", "_plng")
 
 
+def road_legs(stops: DataFrame, road_pairs: DataFrame, route: list[str] = CELL) -> DataFrame:
+    """``route_legs`` with the road's km and minutes (``road_km``, ``road_min``) from the stop before, null where the pair
+    (``roads.road_pairs_from_matrix``) is unknown and for the first stop."""
+    prev = with_previous(stops, route, "seq", {"_plat": "latitude", "_plng": "longitude"})
+    ends = [F.col(x) for x in ("_plat", "_plng", "latitude", "longitude")]
+    known = road_pairs.select(*PAIR, F.col("km").alias("road_km"), F.col("minutes").alias("road_min"))
+    legs = prev.withColumn("leg_km", F.coalesce(haversine_km(*ends), F.lit(0.0))).select("*", *pair_key(*ends))
+    return legs.join(known, PAIR, "left").drop(*PAIR, "_plat", "_plng")
+
+
 def cumulative_km(legs: DataFrame, route: list[str] = CELL) -> DataFrame:
     """Kilometres from the first stop to each, as ``at_km``."""
     return running_total(legs, route, F.floor(F.col("seq") / 4096), ["seq"], "leg_km", "at_km")
@@ -55,12 +66,19 @@ def drive_minutes(straight_km: Column, wd: Workday, road_km: Column | None = Non
 
 def scorecard_days(legs: DataFrame, wd: Workday = Workday(), keep: tuple[str, ...] = ("run", "day_group"),
                    hop_km: float = 4.0, cell: list[str] = CELL) -> DataFrame:
-    """One row per driven day: visits, km, call, drive and total minutes, legs over the hop limit."""
+    """One row per driven day: visits, km, call, drive and total minutes, legs over the hop limit.
+
+    Legs that carry road figures (``road_legs``) count with the known km and minutes, others with the stretched straight
+    line; without any, ``km`` is the straight line. Hops are always measured straight.
+    """
     keep = tuple(k for k in keep if k in legs.columns)
+    straight, by_road = F.col("leg_km"), "road_km" in legs.columns
+    km = F.coalesce("road_km", straight * F.lit(wd.detour)) if by_road else straight
+    drive = drive_minutes(straight, wd, F.col("road_km"), F.col("road_min")) if by_road else None
     days = legs.groupBy(*cell, *keep).agg(
-        F.count(F.lit(1)).alias("visits"), F.sum("leg_km").alias("km"), F.sum("call_minutes").alias("call_min"),
-        F.max("leg_km").alias("longest_km"), F.count_if(F.col("leg_km") > hop_km).alias("long_legs"))
-    drive = drive_minutes(F.col("km"), wd)
+        F.count(F.lit(1)).alias("visits"), F.sum(km).alias("km"), F.sum("call_minutes").alias("call_min"),
+        F.max("leg_km").alias("longest_km"), F.count_if(F.col("leg_km") > hop_km).alias("long_legs"), *([F.sum(drive).alias("drive_min")] if by_road else []))
+    drive = F.col("drive_min") if by_road else drive_minutes(F.col("km"), wd)
     return days.withColumn("drive_min", drive).withColumn(
         "total_min", F.col("call_min") + drive + F.lit(wd.commute + wd.pause))
 
