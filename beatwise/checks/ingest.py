@@ -178,9 +178,7 @@ def _pins(spark, sf):
         '{"repId": "%d", "week": %d, "dayOfWeek": %d}', c("rep_id"), k % 4 + 1, k % 5 + 1)).alias("pin"))
 
 
-PIN = "STRUCT<repId: STRING, week: INT, dayOfWeek: INT>"
-QUERIES["parse_pin"] = lambda spark, sf: _pins(spark, sf).withColumn("p", F.from_json("pin", PIN)).select(
-    "outlet_id", c("p.repId").cast("bigint").alias("rep_id"), c("p.week").alias("week"), c("p.dayOfWeek").alias("day_of_week"))
+QUERIES["parse_pin"] = lambda spark, sf: _pins(spark, sf).select("outlet_id", status.parse_pin(c("pin")).alias("p")).select("outlet_id", "p.*")
 SQL["parse_pin"] = f"""WITH {OUTLETS} SELECT outlet_id, CASE WHEN outlet_id % 5 <> 0 THEN rep_id END AS rep_id,
   CASE WHEN outlet_id % 5 <> 0 THEN outlet_id % 4 + 1 END AS week, CASE WHEN outlet_id % 5 <> 0 THEN outlet_id % 5 + 1 END AS day_of_week FROM outlets"""
 

@@ -362,16 +362,14 @@ QUERIES["scenario_apply"] = lambda spark, sf: sc.apply_scenario(td.outlets(spark
 SQL["scenario_apply"] = f"""WITH {OUTLETS} SELECT outlet_id, CASE WHEN outlet_id % 4 <> 0 THEN rep_id + 1 ELSE rep_id END AS rep_id, CASE WHEN outlet_id % 4 <> 0 THEN outlet_id % 9 = 1 ELSE excluded END AS excluded FROM outlets"""
 
 # ------------------------------------------------------------------ sets
-QUERIES["planned_and_unplanned"] = lambda spark, sf: act(spark, sf).join(stops(spark, sf).select("outlet_id").distinct(), "outlet_id", "left_anti").select("market_id", "outlet_id")
+QUERIES["planned_and_unplanned"] = lambda spark, sf: card.unplanned_outlets(td.outlets(spark, sf), stops(spark, sf)).select("market_id", "outlet_id")
 SQL["planned_and_unplanned"] = f"WITH {STOPS} SELECT market_id, outlet_id FROM outlets WHERE {ACT} AND outlet_id NOT IN (SELECT outlet_id FROM stops)"
 
 
 def _moves(spark, sf):
     now = act(spark, sf).select("rep_id", "outlet_id").filter("outlet_id % 13 <> 0")
     was = td.memberships(spark, sf).select(F.when(c("outlet_id") % 10 == 0, c("rep_id") + 1).otherwise(c("rep_id")).alias("rep_id"), "outlet_id")
-    a, b = now.withColumn("_n", F.lit(True)), was.withColumn("_w", F.lit(True))
-    state = F.when(c("_n") & c("_w"), "kept").when(c("_w"), "left").otherwise("arrived")
-    return a.join(b, ["rep_id", "outlet_id"], "full").select("rep_id", "outlet_id", state.alias("state"))
+    return card.membership_changes(now, was)
 
 
 QUERIES["kept_left_arrived"] = _moves
@@ -380,11 +378,5 @@ w AS (SELECT CASE WHEN outlet_id % 10 = 0 THEN rep_id + 1 ELSE rep_id END AS rep
 SELECT *, 'kept' AS state FROM (FROM n INTERSECT FROM w) UNION ALL SELECT *, 'left' FROM (FROM w EXCEPT FROM n) UNION ALL SELECT *, 'arrived' FROM (FROM n EXCEPT FROM w)"""
 
 
-def _shared(spark, sf):
-    s = stops(spark, sf).select("rep_id", "week", "day_of_week", "outlet_id")
-    nxt = s.select("rep_id", (c("week") - 1).alias("week"), "day_of_week", "outlet_id")
-    return s.join(nxt, ["rep_id", "week", "day_of_week", "outlet_id"]).groupBy("rep_id", "week", "day_of_week").agg(F.count(F.lit(1)).alias("shared"))
-
-
-QUERIES["shared_outlets"] = _shared
+QUERIES["shared_outlets"] = lambda spark, sf: card.shared_outlets(stops(spark, sf))
 SQL["shared_outlets"] = f"""WITH {STOPS} SELECT a.rep_id, a.week, a.day_of_week, count(*) AS shared FROM stops a JOIN stops b ON a.rep_id = b.rep_id AND b.week = a.week + 1 AND a.day_of_week = b.day_of_week AND a.outlet_id = b.outlet_id GROUP BY ALL"""

@@ -91,8 +91,8 @@ own AS (SELECT outlet_id, max(km) AS own_km FROM ow WHERE r <= 3 GROUP BY 1),
 ot AS (SELECT a.outlet_id, b.rep_id AS suggested, {HAB} AS other_km FROM act a JOIN act b ON a.market_id = b.market_id AND a.rep_id <> b.rep_id QUALIFY row_number() OVER (PARTITION BY a.outlet_id ORDER BY {HAB}, b.rep_id) = 1),
 mis AS (SELECT market_id, outlet_id, rep_id AS current, own_km, suggested, other_km, own_km - other_km AS savings_km FROM act JOIN own USING (outlet_id) JOIN ot USING (outlet_id) WHERE other_km < own_km * 0.5 AND own_km - other_km > 1 AND other_km <= 11)"""
 SQL["misfit_outlets"] = f"WITH {OUTLETS}, {ACT}, {MISFIT} SELECT market_id, outlet_id, current, round(own_km, 6) AS own_km, suggested, round(other_km, 6) AS other_km, round(savings_km, 6) AS savings_km FROM mis"
-QUERIES["top_misfits"] = lambda spark, sf: sp.top_rows(rounded(sp.misfit_outlets(active(spark, sf), MARKET), "savings_km"), MARKET, [F.desc("savings_km"), c("outlet_id")], 5).select("market_id", "outlet_id", "savings_km", "place")
-SQL["top_misfits"] = f"""WITH {OUTLETS}, {ACT}, {MISFIT} SELECT market_id, outlet_id, round(savings_km, 6) AS savings_km, CAST(row_number() OVER (PARTITION BY market_id ORDER BY round(savings_km, 6) DESC, outlet_id) AS INTEGER) AS place FROM mis QUALIFY place <= 5"""
+QUERIES["top_misfits"] = lambda spark, sf: sp.top_of_all(rounded(sp.misfit_outlets(active(spark, sf), MARKET), "savings_km"), MARKET, [F.desc("savings_km"), c("outlet_id")]).select("market_id", "outlet_id", "savings_km", "place", "total")
+SQL["top_misfits"] = f"""WITH {OUTLETS}, {ACT}, {MISFIT} SELECT market_id, outlet_id, round(savings_km, 6) AS savings_km, CAST(row_number() OVER (PARTITION BY market_id ORDER BY round(savings_km, 6) DESC, outlet_id) AS INTEGER) AS place, count(*) OVER (PARTITION BY market_id) AS total FROM mis QUALIFY place <= 100"""
 
 QUERIES["stray_vote"] = lambda spark, sf: sp.stray_votes(nb.nearest(active(spark, sf), active(spark, sf), MARKET, 8).select("market_id", "outlet_id", "nbr_id"), active(spark, sf), MARKET, "rep_id")
 STRAY = f"""kn AS (SELECT a.market_id, a.outlet_id, a.rep_id AS own, b.rep_id AS g FROM act a JOIN act b ON a.market_id = b.market_id AND a.outlet_id <> b.outlet_id QUALIFY row_number() OVER (PARTITION BY a.outlet_id ORDER BY {HAB}, b.outlet_id) <= 8),

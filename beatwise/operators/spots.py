@@ -233,6 +233,12 @@ def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int) -> Dat
     return df.withColumn("place", F.row_number().over(w)).filter(c("place") <= n)
 
 
+def top_of_all(df: DataFrame, keys: list[str], order: list[Column], n: int = 100) -> DataFrame:
+    """``top_rows`` with the number of rows they were taken from (``total``)."""
+    rows = cut(df)
+    return top_rows(rows, keys, order, n).join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("total")), keys)
+
+
 def stray_votes(graph: DataFrame, owners: DataFrame, keys: list[str], group: str, k: int = 8) -> DataFrame:
     """Outlets most of whose k nearest belong to another group: outlet_id, from, to, margin.
 

@@ -8,6 +8,15 @@ from beatwise.functions.text import spot_key
 from beatwise.operators.prefix import running_total
 
 
+PIN = "STRUCT<repId: STRING, week: INT, dayOfWeek: INT>"
+
+
+def parse_pin(pin: Column) -> Column:
+    """rep_id, week and day_of_week of a pin's JSON text; all null where it can't be read."""
+    p = F.from_json(pin, PIN)
+    return F.struct(p["repId"].try_cast("bigint").alias("rep_id"), p["week"].alias("week"), p["dayOfWeek"].alias("day_of_week"))
+
+
 def exclude_outlets(outlets: DataFrame, requested: DataFrame, include_excluded: bool = False) -> DataFrame:
     """Outlets of a run: without the requested ids and, unless wanted back, those already excluded."""
     left = outlets.join(requested.select("outlet_id").distinct(), "outlet_id", "left_anti")
