@@ -9,12 +9,22 @@ from pyspark.sql import functions as F
 from beatwise.functions import text
 from beatwise.functions.geo import box_gap_km, haversine_km
 from beatwise.functions.numbers import half_up
-from beatwise.operators.neighbours import KM_PER_DEGREE, LADDER, box_bounds, components, min_labels, nearest, reach_degrees, within_km
+from beatwise.operators.neighbours import KM_PER_DEGREE, LADDER, _spread, box_bounds, components, min_labels, nearest, reach_degrees, within_km
 from beatwise.session import cut
 
 c = F.col  # resolved when called, inside operators only
 
 
+def _cells_in_reach(a: DataFrame, b: DataFrame, keys: list[str], n: int, m: int) -> DataFrame:
+    """Rows of ``a`` (ya, xa) and ``b`` (yb, xb) in cells at most n rows and m columns apart.
+
+    They meet by blocks of n by m cells: a row goes to nine blocks, however many cells are in reach. It is a shuffle
+    join whatever the size looks like, as a table that is spread inside the join is larger than Spark expects."""
+    block = lambda y, x: [F.floor(c(y) / n).cast("bigint").alias("_cy"), F.floor(c(x) / m).cast("bigint").alias("_cx")]
+    met = _spread(a.select("*", *block("ya", "xa"))).join(b.select("*", *block("yb", "xb")).hint("merge"), [*keys, "_cy", "_cx"])
+    return met.filter((F.abs(c("ya") - c("yb")) <= n) & (F.abs(c("xa") - c("xb")) <= m)).drop("_cy", "_cx")
+
+
 def group_gap_km(points: DataFrame, keys: list[str], group: str, up_to: float, levels: tuple[int, ...] = (4, 32)) -> DataFrame:
     """Gap (closest pair) of every two groups of a key at most ``up_to`` km apart: a, b, gap_km, box_gap_km.
 
@@ -34,16 +44,14 @@ def group_gap_km(points: DataFrame, keys: list[str], group: str, up_to: float, l
 
     def closest(pairs: DataFrame) -> DataFrame:
         low, high = box_bounds("a", "b")
-        both = pairs.withColumn("_low", low).withColumn("_high", high).filter(c("_low") <= up_to)
+        both = cut(pairs.withColumn("_low", low).withColumn("_high", high).filter(c("_low") <= up_to))
         best = both.groupBy(*keys, "a", "b").agg(F.min("_high").alias("_best"))
         return both.join(best, [*keys, "a", "b"]).filter(c("_low") <= c("_best")).drop("_low", "_high", "_best", *[f"{x}_{e}" for x in names for e in ("a", "b")])
 
     n, m = levels[0] + 1, math.ceil(levels[0] / wide) + 1
     coarse = at.groupBy(*keys, "g", "y1", "x1").agg(*edges)
-    reach = F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y in range(-n, n + 1) for x in range(-m, m + 1)])
-    a = coarse.withColumn("_o", F.explode(reach)).select(*keys, *named("a"), c("y1").alias("ya"), c("x1").alias("xa"), (c("y1") + c("_o.dy")).alias("yb"), (c("x1") + c("_o.dx")).alias("xb"))
-    b = coarse.select(*keys, *named("b"), c("y1").alias("yb"), c("x1").alias("xb"))
-    pairs = cut(closest(a.join(b, [*keys, "yb", "xb"]).filter("a < b")))
+    pairs = cut(closest(_cells_in_reach(coarse.select(*keys, *named("a"), c("y1").alias("ya"), c("x1").alias("xa")),
+                                        coarse.select(*keys, *named("b"), c("y1").alias("yb"), c("x1").alias("xb")), keys, n, m).filter("a < b")))
     fine = at.groupBy(*keys, "g", "y1", "x1", "y2", "x2").agg(*edges)
     end = lambda e, *more: fine.select(*keys, *named(e), c("y1").alias(f"y{e}"), c("x1").alias(f"x{e}"), c("y2").alias(f"y2{e}"), c("x2").alias(f"x2{e}"))
     pairs = cut(closest(pairs.join(end("a"), [*keys, "a", "ya", "xa"]).join(end("b"), [*keys, "b", "yb", "xb"])))
@@ -218,7 +226,6 @@ def misfit_outlets(outlets: DataFrame, keys: list[str], group: str = "rep_id", r
     there = outlets.select(*keys, c(group).alias("_g"), c("latitude").alias("_la"), c("longitude").alias("_lo")).distinct()
     there = there.withColumn("_level", F.explode(F.array(*[F.lit(u) for u in used] or [F.lit(0)]))).withColumn(
         "_cy", F.floor(c("_la") / size).cast("bigint")).withColumn("_cx", F.floor(c("_lo") / size).cast("bigint"))
-    from beatwise.operators.neighbours import _spread
     hit = _spread(q).join(there, [*keys, "_level", "_cy", "_cx"]).filter(c("_g") != c(group)).withColumn(
         "km", haversine_km(c("latitude"), c("longitude"), c("_la"), c("_lo")))
     hit = hit.filter((c("km") < c("own_km") * 0.5) & (c("own_km") - c("km") > 1) & (c("km") <= reach_km))

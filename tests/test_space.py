@@ -215,3 +215,13 @@ def test_group_gaps(spark):
     for a, b in ((0, 1), (1, 2), (0, 2)):
         d = min(km(x[3:], y[3:]) for x in apart for y in apart if x[2] == a and y[2] == b)
         assert got.get((a, b)) == (pytest.approx(d, abs=1e-6) if d <= 5 else None)
+
+
+def test_cells_in_reach_spread_nine_times_and_shuffled(spark):
+    cells = [(y, x) for y in range(-6, 7) for x in range(-9, 10, 2)]
+    cell = lambda e: spark.createDataFrame([(0, y, x) for y, x in cells], f"market_id long, y{e} long, x{e} long")
+    met = spots._cells_in_reach(cell("a"), cell("b"), ["market_id"], 5, 7)
+    got = sorted((r.ya, r.xa, r.yb, r.xb) for r in met.collect())
+    assert got == sorted((*a, *b) for a in cells for b in cells if abs(a[0] - b[0]) <= 5 and abs(a[1] - b[1]) <= 7)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
