@@ -79,14 +79,15 @@ def within_km_join(outlets: DataFrame, keys: list[str], km: float) -> DataFrame:
 
 def nearest(queries: DataFrame, candidates: DataFrame, keys: list[str], k: int, query_id: str = "outlet_id",
             candidate_id: str = "outlet_id", carry: tuple[str, ...] = (), not_self: bool = True,
-            differing: str | None = None) -> DataFrame:
+            differing: str | None = None, few: bool = False) -> DataFrame:
     """The k nearest candidates of every query: keys, query_id, nbr_id, km, rank, carried candidate columns.
 
     Ties go to the lower id. A query is settled at the finest grid level whose nine cells surely
     hold its k nearest; the rest move to a coarser level. Queries still open at a level have fewer
     than k candidates around them, so few of them can meet in a crowded cell. Of outlets sharing a
     spot only the k + 1 lowest ids can be among anybody's k nearest. ``differing`` names a column
-    that must differ between the two (nearest outlet of another group).
+    that must differ between the two (nearest outlet of another group). Queries and candidates meet by a
+    shuffle join, as queries that are spread are larger than Spark expects; ``few`` candidates it may broadcast.
     """
     spot_keys = [*keys, "latitude", "longitude", *([differing] if differing else [])]
     top = Window.partitionBy(*spot_keys).orderBy(candidate_id)
@@ -105,6 +106,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, keys: list[str], k: int,
         last = level == len(LADDER) - 1
         there = (cands.withColumn("_cy", F.floor(F.col("_lat") / size).cast("bigint"))
                  .withColumn("_cx", F.floor(F.col("_lng") / size).cast("bigint")))
+        there = there if few else there.hint("shuffle_hash")
         pairs = _spread(_gridded(open_, size)).join(there, [*keys, "_cy", "_cx"])
         if not_self:
             pairs = pairs.filter(F.col("_q") != F.col("nbr_id"))
@@ -125,7 +127,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, keys: list[str], k: int,
         found = cut(found.withColumn("_sure", F.sum(((F.col("rank") == k) & (F.col("km") < seen)).cast("int")).over(sure)))
         settled = found.filter("_sure > 0")
         done.append(settled.drop("_sure", "latitude"))
-        open_ = cut(open_.join(settled.filter("rank = 1").select(*keys, "_q"), [*keys, "_q"], "left_anti"))
+        open_ = cut(open_.join(settled.filter("rank = 1").select(*keys, "_q").hint("shuffle_hash"), [*keys, "_q"], "left_anti"))
         if open_.isEmpty():
             break
     out = done[0]

@@ -45,12 +45,14 @@ def place_arrivals(members: DataFrame, arrivals: DataFrame, points: DataFrame, s
     """
     keep = [*REP, "outlet_id", "day_group", "visits", "bucket"]
     r = F.lit(settings.repeats)
-    pos = points.select("outlet_id", "latitude", "longitude")
+    pos = cut(points.select("outlet_id", "latitude", "longitude"))
     state = cut(members.select(*keep))
     left = cut(arrivals.select(*REP, "outlet_id", "visits").join(pos, "outlet_id"))
     span = lambda n: F.sequence(F.lit(0), n - 1)
     while not left.isEmpty():
-        driven = runs_of(state, settings.repeats).join(pos, "outlet_id")
+        # Only days of reps that still wait for an arrival are looked at.
+        waiting = state.join(left.select(*REP).distinct(), REP, "left_semi")
+        driven = runs_of(waiting.join(pos.hint("shuffle_hash"), "outlet_id"), settings.repeats)
         load = driven.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n"))
         asks = left.withColumn("day_group", F.explode(span(F.lit(settings.day_groups)))).withColumn("run", F.explode(F.sequence(F.lit(1), r)))
         near = nearest(asks, driven, RUN, 1, not_self=False).select(*RUN, "outlet_id", "km")
