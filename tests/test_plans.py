@@ -220,3 +220,65 @@ def test_single_rounds_reach_over_the_whole_route(spark):
     assert [r.outlet_id for r in rt.two_opt_round(turned, M).orderBy("seq").collect()] == list(range(100))
     strayed = line(row[:10] + row[11:80] + [row[10]] + row[80:])
     assert [r.outlet_id for r in rt.or_opt_round(strayed, M).orderBy("seq").collect()] == list(range(100))
+
+
+def counted(df, spark):
+    """The frame with a column that counts how often its rows are made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def one(x):
+        made.add(1)
+        return x
+
+    return df.withColumn("latitude", F.udf(one, "double").asNondeterministic()("latitude")), made
+
+
+def test_rounds_read_the_points_a_fixed_number_of_times(spark):
+    p = points(spark, 90)
+    graph = pt.neighbour_graph(p, M)
+    striped = p.withColumn("group", (F.col("outlet_id") % 3).cast("int")).select("market_id", "outlet_id", "group", "weight")
+    for run in (lambda df, n: pt.balanced_kmeans(df, M, F.lit(4), below=0.5, above=0.5, rounds=n), lambda df, n: pt.compact_swaps(striped, df, graph, M, n)):
+        reads = []
+        for n in (1, 3):
+            df, made = counted(p, spark)
+            assert run(df, n).count() == 90
+            reads.append(made.value)
+        assert reads[0] == reads[1]
+
+
+def test_a_round_swaps_all_that_gain(spark):
+    # Two towns, each with ten outlets of the other's group.
+    rows = [(0, i, 33.5 + 0.05 * (i // 40) + 0.001 * (i % 8), 35.5 + 0.001 * (i // 8 % 5), 1.0) for i in range(80)]
+    p = spark.createDataFrame(rows, "market_id int, outlet_id long, latitude double, longitude double, weight double")
+    home = F.floor(F.col("outlet_id") / 40).cast("int")
+    start = p.withColumn("group", F.when(F.col("outlet_id") % 4 == 0, 1 - home).otherwise(home)).select("market_id", "outlet_id", "group", "weight")
+    out = pt.compact_swaps(start, p, pt.neighbour_graph(p, M), M, rounds=1).withColumn("home", home)
+    assert out.filter("group = home").count() == 80
+
+
+def test_joins_of_outlets_in_rounds_are_shuffled(spark, monkeypatch):
+    from beatwise.operators import neighbours as nb
+    p = points(spark, 90)
+    graph = pt.neighbour_graph(p, M)
+    state = p.withColumn("group", F.lit(1)).select("market_id", "outlet_id", "group", "weight")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(pt._touching(state, graph, M))
+    plans, cut = [], nb.cut
+    monkeypatch.setattr(nb, "cut", lambda df: plans.append(plan(df)) or cut(df))
+    assert nb.nearest(p, p, M, 2).count() == 180
+    assert len(plans) > 2 and not any("Broadcast" in x for x in plans)
+
+
+def test_arrivals_read_the_points_a_fixed_number_of_times(spark):
+    from beatwise.params import PlanSettings
+    from beatwise.plans import keep_days
+    rows = [(0, 1, i, 33.5 + 0.001 * i, 35.5, 4, i % 5, 0) for i in range(40)]
+    every = spark.createDataFrame(rows, "market_id int, rep_id long, outlet_id long, latitude double, longitude double, visits int, day_group int, bucket int")
+    reads = []
+    for new in (1, 4):
+        df, made = counted(every, spark)
+        arrive = every.filter(F.col("outlet_id") >= 40 - new).select("market_id", "rep_id", "outlet_id", "visits")
+        placed = keep_days.place_arrivals(every.filter(F.col("outlet_id") < 40 - new), arrive, df, PlanSettings(band=Band(1, 2)))
+        assert placed.count() == 40
+        reads.append(made.value)
+    assert reads[0] == reads[1]
