@@ -9,19 +9,24 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from beatwise.functions.geo import haversine_km, hilbert_d, local_x_km, local_y_km
+from beatwise.functions.geo import RAD, haversine_km, hilbert_d, local_x_km, local_y_km
 from beatwise.operators.neighbours import components, nearest
 from beatwise.operators.prefix import running_total
-from beatwise.params import KM_PER_LAT, KM_PER_LNG
+from beatwise.params import EARTH_KM, KM_PER_LAT, KM_PER_LNG
 from beatwise.session import cut
 
 c = F.col
 SIDE = 1 << 16
 #: Strips per direction in which a straight cut adds up loads.
 STRIPS = 1024
+#: Outlets of a key up to which one task finds all its straight cuts; larger keys are added up by strips.
+LINE_ROWS = 8192
 
 
 def curve_position(points: DataFrame, keys: list[str], flipped: bool = False) -> DataFrame:
@@ -50,6 +55,141 @@ def hilbert_partition(points: DataFrame, keys: list[str], k: Column, weight: str
     return capacity_runs(curve_position(points, keys, flipped), keys, k, weight, "d", id_col)
 
 
+def _straight_cut(ids: np.ndarray, px: np.ndarray, py: np.ndarray, w: np.ndarray, k: int, lo: float, hi: float, turns: np.ndarray) -> np.ndarray | None:
+    """Which outlets (in the order of their ids) lie left of the best straight cut of ``line_split``; None where there is none."""
+    n, k1 = len(ids), k // 2
+    k2, goal = k - k1, w.sum() * k1 / k
+    proj = px * turns[:, :1] + py * turns[:, 1:]
+    order = np.argsort(proj, axis=1, kind="stable")
+    at = np.take_along_axis(proj, order, 1)
+    span = at[:, -1:] - at[:, :1]
+    strip = np.clip(np.floor((at - at[:, :1]) / np.where(span > 0, span, 1.0) * STRIPS), 0, STRIPS - 1)
+    load, sx, sy, ss = (np.cumsum(v[order], axis=1) for v in (w, px, py, px ** 2 + py ** 2))
+    balance = np.take_along_axis(strip, (load >= goal).argmax(axis=1)[:, None], 1)
+    pos, gap, border = np.arange(1, n), np.diff(at, axis=1), strip[:, 1:] != strip[:, :-1]
+    open_ = (border | (strip[:, 1:] == balance) & (goal > 0)) & (pos >= k1) & (n - pos >= k2)
+    if not open_.any():
+        return None
+    upto, sx, sy, all_, ss = load[:, :-1], sx[:, :-1], sy[:, :-1], ss[:, -1:], ss[:, :-1]
+    slack = lambda parts: min(w.max(), (hi - lo) * parts / 4) if parts > 1 else 0.0
+    room = lambda x, parts: (x >= parts * lo + slack(parts)) & (x <= parts * hi - slack(parts))
+    fit = open_ & room(upto, k1) & room(w.sum() - upto, k2)
+    side = lambda q: np.sqrt(np.maximum(0.0, q) * math.pi)
+    bend = sx ** 2 + sy ** 2
+    tour = np.round(0.7124 * (side(ss - bend / pos) + side(all_ - ss - bend / (n - pos))), 9)
+    off = np.round(np.abs(upto - goal), 9)
+    option = lambda d, p: (tour[d, p], d, at[d, p], (1 << 63) - 1 if border[d, p] else int(ids[order[d, p]]))
+    some = np.flatnonzero(fit.any(axis=1))
+    if len(some):
+        widest = np.where(fit, np.round(gap, 9), -np.inf).argmax(axis=1)
+        nearest_ = np.where(fit, off, np.inf).argmin(axis=1)
+        best = min(option(d, p[d]) for d in some for p in (widest, nearest_))
+    else:
+        off = np.where(open_, off, np.inf)
+        best = min(option(d, p) for d, p in np.argwhere(off == off.min()))
+    _, d, to, last = best
+    return (proj[d] < to) | (proj[d] == to) & (ids <= last)
+
+
+#: What the cuts need of an outlet, in one column.
+LINE_ROW = ["id", "la", "lo", "w", "x", "y"]
+
+
+def _line_row(id_col: str, weight: str) -> Column:
+    # Outlets on one spot are told apart by a millimetre.
+    off = lambda seed: (F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 20)) / (1 << 20) - 0.5) * 2e-6
+    return F.struct(c(id_col).cast("bigint").alias("id"), c("latitude").cast("double").alias("la"), c("longitude").cast("double").alias("lo"),
+                    c(weight).cast("double").alias("w"), off(1).alias("x"), off(2).alias("y"))
+
+
+def _few_rows(id_col: str, weight: str) -> Column:
+    """Whether a group is of up to LINE_ROWS outlets with known figures, for one task to cut."""
+    known = [F.count(x) for x in (id_col, "latitude", "longitude", weight)]
+    return ((F.greatest(*known, F.count(F.lit(1))) == F.least(*known)) & (F.count(F.lit(1)) <= LINE_ROWS) & (F.min(weight) >= 0)
+            & ~F.isnan(F.sum(c("latitude") + c("longitude") + c(weight))))
+
+
+def _turns(directions: int) -> np.ndarray:
+    return np.array([(math.cos(math.pi * i / directions), math.sin(math.pi * i / directions)) for i in range(directions)])
+
+
+def _line_parts(figures: list[np.ndarray], at: np.ndarray, k: int, low: float, high: float, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All levels of ``line_split`` for the outlets ``at`` of one key: their places, by id, and parts."""
+    ids, la, lo, w, x, y = figures
+    at = at[np.argsort(ids[at], kind="stable")]
+    node, parts = np.zeros(len(at), "int32"), np.full(len(at), k, "int32")
+    repeated = len(np.unique(ids[at])) < len(at)
+    while True:
+        left = np.full(len(at), -1)
+        for name in np.unique(node[parts > 1]):
+            here = np.flatnonzero((node == name) & (parts > 1))
+            i = at[here]
+            mid = la[i].mean()
+            px = (lo[i] - lo[i].mean()) * KM_PER_LNG * math.cos(mid * RAD) + x[i]
+            found = _straight_cut(ids[i], px, (la[i] - mid) * KM_PER_LAT + y[i], w[i], int(parts[here].max()), low, high, turns)
+            if found is not None:
+                left[here] = found
+        if (left < 0).all():
+            return at, node
+        if repeated:
+            # Rows of one id go with each of its sides, as in a join.
+            sides = pd.DataFrame({"id": ids[at], "left": left})
+            both = sides[["id"]].assign(row=np.arange(len(at))).merge(sides[left >= 0], on="id", how="left")
+            at, node, parts, left = at[both["row"]], node[both["row"]], parts[both["row"]], both["left"].fillna(-1).to_numpy()
+        half = parts // 2
+        node = np.where(left == 0, node + half, node).astype("int32")
+        parts = np.where(left < 0, parts, np.where(left == 1, half, parts - half)).astype("int32")
+
+
+def _row_figures(table: pa.Table) -> list[np.ndarray]:
+    row = table.column("_row").combine_chunks()
+    return [row.field(i).to_numpy(zero_copy_only=False) for i in range(len(LINE_ROW))]
+
+
+def _parts_of_key(directions: int):
+    """The outlets of a key with their part."""
+    turns = _turns(directions)
+
+    def run(table: pa.Table) -> pa.Table:
+        k, low, high = (table.column(x)[0].as_py() for x in ("_k", "_lo", "_hi"))
+        at, node = _line_parts(_row_figures(table), np.arange(table.num_rows), k, low, high, turns)
+        return table.drop_columns(["_row", "_k", "_lo", "_hi"]).take(pa.array(at)).append_column("part", pa.array(node, pa.int32()))
+
+    return run
+
+
+def _radius_km(la: np.ndarray, lo: np.ndarray) -> float:
+    """Greatest distance to the centre."""
+    a, b = np.radians(la), np.radians(la.mean())
+    h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(lo.mean() - lo) / 2) ** 2
+    return float((2 * EARTH_KM * np.arctan2(np.sqrt(h), np.sqrt(np.maximum(0.0, 1 - h)))).max())
+
+
+def _paths_of_zone(max_radius_km: float, directions: int = 36):
+    """The outlets of a zone cut in two by lines until each part fits: ``_path`` goes on with the side taken at each cut."""
+    turns = _turns(directions)
+
+    def run(table: pa.Table) -> pa.Table:
+        figures = _row_figures(table)
+        la, lo = figures[1:3]
+        start = table.column("_path")[0].as_py()
+        open_, places, paths = [(np.arange(table.num_rows), start)], [], []
+        while open_:
+            at, path = open_.pop()
+            parts = None
+            if len(at) > 1 and _radius_km(la[at], lo[at]) > max_radius_km:
+                at, parts = _line_parts(figures, at, 2, -1e-9, len(at) + 1e-9, turns)
+            if parts is None or not parts.any():
+                places.append(at)
+                paths += [path] * len(at)
+            else:
+                open_ += [(at[parts == side], [*path, side]) for side in (0, 1)]
+        out = table.drop_columns(["_row", "_path"]).take(pa.array(np.concatenate(places)))
+        return out.append_column("_path", pa.array(paths, pa.list_(pa.int32())))
+
+    return run
+
+
 def line_split(points: DataFrame, keys: list[str], k: Column | int, weight: str = "weight", below: float | str = 0.1, above: float | str = 0.1,
                id_col: str = "outlet_id", directions: int = 36) -> DataFrame:
     """Split each key into k parts by straight cuts, level by level for all keys at once (``part`` from 0).
@@ -59,21 +199,27 @@ def line_split(points: DataFrame, keys: list[str], k: Column | int, weight: str
     cut fits, the nearest balance is taken. ``k`` may be a column that is constant per key, and the
     band may name such columns.
 
-    Loads are added up per direction and strip (a histogram, built before the shuffle), so a key of any
-    size is a few thousand rows to a task. A cut falls between two strips, or between two outlets of the
-    one strip in which the loads balance; only that strip's outlets are lined up.
+    A cut falls between two strips of a direction, or between two outlets of the one strip in which the loads balance.
+    Keys of up to LINE_ROWS outlets are cut by ``_line_parts``, all levels in one task. For larger ones loads are
+    added up per direction and strip (a histogram, built before the shuffle), so a key of any size is a few thousand
+    rows to a task; only the balancing strip's outlets are lined up.
     """
     k = k if isinstance(k, Column) else F.lit(k)
     wide = lambda x: c(x) if isinstance(x, str) else F.lit(x)
-    # Outlets on one spot are told apart by a millimetre.
-    off = lambda seed: (F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 20)) / (1 << 20) - 0.5) * 2e-6
-    total = points.groupBy(*keys).agg(F.max(k).cast("int").alias("_k"), F.sum(weight).alias("_sum"), F.max(wide(below)).alias("_b"), F.max(wide(above)).alias("_a"))
+    total = points.groupBy(*keys).agg(F.max(k).cast("int").alias("_k"), F.sum(weight).alias("_sum"), F.max(wide(below)).alias("_b"), F.max(wide(above)).alias("_a"),
+                                      _few_rows(id_col, weight).alias("_small"))
     unit = c("_sum") / F.greatest(F.lit(1), c("_k"))
-    total = cut(total.select(*keys, "_k", (unit * (1 - c("_b")) - 1e-9).alias("_lo"), (unit * (1 + c("_a")) + 1e-9).alias("_hi")))
-    most = total.agg(F.max("_k").alias("k")).first()["k"] or 1
+    total = cut(total.select(*keys, "_k", (unit * (1 - c("_b")) - 1e-9).alias("_lo"), (unit * (1 + c("_a")) + 1e-9).alias("_hi"), "_small"))
+    most = total.filter("not _small or _small is null").agg(F.max("_k").alias("k")).first()["k"]
+    cols = [*keys, id_col, *[x for x in points.columns if x not in (*keys, id_col)]]
+    near = points.join(total.filter("_small").drop("_small"), keys).select(*cols, _line_row(id_col, weight).alias("_row"), "_k", "_lo", "_hi")
+    few = near.groupBy(*keys).applyInArrow(_parts_of_key(directions), near.select(*cols, F.lit(0).alias("part")).schema)
+    if most is None:
+        return few
+    total = total.filter("not _small or _small is null").drop("_small")
     cur = points.join(total, keys).withColumn("_node", F.lit(0))
     node, ray = [*keys, "_node"], [*keys, "_node", "_dir"]
-    turns = [(math.cos(math.pi * i / directions), math.sin(math.pi * i / directions)) for i in range(directions)]
+    turns = _turns(directions).tolist()
     cosines, sines = (F.array(*[F.lit(t[j]) for t in turns]) for j in (0, 1))
     for level in range(max(0, math.ceil(math.log2(max(1, most))))):
         cur = cut(cur) if level else cur
@@ -81,7 +227,7 @@ def line_split(points: DataFrame, keys: list[str], k: Column | int, weight: str
                                                        F.max(weight).alias("_wmax"), F.count(F.lit(1)).alias("_n"))
         p = cur.filter("_k > 1").join(mean, node)
         p = cut(p.select(*node, id_col, weight, "_k", "_lo", "_hi", "_tot", "_wmax", "_n",
-                         (local_x_km(c("longitude") - c("_lo0"), c("_la")) + off(1)).alias("_px"), (local_y_km(c("latitude") - c("_la")) + off(2)).alias("_py")))
+                         (local_x_km(c("longitude") - c("_lo0"), c("_la")) + _line_row(id_col, weight)["x"]).alias("_px"), (local_y_km(c("latitude") - c("_la")) + _line_row(id_col, weight)["y"]).alias("_py")))
         along = lambda i: c("_px") * turns[i][0] + c("_py") * turns[i][1]
         ends = p.groupBy(*node).agg(F.array(*[F.struct(F.min(along(i)).alias("a"), F.max(along(i)).alias("b")) for i in range(directions)]).alias("_ends"))
         rays = p.join(ends, node).withColumn("_t", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(directions - 1)).alias("i"), cosines.alias("c"), sines.alias("s"), c("_ends").alias("e"))))
@@ -107,8 +253,8 @@ def line_split(points: DataFrame, keys: list[str], k: Column | int, weight: str
         rows = rays.join(inner, [*ray, "_strip"]).withColumns({
             "_cum": so_far(c(weight), "_cum0"), "_pos": so_far(F.lit(1), "_pos0"), "_sx": so_far(c("_px"), "_sx0"), "_sy": so_far(c("_py"), "_sy0"),
             "_ss": so_far(c("_px") ** 2 + c("_py") ** 2, "_ss0"), "_gap": F.lead("_proj").over(v) - c("_proj")})
-        cols = [*ray, "_k", "_lo", "_hi", "_tot", "_wmax", "_n", "_all", "_cum", "_pos", "_sx", "_sy", "_ss", "_gap", "_to", "_last"]
-        cuts = bars.select(*cols).unionByName(rows.withColumn("_to", c("_proj")).withColumn("_last", c(id_col).cast("bigint")).select(*cols))
+        ends = [*ray, "_k", "_lo", "_hi", "_tot", "_wmax", "_n", "_all", "_cum", "_pos", "_sx", "_sy", "_ss", "_gap", "_to", "_last"]
+        cuts = bars.select(*ends).unionByName(rows.withColumn("_to", c("_proj")).withColumn("_last", c(id_col).cast("bigint")).select(*ends))
         slack = lambda parts: F.when(parts > 1, F.least(c("_wmax"), (c("_hi") - c("_lo")) * parts / 4)).otherwise(0.0)
         room = lambda load, parts: (load >= parts * c("_lo") + slack(parts)) & (load <= parts * c("_hi") - slack(parts))
         open_ = c("_gap").isNotNull() & (c("_pos") >= k1) & (c("_n") - c("_pos") >= k2)
@@ -133,7 +279,7 @@ def line_split(points: DataFrame, keys: list[str], k: Column | int, weight: str
         cur = (cur.withColumn("_node", F.when(c("_left").isNull() | c("_left"), c("_node")).otherwise(c("_node") + half).cast("int"))
                .withColumn("_k", F.when(c("_left").isNull(), c("_k")).when(c("_left"), half).otherwise(c("_k") - half).cast("int"))
                .drop("_left"))
-    return cur.withColumnRenamed("_node", "part").drop("_k", "_lo", "_hi")
+    return cur.withColumnRenamed("_node", "part").select(*cols, "part").unionByName(few)
 
 
 # ------------------------------------------------------------------ moves between groups

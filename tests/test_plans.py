@@ -175,6 +175,23 @@ def test_relief_of_forty_moves(spark):
     assert done.join(s.select("outlet_id", F.col("day_group").alias("d"), F.col("run").alias("r")), "outlet_id").filter("d <> day_group or r <> run").count() >= 36
 
 
+def test_small_keys_are_cut_as_large_ones(spark, monkeypatch):
+    p = points(spark, 160, 2).withColumn("k", F.when(F.col("market_id") == 0, 5).otherwise(2))
+    twice = p.filter("outlet_id % 13 = 0")
+    for df in (p, p.unionByName(twice), p.withColumn("latitude", F.when(F.col("outlet_id") % 20 != 0, F.col("latitude")))):
+        found = []
+        for rows in (8192, 0):
+            monkeypatch.setattr(pt, "LINE_ROWS", rows)
+            found.append(sorted((r.market_id, r.outlet_id, r.part) for r in pt.line_split(df, M, F.col("k")).collect()))
+        assert found[0] == found[1] and len({x[2] for x in found[0] if x[0] == 0}) == 5
+
+
+def test_small_keys_are_cut_without_strips(spark):
+    out = pt.line_split(points(spark, 160, 2), M, 4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_strip" not in plan and out.count() == 160
+
+
 def test_one_round_of_relief_shares_no_day(spark):
     rows = [(0, rep, d, run, i + 1, rep * 10000 + d * 1000 + i, 33.5 + 0.0001 * i, 35.5 + 0.0001 * d, 20, 4, 0) for rep in (1, 2) for d in range(5) for i in range(30 if d < 2 else 6) for run in (1, 2, 3, 4)]
     s = spark.createDataFrame(rows, "market_id int, rep_id int, day_group int, run int, seq int, outlet_id long, latitude double, longitude double, call_minutes int, visits int, bucket int")
