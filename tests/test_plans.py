@@ -175,6 +175,16 @@ def test_relief_of_forty_moves(spark):
     assert done.join(s.select("outlet_id", F.col("day_group").alias("d"), F.col("run").alias("r")), "outlet_id").filter("d <> day_group or r <> run").count() >= 36
 
 
+def test_relief_chooses_the_moves_of_a_rep_in_few_steps(spark, monkeypatch):
+    rows = [(0, rep, d, run, i + 1, rep * 10000 + d * 1000 + i, 33.5 + 0.0001 * i, 35.5 + 0.0001 * d, 20, 4, 0) for rep in (1, 2) for d in range(5) for i in range(30 if d < 2 else 6) for run in (1, 2, 3, 4)]
+    s = spark.createDataFrame(rows, "market_id int, rep_id int, day_group int, run int, seq int, outlet_id long, latitude double, longitude double, call_minutes int, visits int, bucket int")
+    st = PlanSettings(band=Band(2, 70))
+    written, cut = [], keep_days.cut
+    monkeypatch.setattr(keep_days, "cut", lambda df: written.append(1) or cut(df))
+    go, _ = keep_days.relief_moves(s, keep_days._judged(s, st, None), st)
+    assert go.count() > 0 and len(written) <= 5
+
+
 def test_small_keys_are_cut_as_large_ones(spark, monkeypatch):
     p = points(spark, 160, 2).withColumn("k", F.when(F.col("market_id") == 0, 5).otherwise(2))
     twice = p.filter("outlet_id % 13 = 0")
