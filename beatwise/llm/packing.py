@@ -6,6 +6,7 @@ over all residual gaps of (number of open sequences with that gap) squared is sm
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,10 +54,12 @@ class WordIds:
         core = word.rstrip(".,;:!?*#$%&|")
         if core and core.isalpha() and max(core) < "Ā":
             letters = core.lower()
+            # Forms of one word share its ids.
+            if letters != word:
+                return self[letters] if core == word else self[letters] + self[word[len(core):]]
             if not letters.isascii():
-                letters = "".join(self.byte_chars[b] for b in letters.encode())
-            ids = np.array([t.id for t in self.full.model.tokenize(letters)], "<u4").tobytes()
-            return ids if core == word else ids + self[word[len(core):]]
+                letters = "".join([self.byte_chars[b] for b in letters.encode()])
+            return array("I", [t.id for t in self.full.model.tokenize(letters)]).tobytes()
         return self.encode(word)
 
     def __getitem__(self, word: str) -> bytes:

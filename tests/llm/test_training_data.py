@@ -287,3 +287,21 @@ def test_pipeline_runs_whole(spark):
     stage = corpus_pipeline.without_repeated_lines(spark, first, SF)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "jaccard_join", "decontamination", "packing"]
     assert out.count() > 0 and stage.columns == first.columns
+
+
+def test_forms_of_a_word_share_its_ids(monkeypatch):
+    import public_tokenizers
+    from beatwise.llm.packing import WordIds
+    words = WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    text = "gewohnt Gewohnt GEWOHNT, gewohnt!? Über über. naïve\nNaïve;"
+    made, word = [], words.full.model.tokenize
+    class Model:
+        def tokenize(self, letters):
+            made.append(letters)
+            return word(letters)
+    whole = words.encode(text)
+    class Full:
+        model = Model()
+        encode = staticmethod(words.full.encode)
+    words.full = Full()
+    assert words.text(text) == whole and len(made) == len(set(made)) == 3
