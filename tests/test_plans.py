@@ -196,6 +196,21 @@ def test_small_keys_are_cut_as_large_ones(spark, monkeypatch):
         assert found[0] == found[1] and len({x[2] for x in found[0] if x[0] == 0}) == 5
 
 
+def test_wide_zones_are_cut_in_few_steps(spark, monkeypatch):
+    # Clusters at growing gaps come off one by one, so there are many levels.
+    rows = [(0, 10 * i + j, 33.5, 35.5 + 0.01 * i * i + 0.0001 * j, 3) for i in range(9) for j in range(4)]
+    z = spark.createDataFrame(rows, "market_id int, outlet_id long, latitude double, longitude double, zone_id int")
+    written, cut = [], pt.cut
+    monkeypatch.setattr(pt, "cut", lambda df: written.append(1) or cut(df))
+    out = pt.split_oversized_zones(z, M, 0.3).collect()
+    zones = {(r.zone_id, r.outlet_id // 10) for r in out}
+    ids = {z for z, _ in zones}
+    assert len(out) == len({r.outlet_id for r in out}) == 36 and {i for _, i in zones} == set(range(9))
+    # No zone reaches over two clusters, and ids go on from the zone's own without a gap.
+    assert len(ids) == len(zones) and ids == set(range(3, 3 + len(ids)))
+    assert len(written) <= 4
+
+
 def test_small_keys_are_cut_without_strips(spark):
     out = pt.line_split(points(spark, 160, 2), M, 4)
     plan = out._jdf.queryExecution().executedPlan().toString()
