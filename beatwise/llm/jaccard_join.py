@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -263,6 +263,32 @@ def classes(documents: DataFrame, size: int = SHINGLE, share: int = SHARE) -> Da
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def _could_link(shared: DataFrame, share: int) -> DataFrame:
+    """Rows (shingle, doc_id, n) of ``shared`` less those of documents whose leading shingles rule out every link.
+
+    In the common order two sets show all their shingles up to the end of the lead that ends first, so what they have in
+    common there is common to their leads; of the rest of that set no more can be common than it holds. Leads are counted by pairs
+    where a shingle is in at most FREQUENT of them; documents that lead with a more frequent one stay.
+    """
+    kinds = shared.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"), *_same_docs())
+    kinds = kinds.groupBy("docs", "of1", "of2").agg(F.min("shingle").alias("shingle"), F.count(F.lit(1)).alias("times")).select("shingle", "docs", "times")
+    rows = cut(shared.join(kinds, "shingle"))
+    few = rows.filter(F.col("docs") <= FREQUENT).select("shingle", "doc_id", "n", "times")
+    other = few.select("shingle", F.col("doc_id").alias("other"), F.col("n").alias("m"))
+    pairs = few.join(other, "shingle").filter("doc_id < other").filter(100 * F.least("n", "m") >= share * F.greatest("n", "m"))
+    unseen = lambda n: F.expr(f"({share} * {n} + 99) div 100 - 1")
+    pairs = pairs.groupBy("doc_id", "n", "other", "m").agg(F.sum("times").alias("common"))
+    most = F.col("common") + F.greatest(unseen("n"), unseen("m"))
+    pairs = cut(pairs.filter(100 * most >= share * (F.col("n") + F.col("m") - most)).select("doc_id", "other"))
+    stay = pairs.select("doc_id").union(pairs.select("other")).union(rows.filter(F.col("docs") > FREQUENT).select("doc_id")).distinct()
+    return cut(rows.select("shingle", "doc_id", "n").join(stay, "doc_id", "left_semi"))
+
+
+def _same_docs() -> list[Column]:
+    """Two order-free hashes that tell regions of the same documents."""
+    return [F.bit_xor(F.xxhash64("doc_id", F.lit(seed))).alias(f"of{seed}") for seed in (1, 2)]
+
+
 def _components(docs: DataFrame, heads: DataFrame, size: int, share: int) -> DataFrame:
     """sig, component_id of the sets of ``docs`` (unique doc_id, text) with words; ``heads`` is their ``leading``
     in the plain order. Texts stay where they are read; what is taken from them is thinned to one document of each set."""
@@ -279,9 +305,10 @@ def _components(docs: DataFrame, heads: DataFrame, size: int, share: int) -> Dat
         frequent = np.union1d(frequent, more)
     rows = leading(docs, frequent, size, share) if len(frequent) else heads
     firsts = cut(only(rows.select("doc_id", "n", "leading"))).select("doc_id", "n", F.explode("leading").alias("shingle"))
-    # Regions of one document are done. Those with the same documents are one: two order-free hashes of them tell.
-    of = [F.bit_xor(F.xxhash64("doc_id", F.lit(seed))).alias(f"of{seed}") for seed in (1, 2)]
+    # Regions of one document are done. Those with the same documents are one.
+    of = _same_docs()
     shared = cut(firsts.join(firsts.groupBy("shingle").count().filter("count > 1").select("shingle"), "shingle", "left_semi"))
+    shared = _could_link(shared, share)
     heart = shared.groupBy("shingle").agg(F.min(F.struct("doc_id", "n")).alias("p"), F.count(F.lit(1)).alias("docs"), *of)
     heart = heart.groupBy("docs", "of1", "of2", "p").agg(F.min("shingle").alias("shingle")).select("shingle", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("m"))
     members = cut(shared.join(heart, "shingle").filter("doc_id <> pivot"))

@@ -123,6 +123,18 @@ def test_jaccard_join_links_chains(spark):
     assert got == component_by_definition(rows)
 
 
+def test_jaccard_join_reads_sets_of_possible_links_only(spark, monkeypatch):
+    rows = {100: words("l", 100), 101: words("l", 100) + " end"}
+    for i in range(40):
+        shared = words(f"s{i}", 20)
+        rows |= {2 * i: words(f"a{i}", 80) + " " + shared, 2 * i + 1: words(f"b{i}", 80) + " " + shared}
+    read, sets_of = [], jaccard_join.sets_of
+    monkeypatch.setattr(jaccard_join, "sets_of", lambda docs, size: read.append(docs.select("doc_id")) or sets_of(docs, size))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.classes(documents(spark, rows.items())).collect()}
+    assert got == component_by_definition(rows)
+    assert {r["doc_id"] for r in read[0].collect()} == {100, 101}
+
+
 def test_jaccard_join_empty(spark):
     assert jaccard_join.classes(documents(spark, [])).count() == 0
     assert jaccard_join.keep_one(documents(spark, [(1, "a b"), (2, "A b"), (3, None)])).count() == 2
