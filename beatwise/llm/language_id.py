@@ -6,14 +6,16 @@ languages; forward-backward gives the posterior of each language for each word.
 """
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -197,16 +199,20 @@ def fit(texts: list[str], langs: list[str]) -> Field:
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Field:
     """Fit on at most ``per_language`` rows of each language of ``docs`` (text, lang), rows allowed for learning only."""
     known = docs.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("text", F.lit(3)).alias("h"))
-    per = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
-    parts = []
-    for row in per:
-        # A range of the hash that holds about twice the wanted rows keeps the sort small at any size.
-        share = min(1.0, 2.0 * per_language / row["n"] + 20.0 / row["n"])
-        high = int(-(1 << 63) + share * ((1 << 64) - 1))
-        parts.append(known.filter((F.col("lang") == row["lang"]) & (F.col("h") <= min(high, (1 << 63) - 1)))
-                     .select("lang", "text", "h").distinct().orderBy("h", "text").limit(per_language).select("lang", "text", "h"))
-    rows = sorted((r for p in parts for r in p.collect()), key=lambda r: (r["lang"], r["h"], r["text"]))
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    per = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # A range of the hash that holds about twice the wanted rows keeps what is sorted small at any size.
+    share = F.least(F.lit(1.0), (2.0 * per_language + 20.0) / F.col("n"))
+    high = F.when(share < 1, (F.lit(-2.0 ** 63) + share * 2.0 ** 64).cast("long")).otherwise(F.lit((1 << 63) - 1))
+    near = known.join(F.broadcast(per.select("lang", high.alias("high"))), "lang").filter("h <= high").select("lang", "h", "text").distinct()
+    first = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("place") <= per_language)
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([*batches, pd.DataFrame({"lang": [], "h": [], "text": []})]).sort_values(["lang", "h", "text"])
+        yield pd.DataFrame({"model": [pickle.dumps(fit(rows["text"].tolist(), rows["lang"].tolist()))]})
+
+    # One task fits the bounded sample, so the driver holds the model alone.
+    made = first.select("lang", "h", "text").repartition(1).mapInPandas(learn, "model binary").first()
+    return pickle.loads(made["model"]) if made else fit([], [])
 
 
 def predict_texts(texts: list, model: Field, cache: dict[str, int], table: list[np.ndarray]) -> list[tuple[str, float, int]]:

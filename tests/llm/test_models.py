@@ -1,5 +1,6 @@
 """Language ID and quality scores: nulls, empty and repeated rows, no labels."""
 import itertools
+import os
 import zlib
 
 import numpy as np
@@ -77,3 +78,23 @@ def test_posteriors_of_long_unlikely_sequences_are_finite():
     emissions = np.array([[0.0, 900.0], [900.0, 0.0]])
     got = language_id.forward_backward(emissions, np.tile([0, 1], 20_000), np.array([40_000]), np.array([[0.0, -40.0], [-40.0, 0.0]]))
     assert np.isfinite(got).all() and np.allclose(got.sum(axis=1), 1)
+
+
+def test_language_model_is_fitted_in_a_task(spark, monkeypatch):
+    rows = [(w * 9 + f" {w[0]}{i}", lang) for i in range(40) for w, lang in (("the house ", "en"), ("das haus ", "de"))] + [(None, "en"), ("und", None)]
+    docs = spark.createDataFrame(rows * 2, "text string, lang string")
+    kept = sorted((r["lang"], r["h"], r["text"]) for r in docs.dropna().distinct().selectExpr("*", "xxhash64(text, 3) as h").collect())
+    kept = [r for lang in ("de", "en") for r in [x for x in kept if x[0] == lang][:7]]
+    fit, driver = language_id.fit, os.getpid()
+    whole = fit([r[2] for r in kept], [r[0] for r in kept])
+
+    def away(texts, langs):
+        assert os.getpid() != driver
+        return fit(texts, langs)
+
+    monkeypatch.setattr(language_id, "fit", away)
+    got = language_id.train(docs, 7)
+    assert got.languages == ["de", "en"] and got.lexicon == whole.lexicon
+    assert np.array_equal(got.weights, whole.weights) and np.array_equal(got.transitions, whole.transitions)
+    monkeypatch.setattr(language_id, "fit", fit)
+    assert language_id.train(docs.filter("false")).languages == []
