@@ -36,13 +36,16 @@ REGION_DOCS, PIVOTS = 256, 32
 CALL_ROWS, CALL_BYTES = 1024, 16 << 20
 #: Mean cells of a document up to which a region is split.
 COPIES = 1.25
+#: Shingles that two blocks are compared by at a time.
+COLUMNS = 1 << 14
 #: Words whose hashes a worker keeps.
 CACHE_WORDS = 500_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 LEADING = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType(), False), T.StructField("sig", T.StringType(), False),
-                        T.StructField("leading", T.ArrayType(T.LongType()), False)])
+                        T.StructField("leading", T.ArrayType(T.LongType()), False), T.StructField("spare", T.ArrayType(T.LongType()), False)])
+ORDERED = T.StructType([*LEADING[:2], T.StructField("leading", T.ArrayType(T.LongType()))])
 SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("shingles", T.BinaryType(), False)])
 JOINED = T.StructType([T.StructField("region", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("other", T.LongType()),
                        T.StructField("distances", T.ArrayType(T.DoubleType()))])
@@ -75,26 +78,65 @@ def links(n: int, m: int, common: int, share: int) -> bool:
     return 100 * common >= share * (n + m - common)
 
 
+def lead_length(n: int, share: int) -> int:
+    return n + share * n // -100 + 1 if n else 0
+
+
+def is_frequent(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    if not len(frequent):
+        return np.zeros(len(shingles), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)] == shingles
+
+
 def leading(docs: DataFrame, frequent: np.ndarray, size: int, share: int) -> DataFrame:
-    """doc_id, n, signature of the set, and its first n - ceil(share n) + 1 shingles: frequent ones last, then by hash."""
+    """doc_id, n, signature of the set, its first n - ceil(share n) + 1 shingles (frequent ones last, then by hash), and
+    as many that follow them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch, texts in text_chunks(batches):
-            sizes, sigs, firsts = [], [], []
+            sizes, sigs, firsts, spares = [], [], [], []
             for text in texts:
                 s = shingle_set(text, size, cache)
                 sizes.append(len(s))
                 sigs.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
-                if len(frequent) and len(s):
-                    late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-                    s = np.concatenate([s[~late], s[late]])
-                firsts.append(s[:len(s) + share * len(s) // -100 + 1].view("int64") if len(s) else s.view("int64"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.string()), pa.array(firsts, pa.list_(pa.int64()))],
-                                             names=LEADING.names)
+                late, lead = is_frequent(s, frequent), lead_length(len(s), share)
+                s = np.concatenate([s[~late], s[late]]).view("int64")
+                firsts.append(s[:lead])
+                spares.append(s[lead:2 * lead])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.string()), pa.array(firsts, pa.list_(pa.int64())),
+                                              pa.array(spares, pa.list_(pa.int64()))], names=LEADING.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, LEADING)
 
 
+def _ordered(heads: DataFrame, frequent: np.ndarray, share: int) -> DataFrame:
+    """doc_id, n, leading of ``heads`` (in the plain order) with the frequent shingles last; null where the leading and
+    spare shingles don't tell."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for n, first, spare in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                s = np.concatenate([x.values.to_numpy() for x in (first, spare)]).view("uint64")
+                late, lead = is_frequent(s, frequent), lead_length(n, share)
+                rare = s[~late]
+                whole = len(s) == n
+                out.append(np.concatenate([rare, s[late]])[:lead].view("int64") if whole else rare[:lead].view("int64") if len(rare) >= lead else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=ORDERED.names)
+
+    return heads.select("doc_id", "n", "leading", "spare").mapInArrow(run, ORDERED)
+
+
+def _reordered(docs: DataFrame, heads: DataFrame, same: DataFrame, frequent: np.ndarray, size: int, share: int) -> DataFrame:
+    """doc_id, n, leading of the documents of ``heads`` that are in ``same``, with the frequent shingles last; only texts
+    whose spare shingles don't tell are read again."""
+    if not len(frequent):
+        return heads.select("doc_id", "n", "leading").join(same, "doc_id", "left_semi")
+    rows = cut(_ordered(heads, frequent, share).join(same, "doc_id", "left_semi"))
+    short = rows.filter("leading is null").select("doc_id")
+    again = cut(leading(docs.join(short, "doc_id", "left_semi"), frequent, size, share).select("doc_id", "n", "leading"))
+    return rows.filter("leading is not null").union(again)
+
+
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -109,13 +151,25 @@ def distance(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
     return 1 - common / (len(a) + len(b) - common), common
 
 
+def numbered(shingles: list[bytes]) -> tuple[list[np.ndarray], int]:
+    """The sets with their shingles numbered from 0, and how many numbers there are."""
+    sets = [np.frombuffer(s, "uint64") for s in shingles]
+    values, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+    return np.split(numbers, np.cumsum([len(s) for s in sets])[:-1]), len(values)
+
+
 def _region_links(frame: pd.DataFrame, share: int) -> list[tuple[int, int]]:
-    """Links that hold a small region's components together. Each pivot is compared with all that its distances to
-    earlier pivots and the components leave open."""
+    """Links that hold a small region's components together (doc_id, known, shingles)."""
+    sets, count = numbered(frame["shingles"].tolist())
+    return _numbered_links(frame["doc_id"].to_numpy(), frame["known"].to_numpy(), sets, share, np.zeros(count, "int8"))
+
+
+def _numbered_links(ids: np.ndarray, known: np.ndarray, sets: list[np.ndarray], share: int, seen: np.ndarray) -> list[tuple[int, int]]:
+    """Each pivot is compared with all that its distances to earlier pivots and the components leave open, all at once.
+    ``seen`` has a zero for each number of a shingle and is left so."""
     reach = 1 - share / 100 + 1e-9
-    ids, known = frame["doc_id"].to_numpy(), frame["known"].to_numpy().copy()
-    sets = [np.frombuffer(s, "uint64") for s in frame["shingles"]]
-    sizes = np.array([len(s) for s in sets])
+    known, sizes = known.copy(), np.array([len(s) for s in sets])
+    numbers, starts = np.concatenate(sets), np.cumsum(sizes) - sizes
     low = np.zeros((len(ids), 0))
     out = []
     for p in range(len(ids)):
@@ -127,13 +181,17 @@ def _region_links(frame: pd.DataFrame, share: int) -> list[tuple[int, int]]:
         open_[:p] = False
         column = np.full(len(ids), np.nan)
         column[p] = 0.0
-        for q in np.flatnonzero(open_):
-            if known[q] == known[p]:
-                continue
-            column[q], common = distance(sets[p], sets[q])
-            if links(sizes[p], sizes[q], common, share):
-                out.append((int(ids[p]), int(ids[q])))
-                known[known == known[q]] = known[p]
+        if open_.any():
+            first = int(open_.argmax())
+            seen[sets[p]] = 1
+            common = np.zeros(len(ids), "int64")
+            common[first:] = np.add.reduceat(seen[numbers[starts[first]:]], starts[first:] - starts[first], dtype="int64")
+            seen[sets[p]] = 0
+            column[open_] = (1 - common / (sizes + sizes[p] - common))[open_]
+            for q in np.flatnonzero(open_ & (100 * common >= share * (sizes + sizes[p] - common))):
+                if known[q] != known[p]:
+                    out.append((int(ids[p]), int(ids[q])))
+                    known[known == known[q]] = known[p]
         if low.shape[1] < PIVOTS:
             low = np.column_stack([low, column])
     return out
@@ -166,6 +224,66 @@ def _pivot_links(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return rows.union(pivots).groupBy("call").applyInPandas(compare, "doc_id long, other long")
 
 
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Shingles that each set of ``a`` has in common with each of ``b``."""
+    codes = [np.concatenate(x) for x in (a, b)]
+    rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)]
+    both = np.intersect1d(*map(np.unique, codes), assume_unique=True)
+    out = np.zeros((len(a), len(b)), "float32")
+    if a is b:
+        both, times = np.unique(codes[0], return_counts=True)
+        both = both[times > 1]
+    if not len(both):
+        return out.astype("int64")
+    for k in (0, 1):
+        at = np.minimum(np.searchsorted(both, codes[k]), len(both) - 1)
+        hit = both[at] == codes[k]
+        at, row = at[hit], rows[k][hit]
+        order = np.argsort(at, kind="stable")
+        codes[k], rows[k] = at[order], row[order]
+    for start in range(0, len(both), COLUMNS):
+        held = []
+        for k, sets in enumerate((a, b)):
+            i, j = np.searchsorted(codes[k], [start, start + COLUMNS])
+            held.append(np.zeros((len(sets), min(COLUMNS, len(both) - start)), "float32"))
+            held[-1][rows[k][i:j], codes[k][i:j] - start] = 1
+        out += held[0] @ held[1].T
+    return out.astype("int64")
+
+
+def _block_links(open_: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """doc_id, other: links that hold the components of each region (region, doc_id, known) together. The documents of a
+    region are dealt to blocks; a call compares two blocks and returns a link only where it joins two parts."""
+    sized = open_.join(sets.select("doc_id", F.length("shingles").alias("bytes")), "doc_id")
+    work = sized.groupBy("region").agg(F.count(F.lit(1)).alias("docs"), F.sum("bytes").alias("bytes"), F.min("known").alias("a"), F.max("known").alias("b")).filter("a < b")
+    work = work.select("region", F.greatest(F.ceil(F.col("docs") / REGION_DOCS), F.ceil(2 * F.col("bytes") / CALL_BYTES)).alias("blocks"))
+    rows = open_.join(work, "region").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("block")).alias("i"), F.greatest(b, F.col("block")).alias("j")))
+    rows = rows.select("region", "doc_id", "known", "block", F.explode(pair).alias("p")).select("region", "p.i", "p.j", "doc_id", "known", "block")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        whole = frame["i"].iat[0] == frame["j"].iat[0]
+        left = frame if whole else frame[frame["block"] == frame["i"]]
+        right = left if whole else frame[frame["block"] == frame["j"]]
+        part = pd.factorize(pd.concat([left["known"], right["known"]]))[0]
+        x = [np.frombuffer(s, "uint64") for s in left["shingles"]]
+        y = x if whole else [np.frombuffer(s, "uint64") for s in right["shingles"]]
+        if not x or not y or not part.any():
+            return pd.DataFrame([], columns=["doc_id", "other"])
+        common = common_counts(x, y)
+        n, m = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+        linked = (100 * common >= share * (n[:, None] + m - common)) & (part[:len(x), None] != part[len(x):])
+        out = []
+        ids, others = left["doc_id"].to_numpy(), right["doc_id"].to_numpy()
+        for p, q in zip(*np.nonzero(linked)):
+            if part[p] != part[len(x) + q]:
+                out.append((int(ids[p]), int(others[q])))
+                part[part == part[len(x) + q]] = part[p]
+        return pd.DataFrame(out, columns=["doc_id", "other"])
+
+    return cut(rows.join(sets, "doc_id").groupBy("region", "i", "j").applyInPandas(compare, "doc_id long, other long"))
+
+
 def _join_regions(regions: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """doc_id, other: enough links within regions (region, doc_id, known; rows of equal ``known`` are linked already)."""
     reach = 1 - share / 100 + 1e-9
@@ -175,8 +293,10 @@ def _join_regions(regions: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     def compare_small(frame: pd.DataFrame) -> pd.DataFrame:
         sent = frame["region"].isna()
         own = frame[~sent].sort_values("doc_id")
-        own["shingles"] = own["doc_id"].map(dict(zip(frame["doc_id"][sent], frame["shingles"][sent])))
-        return pd.DataFrame([x for _, g in own.groupby("region") for x in _region_links(g, share)], columns=["doc_id", "other"])
+        sets_, count = numbered(frame["shingles"][sent].tolist())
+        sets_, seen = dict(zip(frame["doc_id"][sent], sets_)), np.zeros(count, "int8")
+        links_ = (_numbered_links(g["doc_id"].to_numpy(), g["known"].to_numpy(), [sets_[d] for d in g["doc_id"]], share, seen) for _, g in own.groupby("region"))
+        return pd.DataFrame([x for found_ in links_ for x in found_], columns=["doc_id", "other"])
 
     while not regions.isEmpty():
         sized = regions.groupBy("region").agg(F.count(F.lit(1)).alias("docs"), F.min("known").alias("a"), F.max("known").alias("b"), F.min("doc_id").alias("head"))
@@ -227,10 +347,12 @@ def _join_regions(regions: DataFrame, sets: DataFrame, share: int) -> DataFrame:
         apart = F.transform("distances", lambda d: d <= F.array_min("distances") + 2 * reach)
         left = far.select("region", "doc_id", "distances").distinct().join(chosen.select("region", F.col("pivot").alias("doc_id")), ["region", "doc_id"], "left_anti")
         left = cut(left.select("region", "doc_id", F.filter(F.transform(apart, lambda x, i: F.when(x, i)), lambda i: i.isNotNull()).alias("cells")))
-        # Where the windows would copy most documents into several cells, the region goes on whole, less its pivots.
-        copies = left.groupBy("region").agg((F.avg(F.size("cells")) <= COPIES).alias("split"))
-        cells = left.join(copies, "region").select("region", "doc_id", F.explode(F.when(F.col("split"), F.col("cells")).otherwise(F.array(F.lit(-1)))).alias("cell"))
-        regions = cut(cells.join(label, ["region", "doc_id"]).select(F.concat_ws(".", "region", "cell").alias("region"), "doc_id", "known"))
+        # Where the windows would copy most documents into several cells, what is open is settled by blocks.
+        copies = cut(left.groupBy("region").agg((F.avg(F.size("cells")) <= COPIES).alias("split")))
+        left = cut(left.join(copies, "region").join(label, ["region", "doc_id"]))
+        found = found.union(_block_links(left.filter("not split").select("region", "doc_id", "known"), sets, share))
+        cells = left.filter("split").select("region", "doc_id", "known", F.explode("cells").alias("cell"))
+        regions = cut(cells.select(F.concat_ws(".", "region", "cell").alias("region"), "doc_id", "known"))
     return found if found is not None else sets.sparkSession.createDataFrame([], "doc_id long, other long")
 
 
@@ -294,17 +416,16 @@ def _components(docs: DataFrame, heads: DataFrame, size: int, share: int) -> Dat
     in the plain order. Texts stay where they are read; what is taken from them is thinned to one document of each set."""
     frequent = np.empty(0, "uint64")
     same = cut(heads.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
-    only = lambda rows: rows.join(same.select("doc_id"), "doc_id", "left_semi")
+    rows = _reordered(docs, heads, same.select("doc_id"), frequent, size, share)
     for _ in range(ORDER_ROUNDS):
-        rows = leading(docs, frequent, size, share) if len(frequent) else heads
-        many = only(rows.select("doc_id", "leading")).select(F.explode("leading").alias("shingle")).groupBy("shingle").count()
+        many = rows.select(F.explode("leading").alias("shingle")).groupBy("shingle").count()
         many = many.filter(F.col("count") > FREQUENT).orderBy(F.desc("count"), "shingle").limit(FREQUENT_LIST)
         more = many.select("shingle").toPandas()["shingle"].to_numpy("int64").view("uint64")
         if not len(more):
             break
         frequent = np.union1d(frequent, more)
-    rows = leading(docs, frequent, size, share) if len(frequent) else heads
-    firsts = cut(only(rows.select("doc_id", "n", "leading"))).select("doc_id", "n", F.explode("leading").alias("shingle"))
+        rows = _reordered(docs, heads, same.select("doc_id"), frequent, size, share)
+    firsts = rows.select("doc_id", "n", F.explode("leading").alias("shingle"))
     # Regions of one document are done. Those with the same documents are one.
     of = _same_docs()
     shared = cut(firsts.join(firsts.groupBy("shingle").count().filter("count > 1").select("shingle"), "shingle", "left_semi"))

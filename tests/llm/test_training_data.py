@@ -135,6 +135,43 @@ def test_jaccard_join_reads_sets_of_possible_links_only(spark, monkeypatch):
     assert {r["doc_id"] for r in read[0].collect()} == {100, 101}
 
 
+def test_jaccard_join_settles_unsplit_regions_in_one_step(spark, monkeypatch):
+    # Sixty sets alike by two thirds but for three pairs: no pivot parts them, and few are tied to one.
+    monkeypatch.setattr(jaccard_join, "REGION_DOCS", 8)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 4)
+    own = {i: [*range(40), *range(100 * i, 100 * i + 10)] for i in range(1, 58)}
+    own |= {i + 100: [*own[i], 9999] for i in (7, 30, 56)}
+    sets = spark.createDataFrame([(i, np.array(s, "uint64").tobytes()) for i, s in own.items()], jaccard_join.SETS)
+    regions = spark.createDataFrame([("r", i, i) for i in own], "region string, doc_id long, known long")
+    cuts, cut = [], jaccard_join.cut
+    monkeypatch.setattr(jaccard_join, "cut", lambda df: cuts.append(1) or cut(df))
+    found = {tuple(sorted((r["doc_id"], r["other"]))) for r in jaccard_join._join_regions(regions, sets, 85).collect()}
+    assert found == {(7, 107), (30, 130), (56, 156)}
+    assert len(cuts) < 14  # a round; four pivots a round took about fourteen rounds
+
+
+def test_jaccard_join_common_counts(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 3)
+    rng = np.random.default_rng(4)
+    a, b = ([np.unique(rng.integers(0, 30, rng.integers(1, 20)).astype("uint64")) for _ in range(n)] for n in (7, 5))
+    by_sets = lambda x, y: [[len({*p.tolist()} & {*q.tolist()}) for q in y] for p in x]
+    assert jaccard_join.common_counts(a, b).tolist() == by_sets(a, b)
+    own = jaccard_join.common_counts(a, a)
+    assert all(own[i, j] == by_sets(a, a)[i][j] for i in range(7) for j in range(7) if i != j)
+
+
+def test_jaccard_join_orders_leads_without_texts(spark):
+    rng = np.random.default_rng(5)
+    rows = {i: " ".join(f"w{x}" for x in rng.integers(0, 25, rng.integers(1, 60))) for i in range(60)}
+    docs = documents(spark, rows.items())
+    frequent = np.unique(np.concatenate([jaccard_join.shingle_set(rows[i], 2, jaccard_join.WordHashes()) for i in range(0, 60, 4)]))
+    heads = jaccard_join.leading(docs, np.empty(0, "uint64"), 2, 85)
+    plain = {r["doc_id"]: r["leading"] for r in jaccard_join.leading(docs, frequent, 2, 85).collect()}
+    assert {r["doc_id"]: r["leading"] for r in jaccard_join._reordered(docs, heads, docs.select("doc_id"), frequent, 2, 85).collect()} == plain
+    told = [r["leading"] for r in jaccard_join._ordered(heads, frequent, 85).collect()]
+    assert None in told and any(told)
+
+
 def test_jaccard_join_empty(spark):
     assert jaccard_join.classes(documents(spark, [])).count() == 0
     assert jaccard_join.keep_one(documents(spark, [(1, "a b"), (2, "A b"), (3, None)])).count() == 2
