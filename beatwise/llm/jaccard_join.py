@@ -313,6 +313,9 @@ def _join_regions(regions: DataFrame, sets: DataFrame, share: int) -> DataFrame:
         sent = sent.select("call", F.lit(None).cast("string").alias("region"), "doc_id", F.lit(0).cast("long").alias("known"), "shingles")
         small = dealt.withColumn("shingles", F.lit(None).cast("binary")).union(sent).groupBy("call").applyInPandas(compare_small, "doc_id long, other long")
         large = at.filter(F.col("docs") > REGION_DOCS)
+        if large.isEmpty():
+            new = cut(small)
+            return new if found is None else found.union(new)
         # Pivots: of each region the lowest hashes, found by partial aggregation.
         h = F.struct(F.xxhash64("doc_id", "region").alias("h"), "doc_id")
         chosen = (large.groupBy("region", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(PIVOTS)).alias("i")).agg(F.min(h).alias("p"), F.max("docs").alias("docs"))
@@ -350,7 +353,9 @@ def _join_regions(regions: DataFrame, sets: DataFrame, share: int) -> DataFrame:
         # Where the windows would copy most documents into several cells, what is open is settled by blocks.
         copies = cut(left.groupBy("region").agg((F.avg(F.size("cells")) <= COPIES).alias("split")))
         left = cut(left.join(copies, "region").join(label, ["region", "doc_id"]))
-        found = found.union(_block_links(left.filter("not split").select("region", "doc_id", "known"), sets, share))
+        whole = left.filter("not split").select("region", "doc_id", "known")
+        if not whole.isEmpty():
+            found = found.union(_block_links(whole, sets, share))
         cells = left.filter("split").select("region", "doc_id", "known", F.explode("cells").alias("cell"))
         regions = cut(cells.select(F.concat_ws(".", "region", "cell").alias("region"), "doc_id", "known"))
     return found if found is not None else sets.sparkSession.createDataFrame([], "doc_id long, other long")
